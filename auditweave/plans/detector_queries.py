@@ -1 +1,148 @@
-"""Filled in below."""
+"""Queries for the rule detectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditweave.operators import detectors
+from auditweave.operators.observations import signal_rank
+from auditweave.plans.graph_queries import CYCLES_SQL
+from auditweave.plans.registry import query
+
+SPREAD = 0.5  # the given amounts vary widely, so the narrow default would compare almost nothing
+
+
+def sql_id(family: str, prefix: str, parts: str) -> str:
+    return f"'OBS-{family}-{prefix}-' || upper(substr(sha1({parts}), 1, 12))"
+
+
+def sql_digest(member: str) -> str:
+    return f"CAST(sum(CAST('0x' || substr(sha1({member}), 1, 14) AS BIGINT)) AS VARCHAR)"
+
+
+D1_SQL = f"""
+, d1 AS (SELECT {sql_id('DET', 'VENDOR-EMPLOYEE-CLABE', "v.rfc || '|' || e.emp_id || '|' || v.bank_clabe")} AS observation_id,
+  v.rfc, e.emp_id, v.bank_clabe AS account FROM vendors v JOIN employees e ON e.bank_clabe = v.bank_clabe)
+"""
+D2_SQL = f"""
+, d2 AS (SELECT {sql_id('DET', 'SHARED-VENDOR-CLABE', "bank_clabe || '|' || count(*) || '|' || " + sql_digest('rfc'))} AS observation_id,
+  bank_clabe AS account, count(*) AS vendor_count, min(rfc) AS first_rfc FROM vendors GROUP BY bank_clabe HAVING count(*) >= 2)
+"""
+D3_SQL = f"""
+, d3 AS (SELECT {sql_id('DET', 'EFOS-MATCH', "l.rfc || '|' || l.status || '|' || l.publication_date")} AS observation_id,
+  l.rfc, l.status AS statuses, l.publication_date AS publication_dates FROM efos_list l WHERE l.rfc IN (SELECT rfc FROM vendors))
+"""
+D4_SQL = f"""
+, d4 AS (SELECT {sql_id('DET', 'VENDOR-TO-EMPLOYEE', "v.rfc || '|' || e.emp_id || '|' || b.txn_id")} AS observation_id,
+  v.rfc, e.emp_id, b.txn_id, b.date, b.amount, b.from_clabe AS vendor_account, b.to_clabe AS employee_account
+  FROM bank_txns b JOIN vendors v ON v.bank_clabe = b.from_clabe JOIN employees e ON e.bank_clabe = b.to_clabe)
+"""
+D5_SQL = f"""
+, irow AS (SELECT uuid, issuer_rfc, receiver_rfc, CAST(issue_date AS DATE) AS d, total FROM invoices WHERE total > 0),
+win AS (
+  SELECT s.issuer_rfc, s.receiver_rfc, s.d AS start, max(r.d) AS last_day, count(*) AS n, median(r.total) AS med,
+         (max(r.total) - min(r.total)) / median(r.total) AS spread, CAST(sum(CAST(r.total AS DECIMAL(18,2))) AS DOUBLE) AS cluster_total,
+         {sql_digest('r.uuid')} AS digest
+  FROM (SELECT DISTINCT issuer_rfc, receiver_rfc, d FROM irow) s
+  JOIN irow r ON r.issuer_rfc = s.issuer_rfc AND r.receiver_rfc = s.receiver_rfc AND r.d BETWEEN s.d AND s.d + 7
+  GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND median(r.total) > 0 AND (max(r.total) - min(r.total)) / median(r.total) <= {SPREAD}),
+d5 AS (
+  SELECT {sql_id('REL', 'INVOICE-CLUSTER', "issuer_rfc || '|' || receiver_rfc || '|' || start || '|' || n || '|' || digest")} AS observation_id, w.*
+  FROM win w WHERE NOT EXISTS (
+    SELECT 1 FROM win o WHERE o.issuer_rfc = w.issuer_rfc AND o.receiver_rfc = w.receiver_rfc AND o.start < w.start AND o.last_day >= w.last_day))
+"""
+D7_SQL = CYCLES_SQL + f"""
+, d7 AS (SELECT {sql_id('REL', 'BANK-CYCLE', "array_to_string(n, '|') || '|' || replace(txn_ids, ',', '|')")} AS observation_id, n, txn_ids, dates, amounts, span FROM cycles)
+"""
+OWNERS_SQL = """
+, owner_entities AS (
+  SELECT DISTINCT bank_clabe AS account, 'RFC:' || rfc AS entity FROM vendors
+  UNION SELECT bank_clabe, CASE WHEN starts_with(emp_id, 'EMP:') THEN emp_id ELSE 'EMP:' || emp_id END FROM employees)
+"""
+D8_SCOPE_SQL = """
+, d8i AS (
+  SELECT i.issuer_rfc AS rfc, i.uuid, i.total FROM invoices i
+  WHERE i.issuer_rfc IN (SELECT rfc FROM vendors) AND i.issuer_rfc NOT IN (SELECT vendor_rfc FROM contracts) AND i.status <> 'cancelado'
+    AND substr(i.uuid, 1, 8) IN (SELECT trim(substr(reference, 11)) FROM bank_txns WHERE starts_with(reference, 'Pago CFDI ')))
+"""
+
+
+@query("d1_vendor_employee_shared_account", D1_SQL + "SELECT * FROM d1")
+def d1(given):
+    return detectors.vendor_employee_shared_account(given.estate)
+
+
+@query("d2_shared_vendor_account", D2_SQL + "SELECT * FROM d2")
+def d2(given):
+    return detectors.shared_vendor_account(given.estate)[0]
+
+
+@query("d2_shared_vendor_members", D2_SQL + "SELECT d2.observation_id, v.rfc, d2.account FROM d2 JOIN vendors v ON v.bank_clabe = d2.account")
+def d2m(given):
+    return detectors.shared_vendor_account(given.estate)[1]
+
+
+@query("d3_efos_vendor_match", D3_SQL + "SELECT * FROM d3")
+def d3(given):
+    listed = detectors.efos_vendor_match(given.estate)
+    return listed.withColumn("statuses", F.array_join("statuses", ",")).withColumn(
+        "publication_dates", F.array_join("publication_dates", ","))
+
+
+@query("d4_vendor_to_employee_transfer", D4_SQL + "SELECT * FROM d4")
+def d4(given):
+    return detectors.vendor_to_employee_transfer(given.estate)
+
+
+@query("d5_similar_invoice_cluster", D5_SQL + """
+SELECT observation_id, issuer_rfc, receiver_rfc, CAST(start AS VARCHAR) AS first_issue_date, CAST(last_day AS VARCHAR) AS last_issue_date,
+       n AS invoice_count, cluster_total, round(med, 4) AS median_total, round(spread, 6) AS relative_spread FROM d5""")
+def d5(given):
+    clusters, _ = detectors.similar_invoice_cluster(given.estate, max_spread=SPREAD)
+    return clusters.withColumn("median_total", F.round("median_total", 4)).withColumn("relative_spread", F.round("relative_spread", 6))
+
+
+@query("d5_cluster_members", D5_SQL + """
+SELECT d5.observation_id, r.issuer_rfc, r.receiver_rfc, r.uuid, r.total FROM d5
+JOIN irow r ON r.issuer_rfc = d5.issuer_rfc AND r.receiver_rfc = d5.receiver_rfc AND r.d BETWEEN d5.start AND d5.last_day""")
+def d5m(given):
+    return detectors.similar_invoice_cluster(given.estate, max_spread=SPREAD)[1]
+
+
+@query("d6_account_owner_entities", OWNERS_SQL + "SELECT * FROM owner_entities")
+def d6(given):
+    return detectors.account_owner_entities(given.estate)
+
+
+@query("d7_bank_cycle_observation", D7_SQL + """
+SELECT observation_id, array_to_string(n, ',') AS accounts, txn_ids, span::BIGINT AS date_span_days FROM d7""")
+def d7(given):
+    cycles, _ = detectors.bank_cycle_observation(given.estate, max_cycles=None)
+    return cycles.select("observation_id", F.array_join("accounts", ",").alias("accounts"),
+                         F.array_join("txn_ids", ",").alias("txn_ids"), F.col("date_span_days").cast("bigint"))
+
+
+@query("d7_bank_cycle_entities", D7_SQL + OWNERS_SQL + """
+SELECT observation_id, min(i) AS section, entity FROM (
+  SELECT observation_id, CAST(i - 1 AS INT) AS i, o.entity FROM (SELECT observation_id, n, unnest(range(1, len(n) + 1)) AS i FROM d7) x
+  JOIN owner_entities o ON o.account = x.n[x.i]) GROUP BY observation_id, entity
+UNION ALL SELECT observation_id, CAST(999 + i AS INT), 'CLABE:' || n[i] FROM (SELECT observation_id, n, unnest(range(1, len(n) + 1)) AS i FROM d7)""")
+def d7e(given):
+    return detectors.bank_cycle_observation(given.estate, max_cycles=None)[1]
+
+
+@query("d8_unsupported_candidates", D8_SCOPE_SQL + "SELECT * FROM d8i")
+def d8c(given):
+    return detectors.unsupported_candidates(given.estate)[0]
+
+
+@query("d8_paid_without_po_or_contract")
+def d8(given):
+    return detectors.paid_without_po_or_contract(given.estate)[0]
+
+
+@query("d9_run_rule_detectors")
+def d9(given):
+    found = detectors.run_rule_detectors(given.estate)
+    return found.heads.select("observation_id", "detector_name", "signal_type", "statement", "facts",
+                              signal_rank().alias("detector_rank"))
