@@ -6,6 +6,8 @@ answer of its own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +19,28 @@ SETTLEMENT_PREFIX = "Pago CFDI "  # fixed value
 KEY_CHARS = 8  # fixed value: characters of a uuid quoted in a settlement
 
 
-def record_index(estate: Estate) -> DataFrame:
-    """(source_table, record_id, amount) of every record, one row per key."""
-    parts = None
+def record_rows(estate: Estate) -> DataFrame:
+    """(source_table, record_id, amount) of every record of the estate."""
+    parts = []
     for name, columns in TABLES.items():
         amount = F.col(AMOUNT_COLUMNS[name]).try_cast("double") if name in AMOUNT_COLUMNS else F.lit(None).cast("double")
-        part = estate.table(name).select(
+        parts.append(estate.table(name).select(
             F.lit(name).alias("source_table"), F.col(columns[0]).cast("string").alias("record_id"), amount.alias("amount")
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("source_table", "record_id").agg(F.max("amount").alias("amount"))
+        ))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def resolve_records(estate: Estate, refs: DataFrame) -> DataFrame:
-    """Add ``found`` and ``amount`` to rows with (source_table, record_id)."""
-    index = record_index(estate).withColumn("__hit", F.lit(True))
-    return (
-        refs.join(index, ["source_table", "record_id"], "left")
-        .withColumn("found", F.coalesce("__hit", F.lit(False)))
-        .drop("__hit")
-    )
+    """Add ``found`` and ``amount`` to rows with (source_table, record_id).
+
+    The records are cut to the wanted ones before they are made unique, so few
+    references cost one pass over the estate and no shuffle of it.
+    """
+    key = ["source_table", "record_id"]
+    wanted = refs.select(*key).distinct()
+    hits = record_rows(estate).join(wanted, key).groupBy(*key).agg(
+        F.max("amount").alias("amount"), F.lit(True).alias("found"))
+    return refs.join(hits, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def record_amounts(estate: Estate, refs: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditweave.plans.projection_sql import ESTATE
 from auditweave.sources import projection
-from auditweave.sources.estate import Estate
 
 
 class Given:
@@ -19,11 +18,11 @@ class Given:
         self.spark, self.folder = spark, folder
 
     def base(self, table: str) -> DataFrame:
-        return projection.base(self.spark, self.folder, table)
+        return self.estate.source(table)
 
     @cached_property
-    def estate(self) -> Estate:
-        return projection.project_estate(self.spark, self.folder)
+    def estate(self) -> projection.ProjectedEstate:
+        return projection.ProjectedEstate(self.spark, self.folder)
 
 
 _QUERIES: dict[str, Callable[[Given], DataFrame]] = {}

@@ -6,19 +6,27 @@ engine gets the same digits.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.sources.estate import Estate
-
 # Fixed values.
 COMPANY_RFC = "EMP920101AB1"
 COMPANY_ACCOUNT = "012000000000000999"
 SETTLEMENT_PREFIX = "Pago CFDI "
 
 
-def base(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+class Source:
+    """The given tables of one folder; each file's schema is read once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder, self._frames = spark, folder, {}
+
+    def __call__(self, table: str) -> DataFrame:
+        if table not in self._frames:
+            self._frames[table] = self._spark.read.parquet(f"{self._folder}/{table}.parquet")
+        return self._frames[table]
 
 
 def _pad(column: str | Column, width: int) -> Column:
@@ -48,12 +56,12 @@ def _day(column: str) -> Column:
     return F.col(column).cast("date")
 
 
-def order_book(spark: SparkSession, folder: str) -> DataFrame:
+def order_book(source: Source) -> DataFrame:
     """One row per order with its supplier and whole-cent amount."""
     suppliers = (
-        base(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("suppkey"))
+        source("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("suppkey"))
     )
-    orders = base(spark, folder, "orders").select(
+    orders = source("orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
         _day("o_orderdate").alias("day"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
@@ -81,8 +89,8 @@ def invoices(book: DataFrame) -> DataFrame:
     )
 
 
-def vendors(spark: SparkSession, folder: str) -> DataFrame:
-    return base(spark, folder, "supplier").select(
+def vendors(source: Source) -> DataFrame:
+    return source("supplier").select(
         _vendor_rfc("s_suppkey").alias("rfc"),
         F.col("s_name").alias("legal_name"),
         F.lit("1990-01-01").alias("registered_date"),
@@ -93,8 +101,8 @@ def vendors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def employees(spark: SparkSession, folder: str) -> DataFrame:
-    return base(spark, folder, "customer").where(F.col("c_custkey") % 5 == 0).select(
+def employees(source: Source) -> DataFrame:
+    return source("customer").where(F.col("c_custkey") % 5 == 0).select(
         F.concat(F.lit("EMP:"), _pad("c_custkey", 6)).alias("emp_id"),
         F.col("c_name").alias("name"),
         F.col("c_mktsegment").alias("role"),
@@ -103,8 +111,8 @@ def employees(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def purchase_orders(spark: SparkSession, folder: str, book: DataFrame) -> DataFrame:
-    people = base(spark, folder, "customer").select("c_custkey", "c_name")
+def purchase_orders(source: Source, book: DataFrame) -> DataFrame:
+    people = source("customer").select("c_custkey", "c_name")
     raised = book.where(F.col("suppkey").isNotNull() & (F.col("o_orderkey") % 4 != 0))
     cents = F.col("cents")
     ordered = F.when(F.col("o_orderkey") % 4 == 1, cents + _div(cents, 100)).otherwise(cents)
@@ -119,8 +127,8 @@ def purchase_orders(spark: SparkSession, folder: str, book: DataFrame) -> DataFr
     )
 
 
-def contracts(spark: SparkSession, folder: str) -> DataFrame:
-    return base(spark, folder, "supplier").where(F.col("s_suppkey") % 3 == 0).select(
+def contracts(source: Source) -> DataFrame:
+    return source("supplier").where(F.col("s_suppkey") % 3 == 0).select(
         F.concat(F.lit("CTR-"), _pad("s_suppkey", 9)).alias("contract_id"),
         _vendor_rfc("s_suppkey").alias("vendor_rfc"),
         F.lit("1992-01-01").alias("start_date"),
@@ -129,9 +137,9 @@ def contracts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def efos_list(spark: SparkSession, folder: str) -> DataFrame:
+def efos_list(source: Source) -> DataFrame:
     k = F.col("s_suppkey")
-    return base(spark, folder, "supplier").where((k % 9).isin(1, 4)).select(
+    return source("supplier").where((k % 9).isin(1, 4)).select(
         _vendor_rfc("s_suppkey").alias("rfc"),
         F.col("s_name").alias("legal_name"),
         F.when(k % 9 == 1, F.lit("definitivo")).otherwise(F.lit("presunto")).alias("status"),
@@ -191,15 +199,47 @@ def bank_txns(book: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array_compact(legs)).alias("t")).select("t.*")
 
 
-def project_estate(spark: SparkSession, folder: str) -> Estate:
-    book = order_book(spark, folder)
-    return Estate(
-        vendors=vendors(spark, folder),
-        invoices=invoices(book),
-        ledger=ledger(book),
-        bank_txns=bank_txns(book),
-        purchase_orders=purchase_orders(spark, folder, book),
-        contracts=contracts(spark, folder),
-        employees=employees(spark, folder),
-        efos_list=efos_list(spark, folder),
-    )
+class ProjectedEstate:
+    """An estate whose tables are put together when they are first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.source = spark, Source(spark, folder)
+
+    def table(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @cached_property
+    def book(self) -> DataFrame:
+        return order_book(self.source)
+
+    @cached_property
+    def vendors(self) -> DataFrame:
+        return vendors(self.source)
+
+    @cached_property
+    def invoices(self) -> DataFrame:
+        return invoices(self.book)
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return ledger(self.book)
+
+    @cached_property
+    def bank_txns(self) -> DataFrame:
+        return bank_txns(self.book)
+
+    @cached_property
+    def purchase_orders(self) -> DataFrame:
+        return purchase_orders(self.source, self.book)
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        return contracts(self.source)
+
+    @cached_property
+    def employees(self) -> DataFrame:
+        return employees(self.source)
+
+    @cached_property
+    def efos_list(self) -> DataFrame:
+        return efos_list(self.source)
