@@ -1 +1,133 @@
-"""Filled in below."""
+"""Queries for the estate audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from auditweave.operators import audits
+from auditweave.operators.lookups import record_rows
+from auditweave.plans.registry import query
+from auditweave.sources.projection import COMPANY_ACCOUNT
+
+
+@query("x1_invoice_arithmetic", """
+SELECT 'invoice_arithmetic' AS check_name, 'invoices' AS source_table, uuid AS record_id FROM invoices WHERE abs(total - (subtotal + iva)) > 0.011""")
+def x1(given):
+    return audits.invoice_arithmetic(given.estate)
+
+
+@query("x1_vat_rates", "SELECT round(iva / subtotal, 2) AS rate, count(*) AS invoices FROM invoices WHERE subtotal > 0 GROUP BY 1")
+def x1r(given):
+    return audits.vat_rates(given.estate)
+
+
+@query("x2_ledger_balance", """
+, s AS (SELECT invoice_uuid, sum(CAST(debit AS DECIMAL(18,2))) AS d, sum(CAST(credit AS DECIMAL(18,2))) AS c FROM ledger GROUP BY 1)
+SELECT 'ledger_balance_per_invoice' AS check_name, 'ledger' AS source_table, invoice_uuid AS record_id FROM s WHERE d <> c
+UNION ALL SELECT 'ledger_balance_total', 'ledger', '*' FROM (SELECT sum(d) AS d, sum(c) AS c FROM s) WHERE d <> c""")
+def x2(given):
+    return audits.ledger_balance(given.estate)
+
+
+@query("x3_referential_integrity", """
+SELECT 'ledger_without_invoices' AS check_name, 'ledger' AS source_table, CAST(entry_id AS VARCHAR) AS record_id FROM ledger WHERE invoice_uuid NOT IN (SELECT uuid FROM invoices)
+UNION ALL SELECT 'purchase_orders_without_vendors', 'purchase_orders', po_id FROM purchase_orders WHERE vendor_rfc NOT IN (SELECT rfc FROM vendors)
+UNION ALL SELECT 'contracts_without_vendors', 'contracts', contract_id FROM contracts WHERE vendor_rfc NOT IN (SELECT rfc FROM vendors)""")
+def x3(given):
+    return audits.referential_integrity(given.estate)
+
+
+_DIGIT = "(10 - (" + " + ".join(
+    f"(CAST(substr(a, {i + 1}, 1) AS INT) * {(3, 7, 1)[i % 3]}) % 10" for i in range(17)) + ") % 10) % 10 = CAST(substr(a, 18, 1) AS INT)"
+
+
+@query("x4_account_number_audit", f"""
+, places AS (
+  SELECT 'account_number_bank_clabe' AS check_name, 'vendors' AS source_table, rfc AS record_id, bank_clabe AS a FROM vendors
+  UNION ALL SELECT 'account_number_bank_clabe', 'employees', emp_id, bank_clabe FROM employees
+  UNION ALL SELECT 'account_number_from_clabe', 'bank_txns', txn_id, from_clabe FROM bank_txns
+  UNION ALL SELECT 'account_number_to_clabe', 'bank_txns', txn_id, to_clabe FROM bank_txns)
+SELECT check_name, source_table, record_id FROM places WHERE NOT (length(a) = 18 AND {_DIGIT})""")
+def x4(given):
+    return audits.account_number_audit(given.estate)
+
+
+@query("x5_period_bounds", """
+SELECT 'invoices' AS source_table, min(issue_date) AS first_date, max(issue_date) AS last_date, count(*) FILTER (issue_date < '1995-01-01' OR issue_date > '2000-12-31') AS outside FROM invoices
+UNION ALL SELECT 'ledger', min(date), max(date), count(*) FILTER (date < '1995-01-01' OR date > '2000-12-31') FROM ledger
+UNION ALL SELECT 'bank_txns', min(date), max(date), count(*) FILTER (date < '1995-01-01' OR date > '2000-12-31') FROM bank_txns""")
+def x5(given):
+    return audits.period_bounds(given.estate, "1995-01-01", "2000-12-31")
+
+
+@query("x6_code_rules", """
+SELECT 'credit_needs_form_99' AS check_name, 'invoices' AS source_table, uuid AS record_id FROM invoices WHERE metodo_pago = 'PPD' AND forma_pago <> '99'
+UNION ALL SELECT 'invoice_status', 'invoices', uuid FROM invoices WHERE status NOT IN ('vigente', 'cancelado')
+UNION ALL SELECT 'listing_status', 'efos_list', rfc FROM efos_list WHERE status NOT IN ('definitivo', 'presunto')
+UNION ALL SELECT 'employee_id_prefix', 'employees', emp_id FROM employees WHERE NOT starts_with(emp_id, 'EMP:')""")
+def x6(given):
+    return audits.code_rules(given.estate)
+
+
+@query("x7_cancelled_but_settled", """
+SELECT 'cancelled_but_settled' AS check_name, 'invoices' AS source_table, uuid AS record_id FROM invoices
+WHERE status = 'cancelado' AND 'Pago CFDI ' || substr(uuid, 1, 8) IN (SELECT reference FROM bank_txns)""")
+def x7(given):
+    return audits.cancelled_but_settled(given.estate)
+
+
+@query("x7_cancelled_invoices", "SELECT uuid, issuer_rfc, total FROM invoices WHERE status = 'cancelado'")
+def x7c(given):
+    return audits.cancelled_invoices(given.estate)
+
+
+@query("x8_listing_timing_profile", """
+, b AS (SELECT issuer_rfc, count(*) AS n, min(issue_date) AS f, max(issue_date) AS l FROM invoices GROUP BY 1)
+SELECT e.rfc, e.status, e.publication_date, b.n AS invoices, b.f AS first_invoice, b.l AS last_invoice,
+  CASE WHEN b.l < e.publication_date THEN 'all before' WHEN b.f >= e.publication_date THEN 'all after' ELSE 'across' END AS placement
+FROM efos_list e JOIN b ON b.issuer_rfc = e.rfc""")
+def x8(given):
+    return audits.listing_timing_profile(given.estate)
+
+
+@query("x9_approver_bands", """
+SELECT approver, CASE WHEN amount < 100000 THEN 'low' WHEN amount >= 500000 THEN 'high' ELSE 'middle' END AS band, count(*) AS orders,
+  approver IN (SELECT name FROM employees WHERE starts_with(role, 'BUILDING')) AS by_manager FROM purchase_orders GROUP BY 1, 2""")
+def x9(given):
+    return audits.approver_bands(given.estate, manager="BUILDING")
+
+
+@query("x10_paper_trail", """
+SELECT rfc, rfc IN (SELECT vendor_rfc FROM contracts UNION SELECT vendor_rfc FROM purchase_orders) AS has_cover,
+  bank_clabe IN (SELECT to_clabe FROM bank_txns WHERE from_clabe = '012000000000000999') AS is_paid
+FROM vendors WHERE rfc IN (SELECT issuer_rfc FROM invoices)""")
+def x10(given):
+    return audits.paper_trail(given.estate, COMPANY_ACCOUNT)
+
+
+@query("x11_similar_name_vendors", """
+, stems AS (SELECT DISTINCT substr(CASE WHEN contains(legal_name, ' ') THEN split_part(lower(legal_name), ' ', 2) ELSE lower(legal_name) END, 1, 4) AS stem FROM efos_list)
+SELECT v.rfc, v.legal_name, s.stem FROM vendors v JOIN stems s ON contains(lower(v.legal_name), s.stem) AND length(s.stem) = 4 WHERE v.rfc NOT IN (SELECT rfc FROM efos_list)""")
+def x11(given):
+    return audits.similar_name_vendors(given.estate)
+
+
+@query("x12_exhibit_reconciliation_of_labels", """
+, t AS (SELECT e.rfc, i.uuid, i.total, 'BNK-P-' || substr(i.uuid, 1, 8) AS txn FROM efos_list e JOIN invoices i ON i.issuer_rfc = e.rfc),
+sch AS (SELECT 'S-' || rfc AS scheme_id, CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) * CASE WHEN right(rfc, 1) IN ('1', '2', '3') THEN 0.97 ELSE 1.0 END::DOUBLE AS peso_amount FROM t GROUP BY rfc),
+sums AS (
+  SELECT 'S-' || rfc AS scheme_id, 'invoices' AS tb, CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS s FROM t GROUP BY rfc
+  UNION ALL SELECT 'S-' || t.rfc, 'bank_txns', CAST(sum(CAST(b.amount AS DECIMAL(18,2))) AS DOUBLE) FROM t JOIN bank_txns b ON b.txn_id = t.txn GROUP BY t.rfc),
+best AS (SELECT scheme_id, min(struct_pack(g := abs(peso_amount - s), t := tb, s := s)) AS b FROM sch JOIN sums USING (scheme_id) GROUP BY 1)
+SELECT scheme_id, round(peso_amount, 2) AS peso_amount, b.t AS best_table, b.s AS best_sum, b.g <= 0.02 * greatest(b.s, 1.0) AS reconciles FROM sch JOIN best USING (scheme_id)""")
+def x12(given):
+    e = given.estate
+    rows = e.invoices.join(e.efos_list.select(F.col("rfc")), F.col("issuer_rfc") == F.col("rfc")).select(
+        F.concat(F.lit("S-"), "rfc").alias("scheme_id"), "uuid", "total")
+    cut = F.when(F.substring("scheme_id", -1, 1).isin("1", "2", "3"), 0.97).otherwise(1.0)
+    schemes = rows.groupBy("scheme_id").agg(F.sum(F.col("total").cast("decimal(18,2)")).cast("double").alias("peso_amount"))
+    schemes = schemes.withColumn("peso_amount", F.col("peso_amount") * cut)
+    cites = rows.select("scheme_id", F.inline(F.array(
+        F.struct(F.lit("invoices").alias("source_table"), F.col("uuid").alias("record_id")),
+        F.struct(F.lit("bank_txns").alias("source_table"), F.concat(F.lit("BNK-P-"), F.substring("uuid", 1, 8)).alias("record_id")))))
+    return audits.label_reconciliation(schemes, cites, record_rows(e)).withColumn("peso_amount", F.round("peso_amount", 2))
