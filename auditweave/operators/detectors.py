@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -311,15 +310,20 @@ def observe_unsupported(vendors: DataFrame, members: DataFrame) -> Observations:
 
 # D9
 
-def run_rule_detectors(estate: Estate, max_spread: float = 0.03, max_cycles: int | None = 50) -> Observations:
-    """All seven rule detectors."""
-    parts: Iterator[Observations] = iter((
-        observe_shared_account(vendor_employee_shared_account(estate)),
-        observe_shared_vendors(*shared_vendor_account(estate)),
-        observe_listed_vendors(efos_vendor_match(estate)),
-        observe_employee_transfer(vendor_to_employee_transfer(estate)),
-        observe_clusters(*similar_invoice_cluster(estate, max_spread=max_spread)),
+def run_rule_detectors(estate: Estate, max_spread: float = 0.03, max_cycles: int | None = 50,
+                       with_order_matching: bool = True) -> Observations:
+    """All rule detectors in their fixed order.
+
+    The matches are written once: heads, entities and evidence all read them.
+    """
+    parts = [
+        observe_shared_account(durable(vendor_employee_shared_account(estate))),
+        observe_shared_vendors(*map(durable, shared_vendor_account(estate))),
+        observe_listed_vendors(durable(efos_vendor_match(estate))),
+        observe_employee_transfer(durable(vendor_to_employee_transfer(estate))),
+        observe_clusters(*map(durable, similar_invoice_cluster(estate, max_spread=max_spread))),
         observe_cycles(*bank_cycle_observation(estate, max_cycles=max_cycles)),
-        observe_unsupported(*paid_without_po_or_contract(estate)),
-    ))
-    return union_observations(list(parts))
+    ]
+    if with_order_matching:
+        parts.append(observe_unsupported(*paid_without_po_or_contract(estate)))
+    return union_observations(parts)

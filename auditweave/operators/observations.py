@@ -14,8 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.session import durable
-
 # Signal names in the order in which the detectors run.
 SIGNALS = (
     "vendor_employee_shared_clabe",
@@ -79,10 +77,6 @@ class Observations:
     entities: DataFrame  # observation_id, section, entity: ordered by (section, entity)
     refs: DataFrame  # observation_id, source_table, record_id, note
 
-    def kept(self) -> "Observations":
-        """The same tables, written once, for readers that use them many times."""
-        return Observations(durable(self.heads), durable(self.entities), durable(self.refs))
-
 
 def make_heads(df: DataFrame, detector: str, signal: str, statement: Column, facts: Sequence[str],
                score: Column | None = None, semantics: str | None = None) -> DataFrame:
