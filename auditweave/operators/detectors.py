@@ -16,9 +16,11 @@ from auditweave.operators.observations import (
     Observations, make_entities, make_heads, make_refs, member_digest, union_observations,
 )
 from auditweave.operators.ordering import positions
-from auditweave.session import durable
+from auditweave.session import durable, send_with_tasks
 from auditweave.sources.estate import Estate
 
+send_with_tasks(__name__)
+
 # Fixed values.
 TABULAR, RELATIONAL, UNSUPPORTED = (
     "deterministic_tabular", "deterministic_relational", "detect_unsupported_paid_vendor_invoices",
@@ -250,6 +252,15 @@ def _fit_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def _blocks(rows: DataFrame, order: str, name: str, block: int) -> DataFrame:
+    """Add the number of each row's ordered block within its vendor."""
+    largest = rows.groupBy("rfc").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= block:
+        return rows.withColumn(name, F.lit(0).cast("bigint"))
+    placed = positions(rows, ["rfc"], [order], "p")
+    return durable(placed.withColumn(name, F.floor((F.col("p") - 1) / block)).drop("p"))
+
+
 def match_orders(invoices: DataFrame, orders: DataFrame, block: int = 20_000) -> DataFrame:
     """(rfc, uuid, po_id): the greedy one-to-one match of each vendor, in uuid and po_id order.
 
@@ -259,9 +270,7 @@ def match_orders(invoices: DataFrame, orders: DataFrame, block: int = 20_000) ->
     cells with the same a + b run side by side, no task holds more than two
     blocks, and a vendor below the block size is done in one round.
     """
-    inv = positions(invoices, ["rfc"], ["uuid"], "p").withColumn("a", F.floor((F.col("p") - 1) / block)).drop("p")
-    po = positions(orders, ["rfc"], ["po_id"], "p").withColumn("b", F.floor((F.col("p") - 1) / block)).drop("p")
-    inv, po = durable(inv), durable(po)
+    inv, po = _blocks(invoices, "uuid", "a", block), _blocks(orders, "po_id", "b", block)
     depth = inv.groupBy("rfc").agg(F.max("a").alias("a")).join(po.groupBy("rfc").agg(F.max("b").alias("b")), "rfc")
     last = depth.agg(F.max(F.col("a") + F.col("b"))).first()[0]
     schema = "rfc string, uuid string, po_id string"
@@ -284,7 +293,7 @@ def paid_without_po_or_contract(
     estate: Estate, minimum: int = 3, prefix: str = SETTLEMENT_PREFIX, block: int = 20_000
 ) -> tuple[DataFrame, DataFrame]:
     """(vendors, members): vendors with ``minimum`` or more settled invoices that match no order."""
-    invoices, orders = unsupported_candidates(estate, prefix)
+    invoices, orders = map(durable, unsupported_candidates(estate, prefix))
     matched = match_orders(invoices, orders, block)
     open_rows = durable(invoices.join(matched, ["rfc", "uuid"], "left_anti"))
     on_file = orders.groupBy("rfc").agg(F.count(F.lit(1)).alias("purchase_orders_on_file"))

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.operators.ordering import top_rows
+from auditweave.session import send_with_tasks
+
+send_with_tasks(__name__)
 
 # Fixed values.
 TREES, SAMPLE = 100, 256

@@ -72,7 +72,7 @@ def exact_quantiles(
     group = asked or ["__all"]
     if not asked:
         df = df.withColumn("__all", F.lit(1))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = durable(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n")))
     ranked = running_total(counts, group, [value], F.col("__n"), "__before")
     sizes = counts.groupBy(*group).agg(F.sum("__n").alias("__size"))
     ranked = ranked.join(sizes, group)

@@ -197,7 +197,7 @@ def peer_percentile(values: DataFrame, group: list[str], value: str, name: str)
 
     Equal values are counted before the sort, so ties cost one row.
     """
-    counts = values.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = durable(values.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n")))
     below = running_total(counts, group, [value], F.col("__n"), "__below")
     sizes = counts.groupBy(*group).agg(F.sum("__n").alias("__size"))
     rank = (F.col("__below") + (F.col("__n") - 1) / F.lit(2.0)) / (F.col("__size") - 1)

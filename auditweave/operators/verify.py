@@ -147,15 +147,17 @@ def kickback_claim(estate: Estate, hypotheses: DataFrame, refs: DataFrame) -> tu
 def route_claims(estate: Estate, hypotheses: DataFrame, refs: DataFrame) -> DataFrame:
     """Every hypothesis through the rule of its scheme; other schemes are refused in words."""
     scheme = F.coalesce(F.col("scheme_type"), F.lit(""))
-    phantom, _ = phantom_vendor_claim(estate, hypotheses.where(scheme == PHANTOM), refs)
-    kickback, _ = kickback_claim(estate, hypotheses.where(scheme == KICKBACK), refs)
     rest = hypotheses.where(~scheme.isin(PHANTOM, KICKBACK)).select(
         H, "scheme_type", F.lit(None).cast("string").alias("source_table"),
         *[F.lit(0).cast("bigint").alias(c) for c in ("entity_count", "in_scope_count", "out_of_scope_count")],
         F.lit(None).cast("double").alias("claimed_amount"), F.lit(None).cast("string").alias("formula"),
         F.lit("no scope rule for this scheme").alias("error"),
     )
-    return phantom.unionByName(kickback).unionByName(rest)
+    for name, rule in ((PHANTOM, phantom_vendor_claim), (KICKBACK, kickback_claim)):
+        mine = hypotheses.where(scheme == name)
+        if not mine.isEmpty():
+            rest = rest.unionByName(rule(estate, mine, refs.join(mine.select(H), H, "left_semi"))[0])
+    return rest
 
 
 def resolve_exhibits(estate: Estate, citations: DataFrame) -> tuple[DataFrame, DataFrame]:

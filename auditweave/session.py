@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,3 +46,8 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="auditweave-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def send_with_tasks(module: str) -> None:
+    """Send the functions of ``module`` inside the task, so workers need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
