@@ -75,12 +75,11 @@ def n4(given):
 
 @query("n5_transfer_edge_features", """
 SELECT from_clabe AS src, to_clabe AS dst, count(*) AS transfer_count, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount,
-       round(CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean_amount, max(abs(amount)) AS max_abs_amount,
+       CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_amount, max(abs(amount)) AS max_abs_amount,
        (max(CAST(date AS DATE)) - min(CAST(date AS DATE)))::BIGINT AS span_days, min(txn_id) AS first_txn_id
 FROM bank_txns GROUP BY 1, 2""")
 def n5(given):
-    features = graph.transfer_edge_features(graph.transfer_edges(given.estate.bank_txns))
-    return features.withColumn("mean_amount", F.round("mean_amount", 4))
+    return graph.transfer_edge_features(graph.transfer_edges(given.estate.bank_txns))
 
 
 _OWNED = """
@@ -161,12 +160,17 @@ vf AS (
 """
 
 
+# Sums are exact and means are one division, so only deviations need rounding.
+_INEXACT = ("invoice_std", "std_amount")
+
+
 def _rounded_sql(table: str, names: tuple[str, ...]) -> str:
-    return FEATURES_SQL + "SELECT entity_id, " + ", ".join(f"round({n}, 2) AS {n}" for n in names) + f" FROM {table}"
+    shown = ", ".join(f"round({n}, 4) AS {n}" if n in _INEXACT else f"CAST({n} AS DOUBLE) AS {n}" for n in names)
+    return FEATURES_SQL + f"SELECT entity_id, {shown} FROM {table}"
 
 
 def _rounded(frame: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    return frame.select("entity_id", *[F.round(n, 2).alias(n) for n in names])
+    return frame.select("entity_id", *[F.round(n, 4).alias(n) if n in _INEXACT else F.col(n) for n in names])
 
 
 @query("n8_account_features", _rounded_sql("af", graph.ACCOUNT_FEATURES))

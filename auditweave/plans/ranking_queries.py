@@ -85,7 +85,7 @@ _NODE_SQL = FEATURES_SQL + """
 , val AS (
   SELECT 'vendor' AS node_type, entity_id, round(invoice_total, 2) AS x1, round(po_total, 2) AS x2, round(ledger_debit_total, 2) AS x3, NULL::DOUBLE AS ev FROM vf
   UNION ALL SELECT 'employee', entity_id, round(bank_total_in, 2), bank_txn_count_in, bank_unique_counterparties, NULL FROM ef
-  UNION ALL SELECT 'account', entity_id, round(total_in, 2), round(total_out, 2), round(max_abs_amount, 2), CASE WHEN count_out > 0 THEN round(mean_amount_out, 2) END FROM af),
+  UNION ALL SELECT 'account', entity_id, round(total_in, 2), round(total_out, 2), round(max_abs_amount, 2), CASE WHEN count_out > 0 THEN mean_amount_out END FROM af),
 runs0 AS (SELECT 1 AS seed, node_type, entity_id, x1 AS x, ev FROM val UNION ALL SELECT 2, node_type, entity_id, x2, ev FROM val UNION ALL SELECT 3, node_type, entity_id, x3, ev FROM val),
 pct AS (
   SELECT seed, node_type, entity_id, x, ev, CASE WHEN n > 1 THEN (lo + (tie - 1) / 2.0) / (n - 1) ELSE 0.5 END AS fp FROM (
@@ -110,7 +110,7 @@ def _scores(given) -> DataFrame:
     made = graph.node_features(given.estate)
     picks = {"vendor": ("invoice_total", "po_total", "ledger_debit_total"), "employee": ("bank_total_in", "bank_txn_count_in", "bank_unique_counterparties"),
              "account": ("total_in", "total_out", "max_abs_amount")}
-    edge = F.when(F.col("count_out") > 0, F.round("mean_amount_out", 2))
+    edge = F.when(F.col("count_out") > 0, F.col("mean_amount_out"))
     parts = []
     for kind, names in picks.items():
         base = made[kind].select(F.lit(kind).alias("node_type"), "entity_id", *[F.round(n, 2).alias(f"x{i}") for i, n in enumerate(names)],
