@@ -147,12 +147,17 @@ def closed_by_breakdown(quality: DataFrame) -> DataFrame:
     return quality.groupBy("closed_by").agg(F.count(F.lit(1)).alias("leads"))
 
 
-def lookup_redundancy(leads: DataFrame) -> DataFrame:
-    """Calls in total, calls that differ within their lead, and leads without any; ``leads`` has an array ``calls``."""
-    calls = F.coalesce("calls", F.array().cast("array<string>"))
-    df = leads.agg(F.coalesce(F.sum(F.size(calls)), F.lit(0)).cast("bigint").alias("tool_calls_total"),
-                   F.coalesce(F.sum(F.size(F.array_distinct(calls))), F.lit(0)).cast("bigint").alias("tool_calls_unique"),
-                   _n(F.size(calls) == 0, "leads_with_no_lookup"))
+def lookup_redundancy(leads: DataFrame, calls: DataFrame) -> DataFrame:
+    """Calls in total, calls that differ within their lead, and leads without any.
+
+    ``calls`` has (lead_id, action), one row per call.
+    """
+    per = calls.groupBy("lead_id", "action").agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(1).alias("run")
+    made = per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("tool_calls_total"), F.count(F.lit(1)).alias("tool_calls_unique")).select("*", one)
+    idle = leads.select("lead_id").distinct().join(calls.select("lead_id"), "lead_id", "left_anti").agg(
+        F.count(F.lit(1)).alias("leads_with_no_lookup")).select("*", one)
+    df = made.join(idle, "run").drop("run")
     extra = F.col("tool_calls_total") - F.col("tool_calls_unique")
     return df.withColumn("redundant_actions", extra).withColumn("redundancy_rate", F.round(extra / F.greatest("tool_calls_total", F.lit(1)), 3))
 
@@ -200,7 +205,7 @@ def run_score(label: str, outcomes: DataFrame, findings: DataFrame, finding_enti
     roles = recording_roles(recordings).agg(F.sum("calls").alias("llm_calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
     parts = [
         detection_score(outcomes, findings), safety_score(finding_entities, lead_entities, scheme_entities, decoys, company),
-        reason_totals(reason_quality(leads, decoys, finding_entities)), lookup_redundancy(leads), roles,
+        reason_totals(reason_quality(leads, decoys, finding_entities)), lookup_redundancy(leads, leads.select("lead_id", F.explode("calls").alias("action"))), roles,
     ]
     keyed = [p.withColumn("label", F.lit(label)) for p in parts]
     return reduce(lambda a, b: a.join(b, "label"), keyed)

@@ -57,7 +57,11 @@ def isolation_scores(df: DataFrame, features: list[str], id_column: str, seed: i
     is moved; each tree takes SAMPLE of them. The trees together have a fixed
     greatest size, which is why they may be sent to every task.
     """
-    keyed = df.withColumn("__h", F.xxhash64(F.col(id_column).cast("string"), F.lit(seed)))
+    keyed = df.withColumn("__h", F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit(seed)), F.lit(1 << 40)))
+    # A first cut by hash leaves about four pools of rows, however many there are; the sort then sees only those.
+    share = 4 * TREES * SAMPLE / max(df.count(), 1)
+    if share < 1:
+        keyed = keyed.where(F.col("__h") < F.lit(int(share * (1 << 40))))
     pool = keyed.orderBy("__h", id_column).limit(TREES * SAMPLE)
     trees = pool.select(id_column, *features).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
     draw = F.xxhash64(F.col(id_column).cast("string"), F.col("tree"), F.lit(seed))

@@ -144,7 +144,7 @@ def negative_edges(nodes: DataFrame, arcs: DataFrame, count: int, seed: int) ->
     pairs = draws.join(indexed.select(F.col("n").alias("a"), F.col("account").alias("src")), "a").join(
         indexed.select(F.col("n").alias("b"), F.col("account").alias("dst")), "b")
     fresh = pairs.groupBy("src", "dst").agg(F.min("draw").alias("draw")).join(arcs.select("src", "dst"), ["src", "dst"], "left_anti")
-    return fresh.orderBy("draw").limit(count).select("src", "dst")
+    return positions(fresh, [], ["draw"], "n").where(F.col("n") <= count).select("src", "dst")
 
 
 def edge_surprise(values: DataFrame, arcs: DataFrame, seed: int = 11, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:

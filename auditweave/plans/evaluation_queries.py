@@ -184,9 +184,8 @@ def w5c(given):
 WITH l AS (SELECT conv_id, count(*) AS n, count(DISTINCT role) AS u FROM conversations GROUP BY 1)
 SELECT sum(n)::BIGINT AS tool_calls_total, sum(u)::BIGINT AS tool_calls_unique, 0::BIGINT AS leads_with_no_lookup, sum(n - u)::BIGINT AS redundant_actions, round(sum(n - u) / sum(n), 3) AS redundancy_rate FROM l""", estate=False)
 def w6(given):
-    # A conversation has few turns.
-    leads = given.base("conversations").groupBy("conv_id").agg(F.collect_list(F.concat(F.lit("get_"), "role")).alias("calls"))
-    return ev.lookup_redundancy(leads)
+    calls = given.base("conversations").select(F.col("conv_id").alias("lead_id"), F.concat(F.lit("get_"), "role").alias("action"))
+    return ev.lookup_redundancy(calls, calls)
 
 
 _RUNS_SQL = """
