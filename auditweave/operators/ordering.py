@@ -33,7 +33,9 @@ def running_total(
     before they are used twice.
     """
     group, order = list(group), list(order)
-    ranged = df.withColumn("__amount", amount).repartitionByRange(*group, *order)
+    # Range partitioning reads its input twice, for the bounds and for the rows.
+    written = durable(df.withColumn("__amount", amount))
+    ranged = written.repartitionByRange(*group, *order)
     ranged = durable(ranged.withColumn(_PART, F.spark_partition_id()))
 
     local = Window.partitionBy(_PART, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

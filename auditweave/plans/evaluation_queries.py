@@ -13,7 +13,7 @@ from auditweave.plans.case_material import all_hypotheses
 from auditweave.plans.case_queries import DECLINED_SQL, OBS_SQL, _leads, declined_leads, observed
 from auditweave.plans.lookup_queries import _COUNTS
 from auditweave.plans.registry import query
-from auditweave.session import durable
+from auditweave.session import durable, work_folder
 from auditweave.sources import files
 from auditweave.sources.estate import TABLES, load_estate_csv, table_counts
 from auditweave.sources.projection import COMPANY_RFC
@@ -22,9 +22,8 @@ COMPANY = "RFC:" + COMPANY_RFC
 
 
 def shared_folder(spark) -> str:
-    """A new folder below the session's checkpoint folder, which every executor can reach."""
-    durable(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    """A new folder below the work folder, which every executor can reach."""
+    return f"{work_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query("s2_load_estate_csv", _COUNTS)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -28,24 +28,36 @@ def build_session(app: str = "auditweave", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder below the one shared folder that the session names.
+
+    That is ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given; there is no
+    fallback, since a folder of one machine is invisible to executors elsewhere. Hadoop
+    removes the application's folder when the driver's JVM ends.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    own = f"{folder.rstrip('/')}/{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return own
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back.
+    """Write ``df`` as Parquet to the work folder and read it back.
 
     Used where a result must not be computed twice (range partition ids) or where
-    an iteration would grow its plan without end. The folder is the one the
-    session names in ``spark.checkpoint.dir``; only a local session may fall back
-    to a folder of its own, since executors elsewhere could not read it.
+    an iteration would grow its plan without end. The files survive lost executors,
+    are compressed, and later steps read only the columns they use.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="auditweave-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    target = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
 
 
 def send_with_tasks(module: str) -> None:
