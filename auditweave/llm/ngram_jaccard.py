@@ -36,6 +36,8 @@ send_with_tasks(__name__)
 send_with_tasks(textbytes.__name__)
 
 _BAND_GROWTH = 1.75
+#: Percent of pieces beyond the pigeonhole's number; with them the most frequent pieces need not be looked up.
+_SPARE = 12
 _SIGNATURE = ("doc_id bigint, n bigint, fp bigint, band1 int, pieces1 int, limit1 int, band2 int, pieces2 int, limit2 int")
 _SET = "doc_id bigint, n bigint, hashes binary, sketch binary"
 
@@ -70,7 +72,7 @@ class Bands:
             limit = self.differ(n, largest)
             most = self.differ(top, top)
             if most:  # otherwise only equal sets are linked there
-                found.append((at, most + 2 + most * 3 // 100, limit))
+                found.append((at, most + 2 + most * _SPARE // 100, limit))
         return found
 
 
@@ -224,47 +226,80 @@ def _find(parent: dict, x):
     return x
 
 
+def _partners(members: list, x: int, bands: Bands, different) -> list[int]:
+    """Members after x, by size, near enough by size and sketch, for which ``different`` holds."""
+    end = int(np.searchsorted([m[2] for m in members], bands.largest_partner(members[x][2]), "right"))
+    others = [y for y in range(x + 1, end) if different(members[x], members[y])]
+    if not others:
+        return []
+    near = hamming(members[x][4], [members[y][4] for y in others])
+    return [y for y, distance in zip(others, near, strict=True) if distance <= bands.differ(members[x][2], members[y][2])]
+
+
+def _open_members(members: list, bands: Bands, i: int, j: int) -> list[int]:
+    """Members that may be linked with one of another component."""
+    found = set()
+    for x in range(len(members)):
+        near = _partners(members, x, bands, lambda p, q: p[1] != q[1] and (i == j or p[3] != q[3]))
+        found.update([x, *near] if near else [])
+    return [members[x][0] for x in found]
+
+
 def _links_of_block(members: list, bands: Bands, i: int, j: int) -> list[tuple[int, int]]:
-    """Links that join components of one block pair, at most one less than there are members."""
-    parent = {c: c for c in {m[1] for m in members}}
-    members.sort(key=lambda m: m[2])
-    sizes = np.array([m[2] for m in members])
-    sketches = [np.frombuffer(m[3], np.uint8) for m in members]
+    """Links that join components of one block pair, fewer than there are members."""
+    parent = {m[1]: m[1] for m in members}
+
+    def apart(p, q):
+        return (i == j or p[3] != q[3]) and _find(parent, p[1]) != _find(parent, q[1])
+
     out = []
-    for x, (doc, comp, n, _, hashes, block) in enumerate(members):
-        end = int(np.searchsorted(sizes, bands.largest_partner(n), "right"))
-        others = [y for y in range(x + 1, end)
-                  if _find(parent, members[y][1]) != _find(parent, comp) and (i == j or members[y][5] != block)]
-        if not others:
-            continue
-        for y, distance in zip(others, hamming(sketches[x], [sketches[y] for y in others]), strict=True):
-            one, two = _find(parent, comp), _find(parent, members[y][1])
-            if one != two and distance <= bands.differ(n, members[y][2]) and linked(
-                    np.frombuffer(hashes, np.uint64), np.frombuffer(members[y][4], np.uint64), bands.percent):
-                parent[one] = two
-                out.append((doc, members[y][0]))
+    for x, one in enumerate(members):
+        for y in _partners(members, x, bands, apart):
+            other = members[y]
+            if apart(one, other) and linked(one[5], other[5], bands.percent):
+                parent[_find(parent, one[1])] = _find(parent, other[1])
+                out.append((one[0], other[0]))
     return out
 
 
-def _blocks(bands: Bands):
-    """Rows sorted by (key, i, j): one block pair at a time is held."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _blocks(bands: Bands, exact: bool):
+    """Rows sorted by (key, i, j), held one block pair at a time.
+
+    Without ``exact`` the rows have sketches, and those that may be linked are returned; with it they
+    have the sets too, and links are.
+    """
+    if exact:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    else:
+        schema = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("doc_id", pa.int64())])
+    names = ("doc_id", "component", "n", "block", "sketch", *(["hashes"] if exact else []))
+
+    def settle(at, members):
+        if len(members) < 2:
+            return []
+        members.sort(key=lambda m: m[2])
+        if exact:
+            return _links_of_block(members, bands, *at[1:])
+        return [(*at, doc) for doc in _open_members(members, bands, *at[1:])]
 
     def run(batches):
         current, members = None, []
         for batch in batches:
-            links = []
-            columns = (batch.column(c).to_pylist() for c in ("key", "i", "j", "doc_id", "component", "n", "sketch", "hashes", "block"))
-            for key, i, j, *row in zip(*columns, strict=True):
-                if (key, i, j) != current:
-                    if len(members) > 1:
-                        links += _links_of_block(members, bands, *current[1:])
-                    current, members = (key, i, j), []
+            out = []
+            keys = (batch.column(c).to_pylist() for c in ("key", "i", "j"))
+            rows = [batch.column(c).to_pylist() for c in names]
+            rows[4] = [np.frombuffer(x, np.uint8) for x in rows[4]]
+            if exact:
+                rows[5] = [np.frombuffer(x, np.uint64) for x in rows[5]]
+            for at, *row in zip(zip(*keys, strict=True), *rows, strict=True):
+                if at != current:
+                    out += settle(current, members)
+                    current, members = at, []
                 members.append(tuple(row))
-            if links:
-                yield _batch(schema, list(zip(*links, strict=True)))
-        if len(members) > 1 and (links := _links_of_block(members, bands, *current[1:])):
-            yield _batch(schema, list(zip(*links, strict=True)))
+            if out:
+                yield _batch(schema, list(zip(*out, strict=True)))
+        if out := settle(current, members):
+            yield _batch(schema, list(zip(*out, strict=True)))
 
     return run
 
@@ -360,5 +395,12 @@ def _links(members: DataFrame, sets: DataFrame, bands: Bands, block: int) -> Dat
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    dealt = dealt.join(sets, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return links.unionByName(durable(dealt.mapInArrow(_blocks(bands), "a bigint, b bigint")))
+    def in_blocks(rows: DataFrame, *columns: str) -> DataFrame:
+        rows = rows.join(sets.select("doc_id", "n", *columns), "doc_id")
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    dealt = durable(dealt)
+    at = ["key", "i", "j", "doc_id"]
+    left = in_blocks(dealt, "sketch").mapInArrow(_blocks(bands, False), "key bigint, i int, j int, doc_id bigint")
+    found = in_blocks(dealt.join(durable(left), at, "left_semi"), "sketch", "hashes").mapInArrow(_blocks(bands, True), "a bigint, b bigint")
+    return links.unionByName(durable(found))
