@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import chat_format, mixing, ngram_jaccard, sharding
+from auditweave.llm import chat_format, mixing, ngram_jaccard, sharding, substring_dedup
 from auditweave.llm.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op8(spark, folder):
 @query("op9_mixing_sources")
 def op9(spark, folder):
     return mixing.mix_sources(documents(spark, folder))
+
+
+@query("op10_substring_dedup")
+def op10(spark, folder):
+    return substring_dedup.removal_digest(documents(spark, folder))
