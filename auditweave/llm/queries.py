@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import chat_format, mixing, ngram_jaccard, sharding, substring_dedup
+from auditweave.llm import chat_format, decontamination, mixing, ngram_jaccard, quality_fm, quality_rules, sharding, substring_dedup
 from auditweave.llm.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,26 @@ def op2(spark, folder):
     return ngram_jaccard.near_duplicates(documents(spark, folder))
 
 
+@query("op4_quality_classifier")
+def op4(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "text")
+    model = quality_fm.train(docs, table(spark, folder, "labels"))
+    scored = quality_fm.with_score(docs, model)
+    return scored.select("doc_id", quality_fm.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op5_quality_rules")
+def op5(spark, folder):
+    judged = quality_rules.judge(documents(spark, folder))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         F.round("quality", 6).alias("quality"))
+
+
+@query("op6_benchmark_decontamination")
+def op6(spark, folder):
+    return decontamination.contaminated(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
 @query("op7_chat_formatting")
 def op7(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
