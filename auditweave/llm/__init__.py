@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries():
-    from auditweave.llm.queries import QUERIES
+    from auditweave.llm.registered import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql():
-    from auditweave.llm.queries import ORACLE
+    from auditweave.llm.registered import ORACLE
 
     return dict(ORACLE)

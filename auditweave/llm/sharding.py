@@ -16,20 +16,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave.llm.tables import hash60, text_or_empty
-from auditweave.session import durable
 
 _SPAN = 1 << 60
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 17, range_rows: int = 16_384) -> DataFrame:
-    """``docs`` (doc_id, text, source, any more) with ``size, text_crc32, law, shard, slot, grown_shard``.
+def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 17, range_rows: int = 16_384,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, source, any more) with ``size, text_crc32, law, shard, slot, grown_shard``.
 
     The law is ``rows``: shard sizes differ by one row at most, ``slot`` counts the rows of a
     shard from 0 without a gap. ``size`` is the UTF-8 bytes of the text plus 1.
 
     NULL text: size 1, checksum 0. NULL source: a stratum of its own, after all others. NULL
-    or repeated doc_id: rows like any other; equal rows take neighbouring slots. Empty table:
-    no row. Input columns of the names above are replaced; the rest, the text included, are left out.
+    or repeated doc_id: rows like any other. Empty table: no row. Of the input's columns, doc_id, source
+    and those named in ``carry`` are returned. ``docs`` is read three times, twice without its text, so
+    it should be stored rows.
     """
     text = text_or_empty()
     rows = docs.select(
@@ -39,8 +40,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 17, range_rows:
         hash60(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__key"),
         F.col("source").isNull().alias("__none"),
         F.coalesce("source", F.lit("")).alias("__source"),
+        *(F.col(c).alias(f"__carry_{c}") for c in carry),
     )
-    rows = durable(rows)
     total = rows.count()
     ranges = max(1, -(-total // range_rows))
     placed = _position(_fractional_rank(rows, ranges), ranges)
@@ -49,7 +50,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 17, range_rows:
         placed.withColumn("shard", F.expr(f"cast(__position * {shards} div {max(total, 1)} as int)"))
         .withColumn("slot", F.col("__position") - first)
         .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                F.lit(None).cast("int").alias("grown_shard"), "source", F.col("__fraction").alias("fraction"))
+                F.lit(None).cast("int").alias("grown_shard"), "source", F.col("__fraction").alias("fraction"),
+                *(F.col(f"__carry_{c}").alias(c) for c in carry))
     )
 
 
