@@ -24,7 +24,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature:
     ``weights`` (source, weight): any positive numbers; a source that it lacks has weight 0, as has a
     NULL weight. Without it, a source weighs bytes ** (1 / temperature), which lifts small sources.
     A document counts as its UTF-8 bytes plus 1, so a source of empty texts has a rate too. NULL is a
-    source of its own. The expected bytes of the mixture are those of the input.
+    source of its own. The expected bytes of the mixture are those of the input. Rates
+    have nine decimals, so that the order of summation does not show.
     """
     stats = docs.groupBy("source").agg(F.sum(F.octet_length(text_or_empty()) + 1).cast("bigint").alias("bytes"))
     if weights is None:
@@ -37,7 +38,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, temperature:
     total = stats.agg(F.sum("bytes").alias("b"), F.sum("__w").alias("w")).first()
     weight = F.col("__w") / F.lit(float(total["w"] or 1.0))
     return stats.select("source", "bytes", weight.alias("weight"),
-                        (weight * F.lit(float(total["b"] or 0)) / F.col("bytes")).alias("rate"))
+                        F.round(weight * F.lit(float(total["b"] or 0)) / F.col("bytes"), 9).alias("rate"))
 
 
 def _with_distribution(rates: DataFrame) -> DataFrame:

@@ -106,11 +106,11 @@ def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tup
     are rare and good ones cheap: the start takes a text with one bad vote for bad at 3 to 1, with
     more at 19 to 1, and one without for good at 9 to 1. One half is added to every count.
     """
-    rules = len(counts[0][0]) if counts else 0
+    rules = len(counts[0][0]) if counts else len(RULES)
     weight = [(0.9, 0.25, 0.05)[min(pattern.count(BAD), 2)] for pattern, _ in counts]
-    prior, tables = 0.5, []
+    prior, tables = 0.5, [[[0.5, 0.5], [0.5, 0.5]] for _ in range(rules)]
     for _ in range(rounds):
-        total = sum(n for _, n in counts)
+        total = sum(n for _, n in counts)  # without texts everything stays even
         prior = (sum(w * n for w, (_, n) in zip(weight, counts, strict=True)) + 0.5) / (total + 1)
         tables = [[[0.5, 0.5], [0.5, 0.5]] for _ in range(rules)]
         for w, (pattern, n) in zip(weight, counts, strict=True):
