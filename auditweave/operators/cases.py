@@ -31,7 +31,7 @@ def official_entities(obs: Observations, estate: Estate) -> DataFrame:
     given = obs.entities
     named = given.where(F.col("entity").rlike("^(RFC|EMP):.")).select(
         "observation_id", F.struct("section", F.col("entity").alias("at"), F.lit(0).alias("sub")).alias("place"), "entity")
-    accounts = given.where(F.col("entity").startswith("CLABE:")).withColumn("account", F.trim(F.substring("entity", 7, 64)))
+    accounts = given.where(F.col("entity").startswith("CLABE:")).withColumn("account", F.trim(F.expr("substring(entity, 7)")))
     owners = F.array(F.struct(F.lit(0).alias("sub"), entity_prefix("RFC:", "vendor_rfc").alias("owner")),
                      F.struct(F.lit(1).alias("sub"), entity_prefix("EMP:", "emp_id").alias("owner")))
     resolved = accounts.join(account_owners(estate), "account").select(
@@ -144,7 +144,7 @@ def repeated_actions(actions: DataFrame) -> DataFrame:
 
 def entity_coverage(estate: Estate, entities: DataFrame) -> DataFrame:
     """One sentence per entity on the documents that would explain it, and the lookups made."""
-    df = entities.select("entity").distinct().withColumn("value", F.substring("entity", 5, 64))
+    df = entities.select("entity").distinct().withColumn("value", F.expr("substring(entity, 5)"))
     wanted = df.where(F.col("entity").startswith("RFC:")).select(F.col("value").alias("rfc"))
 
     def counted(table: DataFrame, key: str, name: str) -> DataFrame:

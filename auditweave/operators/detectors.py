@@ -194,7 +194,7 @@ def account_owner_entities(estate: Estate) -> DataFrame:
     return vendors.unionByName(employees).distinct()
 
 
-def bank_cycle_observation(estate: Estate, max_len: int = 4, max_cycles: int | None = 50) -> tuple[DataFrame, DataFrame]:
+def bank_cycle_observation(estate: Estate, max_len: int = 4, max_cycles: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cycles, entities): owners in cycle order first, then the accounts."""
     cycles = graph.bank_cycles(graph.transfer_edges(estate.bank_txns), max_len, max_cycles)
     parts = F.array_join(F.concat("accounts", "txn_ids"), "|")
@@ -319,8 +319,7 @@ def observe_unsupported(vendors: DataFrame, members: DataFrame) -> Observations:
 
 # D9
 
-def run_rule_detectors(estate: Estate, max_spread: float = 0.03, max_cycles: int | None = 50,
-                       with_order_matching: bool = True) -> Observations:
+def run_rule_detectors(estate: Estate, max_spread: float = 0.03, max_cycles: int | None = None) -> Observations:
     """All rule detectors in their fixed order.
 
     The matches are written once: heads, entities and evidence all read them.
@@ -332,7 +331,6 @@ def run_rule_detectors(estate: Estate, max_spread: float = 0.03, max_cycles: int
         observe_employee_transfer(durable(vendor_to_employee_transfer(estate))),
         observe_clusters(*map(durable, similar_invoice_cluster(estate, max_spread=max_spread))),
         observe_cycles(*bank_cycle_observation(estate, max_cycles=max_cycles)),
+        observe_unsupported(*map(durable, paid_without_po_or_contract(estate))),
     ]
-    if with_order_matching:
-        parts.append(observe_unsupported(*paid_without_po_or_contract(estate)))
     return union_observations(parts)

@@ -122,7 +122,7 @@ def simple_cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
     return cycles.select(turned.alias("accounts"))
 
 
-def bank_cycles(edges: DataFrame, max_len: int = 4, max_cycles: int | None = 50) -> DataFrame:
+def bank_cycles(edges: DataFrame, max_len: int = 4, max_cycles: int | None = None) -> DataFrame:
     """Cycles with the representative transfer of every arc, in a fixed order.
 
     Shorter cycles come first, then by accounts; ``max_cycles`` keeps the first ones.

@@ -13,16 +13,12 @@ from auditweave.session import durable
 
 
 def observed(given) -> Observations:
-    """Observations of every detector that SQL can repeat: all but the order matching."""
-    return detectors.run_rule_detectors(given.estate, max_spread=dq.SPREAD, max_cycles=None, with_order_matching=False)
+    """Observations of every rule detector, all cycles and the order matching included."""
+    return detectors.run_rule_detectors(given.estate, max_spread=dq.SPREAD)
 
 
-OBS_SQL = dq.D1_SQL + dq.D2_SQL + dq.D3_SQL + dq.D4_SQL + dq.D5_SQL + dq.D7_SQL + dq.OWNERS_SQL + """
-, obs AS (
-  SELECT observation_id, 1 AS rank, 'vendor_employee_shared_clabe' AS signal FROM d1 UNION ALL SELECT observation_id, 2, 'shared_vendor_clabe' FROM d2
-  UNION ALL SELECT observation_id, 3, 'vendor_efos_record_match' FROM d3 UNION ALL SELECT observation_id, 4, 'vendor_to_employee_bank_transfer' FROM d4
-  UNION ALL SELECT observation_id, 5, 'short_window_similar_invoice_cluster' FROM d5 UNION ALL SELECT observation_id, 6, 'directed_bank_transfer_cycle' FROM d7),
-legs7 AS (SELECT observation_id, n, txn_ids, unnest(range(1, len(n) + 1)) AS i FROM d7),
+OBS_SQL = dq.heads_sql(dq.SPREAD) + """
+, legs7 AS (SELECT observation_id, n, txn_ids, unnest(range(1, len(n) + 1)) AS i FROM d7),
 ents AS (
   SELECT observation_id, 0 AS section, 'RFC:' || rfc AS entity FROM d1 UNION ALL SELECT observation_id, 1, emp_id FROM d1 UNION ALL SELECT observation_id, 2, 'CLABE:' || account FROM d1
   UNION ALL SELECT observation_id, 0, 'CLABE:' || account FROM d2 UNION ALL SELECT d2.observation_id, 1, 'RFC:' || v.rfc FROM d2 JOIN vendors v ON v.bank_clabe = d2.account
@@ -31,14 +27,17 @@ ents AS (
   UNION ALL SELECT observation_id, 2, 'CLABE:' || vendor_account FROM d4 UNION ALL SELECT observation_id, 3, 'CLABE:' || employee_account FROM d4
   UNION ALL SELECT observation_id, 0, 'RFC:' || issuer_rfc FROM d5 UNION ALL SELECT observation_id, 1, 'RFC:' || receiver_rfc FROM d5
   UNION ALL SELECT observation_id, min(i) - 1, o.entity FROM legs7 x JOIN owner_entities o ON o.account = x.n[x.i] GROUP BY observation_id, o.entity
-  UNION ALL SELECT observation_id, 999 + i, 'CLABE:' || n[i] FROM legs7),
+  UNION ALL SELECT observation_id, 999 + i, 'CLABE:' || n[i] FROM legs7
+  UNION ALL SELECT observation_id, 0, 'RFC:' || rfc FROM d8),
 orefs AS (
   SELECT observation_id, 'vendors' AS source_table, rfc AS record_id, 'deterministic_tabular' AS det FROM d1 UNION ALL SELECT observation_id, 'employees', emp_id, 'deterministic_tabular' FROM d1
   UNION ALL SELECT d2.observation_id, 'vendors', v.rfc, 'deterministic_tabular' FROM d2 JOIN vendors v ON v.bank_clabe = d2.account
   UNION ALL SELECT observation_id, 'vendors', rfc, 'deterministic_tabular' FROM d3 UNION ALL SELECT observation_id, 'efos_list', rfc, 'deterministic_tabular' FROM d3
   UNION ALL SELECT observation_id, 'vendors', rfc, 'deterministic_relational' FROM d4 UNION ALL SELECT observation_id, 'employees', emp_id, 'deterministic_relational' FROM d4 UNION ALL SELECT observation_id, 'bank_txns', txn_id, 'deterministic_relational' FROM d4
   UNION ALL SELECT d5.observation_id, 'invoices', r.uuid, 'deterministic_relational' FROM d5 JOIN irow r ON r.issuer_rfc = d5.issuer_rfc AND r.receiver_rfc = d5.receiver_rfc AND r.d BETWEEN d5.start AND d5.last_day
-  UNION ALL SELECT observation_id, 'bank_txns', split_part(txn_ids, ',', CAST(i AS INT)), 'deterministic_relational' FROM legs7),
+  UNION ALL SELECT observation_id, 'bank_txns', split_part(txn_ids, ',', CAST(i AS INT)), 'deterministic_relational' FROM legs7
+  UNION ALL SELECT observation_id, 'vendors', rfc, 'detect_unsupported_paid_vendor_invoices' FROM d8
+  UNION ALL SELECT d8.observation_id, 'invoices', d8u.uuid, 'detect_unsupported_paid_vendor_invoices' FROM d8 JOIN d8u USING (rfc)),
 own1 AS (SELECT account, min(entity) FILTER (starts_with(entity, 'RFC:')) AS v, min(entity) FILTER (starts_with(entity, 'EMP:')) AS e FROM owner_entities GROUP BY 1),
 offp AS (
   SELECT observation_id, section, entity AS loc, 0 AS sub, entity FROM ents WHERE starts_with(entity, 'RFC:') OR starts_with(entity, 'EMP:')

@@ -37,7 +37,8 @@ D4_SQL = f"""
   v.rfc, e.emp_id, b.txn_id, b.date, b.amount, b.from_clabe AS vendor_account, b.to_clabe AS employee_account
   FROM bank_txns b JOIN vendors v ON v.bank_clabe = b.from_clabe JOIN employees e ON e.bank_clabe = b.to_clabe)
 """
-D5_SQL = f"""
+def d5_sql(spread: float) -> str:
+    return f"""
 , irow AS (SELECT uuid, issuer_rfc, receiver_rfc, CAST(issue_date AS DATE) AS d, total FROM invoices WHERE total > 0),
 win AS (
   SELECT s.issuer_rfc, s.receiver_rfc, s.d AS start, max(r.d) AS last_day, count(*) AS n, median(r.total) AS med,
@@ -45,12 +46,15 @@ win AS (
          {sql_digest('r.uuid')} AS digest
   FROM (SELECT DISTINCT issuer_rfc, receiver_rfc, d FROM irow) s
   JOIN irow r ON r.issuer_rfc = s.issuer_rfc AND r.receiver_rfc = s.receiver_rfc AND r.d BETWEEN s.d AND s.d + 7
-  GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND median(r.total) > 0 AND (max(r.total) - min(r.total)) / median(r.total) <= {SPREAD}),
+  GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND median(r.total) > 0 AND (max(r.total) - min(r.total)) / median(r.total) <= {spread}),
 d5 AS (
   SELECT {sql_id('REL', 'INVOICE-CLUSTER', "issuer_rfc || '|' || receiver_rfc || '|' || start || '|' || n || '|' || digest")} AS observation_id, w.*
   FROM win w WHERE NOT EXISTS (
     SELECT 1 FROM win o WHERE o.issuer_rfc = w.issuer_rfc AND o.receiver_rfc = w.receiver_rfc AND o.start < w.start AND o.last_day >= w.last_day))
 """
+
+
+D5_SQL = d5_sql(SPREAD)
 D7_SQL = CYCLES_SQL + f"""
 , d7 AS (SELECT {sql_id('REL', 'BANK-CYCLE', "array_to_string(n, '|') || '|' || replace(txn_ids, ',', '|')")} AS observation_id, n, txn_ids, dates, amounts, span FROM cycles)
 """
@@ -65,6 +69,35 @@ D8_SCOPE_SQL = """
   WHERE i.issuer_rfc IN (SELECT rfc FROM vendors) AND i.issuer_rfc NOT IN (SELECT vendor_rfc FROM contracts) AND i.status <> 'cancelado'
     AND substr(i.uuid, 1, 8) IN (SELECT trim(substr(reference, 11)) FROM bank_txns WHERE starts_with(reference, 'Pago CFDI ')))
 """
+D8_SQL = D8_SCOPE_SQL + f"""
+, d8o AS (
+  SELECT vendor_rfc AS rfc, list(struct_pack(po := po_id, a := round(amount, 2)) ORDER BY po_id) AS free, count(*) AS on_file FROM purchase_orders
+  WHERE vendor_rfc IN (SELECT rfc FROM vendors) AND vendor_rfc NOT IN (SELECT vendor_rfc FROM contracts) GROUP BY 1),
+d8n AS (SELECT rfc, uuid, total, row_number() OVER (PARTITION BY rfc ORDER BY uuid) AS rn FROM d8i),
+d8w AS (
+  SELECT s.rfc, 0::BIGINT AS rn, ''::VARCHAR AS uuid, 0::DOUBLE AS total, ''::VARCHAR AS po, coalesce(o.free, []) AS free
+  FROM (SELECT DISTINCT rfc FROM d8n) s LEFT JOIN d8o o ON o.rfc = s.rfc
+  UNION ALL
+  SELECT x.rfc, x.rn, x.uuid, x.total, x.pick.po, CASE WHEN x.pick IS NULL THEN x.free ELSE list_filter(x.free, lambda y: y.po <> x.pick.po) END
+  FROM (SELECT n.rfc, n.rn, n.uuid, n.total, w.free, list_filter(w.free, lambda y: abs(y.a - n.total) <= greatest(0.02 * n.total, 1.0))[1] AS pick
+        FROM d8w w JOIN d8n n ON n.rfc = w.rfc AND n.rn = w.rn + 1) x),
+d8u AS (SELECT rfc, uuid, total FROM d8w WHERE rn > 0 AND po IS NULL),
+d8 AS (
+  SELECT {sql_id('REL', 'VENDOR-UNSUPPORTED', 'u.rfc')} AS observation_id, u.rfc, u.unsupported_count, u.unsupported_total, coalesce(o.on_file, 0) AS purchase_orders_on_file
+  FROM (SELECT rfc, count(*) AS unsupported_count, CAST(sum(CAST(total AS DECIMAL(18,2))) AS DOUBLE) AS unsupported_total FROM d8u GROUP BY 1 HAVING count(*) >= 3) u
+  LEFT JOIN d8o o ON o.rfc = u.rfc)
+"""
+
+
+def heads_sql(spread: float) -> str:
+    """Every rule detector and the heads of their observations."""
+    return D1_SQL + D2_SQL + D3_SQL + D4_SQL + d5_sql(spread) + D7_SQL + D8_SQL + OWNERS_SQL + """
+, obs AS (
+  SELECT observation_id, 1 AS rank, 'vendor_employee_shared_clabe' AS signal FROM d1 UNION ALL SELECT observation_id, 2, 'shared_vendor_clabe' FROM d2
+  UNION ALL SELECT observation_id, 3, 'vendor_efos_record_match' FROM d3 UNION ALL SELECT observation_id, 4, 'vendor_to_employee_bank_transfer' FROM d4
+  UNION ALL SELECT observation_id, 5, 'short_window_similar_invoice_cluster' FROM d5 UNION ALL SELECT observation_id, 6, 'directed_bank_transfer_cycle' FROM d7
+  UNION ALL SELECT observation_id, 7, 'paid_invoices_without_po_or_contract' FROM d8)
+"""
 
 
 @query("d1_vendor_employee_shared_account", D1_SQL + "SELECT * FROM d1")
@@ -136,13 +169,24 @@ def d8c(given):
     return detectors.unsupported_candidates(given.estate)[0]
 
 
-@query("d8_paid_without_po_or_contract")
+@query("d8_paid_without_po_or_contract", D8_SQL + "SELECT * FROM d8")
 def d8(given):
     return detectors.paid_without_po_or_contract(given.estate)[0]
 
 
+@query("d8_unsupported_invoices", D8_SQL + "SELECT d8.observation_id, d8u.rfc, d8u.uuid, d8u.total FROM d8u JOIN d8 USING (rfc)")
+def d8m(given):
+    return detectors.paid_without_po_or_contract(given.estate)[1]
+
+
 @query("d9_run_rule_detectors")
 def d9(given):
     found = detectors.run_rule_detectors(given.estate)
     return found.heads.select("observation_id", "detector_name", "signal_type", "statement", "facts",
                               signal_rank().alias("detector_rank"))
+
+
+@query("d9_observation_heads", heads_sql(0.03) + "SELECT observation_id, signal AS signal_type, rank::INT AS detector_rank FROM obs")
+def d9h(given):
+    found = detectors.run_rule_detectors(given.estate)
+    return found.heads.select("observation_id", "signal_type", signal_rank().cast("int").alias("detector_rank"))

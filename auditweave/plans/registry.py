@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auditweave.plans.projection_sql import ESTATE
 from auditweave.sources import projection
+from auditweave.sources.estate import Estate
 
 
 class Given:
@@ -16,13 +17,14 @@ class Given:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._source = projection.Source(spark, folder)
 
     def base(self, table: str) -> DataFrame:
-        return self.estate.source(table)
+        return self._source(table)
 
     @cached_property
-    def estate(self) -> projection.ProjectedEstate:
-        return projection.ProjectedEstate(self.spark, self.folder)
+    def estate(self) -> Estate:
+        return projection.stored_estate(self.spark, self.folder)
 
 
 _QUERIES: dict[str, Callable[[Given], DataFrame]] = {}
@@ -37,7 +39,7 @@ def query(name: str, sql: str | None = None, estate: bool = True):
             raise ValueError(f"query {name} is registered twice")
         _QUERIES[name] = fn
         if sql is not None:
-            _ORACLE[name] = f"WITH {ESTATE.strip()}\n{sql.strip()}" if estate else sql.strip()
+            _ORACLE[name] = f"WITH RECURSIVE {ESTATE.strip()}\n{sql.strip()}" if estate else sql.strip()
         return fn
 
     return add

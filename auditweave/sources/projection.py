@@ -6,11 +6,15 @@ engine gets the same digits.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditweave.session import durable, work_folder
+from auditweave.sources.estate import TABLES, Estate, load_estate
+
 # Fixed values.
 COMPANY_RFC = "EMP920101AB1"
 COMPANY_ACCOUNT = "012000000000000999"
@@ -199,6 +203,25 @@ def bank_txns(book: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array_compact(legs)).alias("t")).select("t.*")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_estate(spark: SparkSession, folder: str) -> Estate:
+    """The projected estate of ``folder``, written once per application and opened like any other.
+
+    The given tables are read-only, so the files stay right as long as the application runs.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        target = f"{work_folder(spark)}/estate-{uuid.uuid4().hex}"
+        made = ProjectedEstate(spark, folder)
+        made.book = durable(made.book)
+        for name in TABLES:
+            made.table(name).write.parquet(f"{target}/{name}.parquet")
+        _STORED[key] = target
+    return load_estate(spark, _STORED[key])
+
+
 class ProjectedEstate:
     """An estate whose tables are put together when they are first asked for."""
 
