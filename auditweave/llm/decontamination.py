@@ -13,7 +13,7 @@ sentence, a unit is a word of the list below after a number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.tables import text_or_empty
@@ -32,17 +32,20 @@ NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 def _raw_tokens(text: Column) -> Column:
     """Tokens in lower case, names marked in front; digits and letters are separate tokens."""
-    named = F.regexp_replace(text, "(?<=[\\p{Ll}\\p{Nd},;] )\\p{Lu}(?=\\p{Ll})", f"{_NAME_MARK}$0")
-    split = F.regexp_replace(named, "(?<=\\p{Nd})[.,](?=\\p{Nd})", "")
-    split = F.regexp_replace(split, "(?<=\\p{Nd})(?=\\p{L})|(?<=\\p{L})(?=\\p{Nd})", " ")
-    return F.trim(F.regexp_replace(F.lower(split), f"[^\\p{{L}}\\p{{M}}\\p{{Nd}}{_NAME_MARK}]+", " "))
+    # The rare letter comes first in each pattern, the look behind it after that.
+    named = F.regexp_replace(text, "\\p{Lu}(?=\\p{Ll})(?<=[\\p{Ll}\\p{Nd},;] .)", f"{_NAME_MARK}$0")
+    joined = F.regexp_replace(named, "[.,](?=\\p{Nd})(?<=\\p{Nd}.)", "")
+    split = F.regexp_replace(joined, "\\p{Nd}(?=\\p{L})|\\p{L}(?=\\p{Nd})", "$0 ")
+    kept = F.when(text.rlike("\\p{Nd}"), split).otherwise(named)
+    return F.trim(F.regexp_replace(F.lower(kept), f"[^\\p{{L}}\\p{{M}}\\p{{Nd}}{_NAME_MARK}]+", " "))
 
 
 def _template(raw: Column) -> Column:
     """The same tokens with placeholders."""
     named = F.regexp_replace(raw, f"{_NAME_MARK}[^ ]*", NAME)
-    numbered = F.regexp_replace(named, "(?<![^ ])\\p{Nd}+(?![^ ])", NUMBER)
-    return F.regexp_replace(numbered, f"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![^ ])", UNIT)
+    numbered = F.regexp_replace(named, "\\p{Nd}[\\p{Nd}\\p{M}]*", NUMBER)
+    units = F.regexp_replace(numbered, f"{NUMBER} (?:{'|'.join(UNITS)})(?![^ ])", f"{NUMBER} {UNIT}")
+    return F.when(raw.rlike("\\p{Nd}"), units).otherwise(named)
 
 
 def _tokens(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,8 +87,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least:
     NULL or empty texts match nothing; rows with NULL ids are matched like others. Repeated rows of
     ``docs`` count as one; repeated items are one. Empty tables: no row.
     """
-    items = _tokens(benchmark.select("item_id", "text").distinct(), ["item_id"])
-    items = durable(items.where(F.size("__hashes") >= least).withColumn("__width", F.least(F.size("__hashes"), F.lit(width))))
+    items = _tokens(benchmark.select("item_id", "text"), ["item_id"])
+    items = items.where(F.size("__hashes") >= least).withColumn("__width", F.least(F.size("__hashes"), F.lit(width)))
     texts = _tokens(docs, ["doc_id"])
     parts = [_matches(texts, items.where(F.col("__width") == w), w, broadcast_windows)
              for w in sorted(r["__width"] for r in items.select("__width").distinct().collect())]
@@ -99,11 +102,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least:
 
 def _matches(texts: DataFrame, items: DataFrame, width: int, broadcast_windows: int) -> DataFrame:
     """``doc_id, item_id, item_windows, item_at, shift, pairs``; pairs: kind, item's value, text's value."""
-    known = _windows(items, ["item_id"], width).withColumn("slots", _within(F.col("slots"), F.col("at"), width))
+    known = items.withColumn("item_windows", F.size("__hashes") - width + 1)
+    known = _windows(known, ["item_id", "item_windows"], width).withColumn("slots", _within(F.col("slots"), F.col("at"), width))
     known = known.where(F.coalesce(F.size("slots"), F.lit(0)) < width).select(
-        "item_id", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"),
-        F.count("*").over(Window.partitionBy("item_id")).alias("item_windows"))
-    known = durable(known)
+        "item_id", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("item_windows").cast("bigint"))
     found = _windows(texts, ["doc_id"], width)
     if known.count() <= broadcast_windows:
         joined = found.join(F.broadcast(known), "window")
