@@ -16,9 +16,9 @@ UNKNOWN = "UNKNOWN_SUBJECT"
 SCOPE_CHARS, CALCULATION_CHARS, SHOWN_RECORDS = 180, 400, 6
 VENDOR_CALLS = ("get_vendor", "get_vendor_contracts", "get_vendor_purchase_orders", "get_vendor_invoices")
 OPEN_QUESTIONS = (
-    "Is there an ordinary explanation that would leave the same records?",
-    "Which record would tell an ordinary explanation from an irregular one?",
-    "Is there a record that speaks against the suspicion?",
+    "What lawful course of business produces these very entries?",
+    "What document, once obtained, would settle which course it was?",
+    "What in the books already contradicts the lead?",
 )
 NO_VERIFIER = "No verifier can confirm this pattern, so nobody is accused."
 

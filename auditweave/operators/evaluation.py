@@ -181,11 +181,11 @@ def recording_roles(recordings: DataFrame) -> DataFrame:
 def compare_runs(runs: DataFrame) -> DataFrame:
     """``before-X`` against ``after-X``, metric by metric, and their sum under estate ``*``.
 
-    ``runs`` has ``label`` and any of the metrics; absent ones count as 0.
+    ``runs`` has ``label`` and any of the metrics; all of them are compared, absent ones as 0.
     """
-    present = [m for m, _ in METRICS if m in runs.columns]
-    long = runs.select("label", *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in present]).unpivot(
-        ["label"], present, "metric", "value")
+    zero, names = F.lit(0.0), [m for m, _ in METRICS]
+    values = [(F.coalesce(F.col(m).cast("double"), zero) if m in runs.columns else zero).alias(m) for m in names]
+    long = runs.select("label", *values).unpivot(["label"], names, "metric", "value")
     split = long.select(F.regexp_extract("label", "^(before|after)-(.*)$", 1).alias("side"), F.regexp_extract("label", "^(before|after)-(.*)$", 2).alias("estate"), "metric", "value")
     before = split.where("side = 'before'").select("estate", "metric", F.col("value").alias("before"))
     after = split.where("side = 'after'").select("estate", "metric", F.col("value").alias("after"))
@@ -199,10 +199,24 @@ def compare_runs(runs: DataFrame) -> DataFrame:
 
 
 def run_score(label: str, outcomes: DataFrame, findings: DataFrame, finding_entities: DataFrame, leads: DataFrame, scheme_entities: DataFrame,
-              decoys: DataFrame, recordings: DataFrame, company: str) -> DataFrame:
-    """All scores of one run as one row."""
+              decoys: DataFrame, recordings: DataFrame, company: str, metadata: DataFrame | None = None) -> DataFrame:
+    """All scores of one run as one row.
+
+    ``metadata`` (one row: seed, llm_calls, mxn_cost, wall_clock_seconds) is what the run says of itself.
+    Recordings are counted for ``llm_calls`` only where it names none; without metadata the costs are NULL.
+    """
     lead_entities = leads.select("entity")
-    roles = recording_roles(recordings).agg(F.sum("calls").alias("llm_calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    # Roles are a short fixed list.
+    by_role = F.array_sort(F.collect_list(F.struct("role", "calls")))
+    roles = recording_roles(recordings).agg(F.sum("calls").alias("recorded"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
+                                            by_role.alias("calls_by_role")).withColumn("label", F.lit(label))
+    stated = {"seed": "bigint", "llm_calls": "bigint", "mxn_cost": "double", "wall_clock_seconds": "double"}
+    if metadata is None:
+        metadata = recordings.sparkSession.range(1)
+    said = metadata.agg(*(F.max(F.col(c).cast(t) if c in metadata.columns else F.lit(None).cast(t)).alias(c) for c, t in stated.items()))
+    roles = roles.join(said.withColumn("label", F.lit(label)), "label").drop("label").withColumn(
+        "llm_calls", F.coalesce(F.when(F.col("llm_calls") > 0, F.col("llm_calls")), "recorded", F.lit(0))).withColumnRenamed(
+        "seed", "estate_seed").drop("recorded")
     parts = [
         detection_score(outcomes, findings), safety_score(finding_entities, lead_entities, scheme_entities, decoys, company),
         reason_totals(reason_quality(leads, decoys, finding_entities)), lookup_redundancy(leads, leads.select("lead_id", F.explode("calls").alias("action"))), roles,

@@ -84,8 +84,8 @@ def phantom_finding(assessment: DataFrame, claims: DataFrame) -> DataFrame:
 def kickback_finding(assessment: DataFrame, claims: DataFrame) -> DataFrame:
     df = assessment.where("status = 'verified'").join(claims.where("claimed_amount IS NOT NULL").select(H, "claimed_amount"), H)
     text = F.format_string(
-        "Cited transfers move MXN %.2f from the vendor's account to the account of an employee who approves orders of that vendor. "
-        "Both accounts are cited and differ. Confidence is probable; neither cause nor intent is shown.", "claimed_amount")
+        "MXN %.2f reached an employee from a vendor whose orders this employee approved; payer and payee hold different accounts, both on record. "
+        "Rated probable: the records show the payments, not their reason.", "claimed_amount")
     return df.select(H, text.alias("narrative"))
 
 

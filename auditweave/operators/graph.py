@@ -46,7 +46,7 @@ def duplicate_transfers(edges: DataFrame) -> DataFrame:
 
 
 def transfer_multigraph(bank: DataFrame, named: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). Fails when transfer ids repeat; the message names some of them."""
+    """(nodes, edges). Fails when transfer ids repeat; the message names ``named`` of them, ``duplicate_transfers`` all."""
     edges = transfer_edges(bank)
     repeated = duplicate_transfers(edges).orderBy("txn_id").limit(named).collect()
     if repeated:

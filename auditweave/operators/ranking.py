@@ -132,19 +132,30 @@ def edge_holdout(arcs: DataFrame, rate: float, seed: int) -> DataFrame:
 
 
 def negative_edges(nodes: DataFrame, arcs: DataFrame, count: int, seed: int) -> DataFrame:
-    """``count`` seeded pairs (src, dst) that are no arcs, or as many as three draws each yield."""
+    """``count`` seeded pairs (src, dst) that are no arcs, or all such pairs where there are fewer."""
     indexed = durable(positions(nodes.select("account"), [], ["account"], "n"))
     size = indexed.count()
     if size < 2 or count < 1:
         return arcs.select("src", "dst").limit(0)
-    draws = arcs.sparkSession.range(count * 3).select(
+    known = durable(arcs.select("src", "dst").where("src <> dst").distinct())
+    count = min(count, size * (size - 1) - known.count())
+    rounds = 3
+    while True:
+        fresh = durable(_free_pairs(indexed, known, size, count * rounds, seed))
+        if fresh.count() >= count:
+            return positions(fresh, [], ["draw"], "n").where(F.col("n") <= count).select("src", "dst")
+        rounds *= 2
+
+
+def _free_pairs(indexed: DataFrame, known: DataFrame, size: int, draws: int, seed: int) -> DataFrame:
+    """Different pairs among the first ``draws`` seeded draws that are no arcs, with the draw that named them."""
+    draws = known.sparkSession.range(draws).select(
         F.col("id").alias("draw"),
         (F.pmod(F.xxhash64("id", F.lit(seed), F.lit("a")), F.lit(size)) + 1).alias("a"),
         (F.pmod(F.xxhash64("id", F.lit(seed), F.lit("b")), F.lit(size)) + 1).alias("b")).where("a <> b")
     pairs = draws.join(indexed.select(F.col("n").alias("a"), F.col("account").alias("src")), "a").join(
         indexed.select(F.col("n").alias("b"), F.col("account").alias("dst")), "b")
-    fresh = pairs.groupBy("src", "dst").agg(F.min("draw").alias("draw")).join(arcs.select("src", "dst"), ["src", "dst"], "left_anti")
-    return positions(fresh, [], ["draw"], "n").where(F.col("n") <= count).select("src", "dst")
+    return pairs.groupBy("src", "dst").agg(F.min("draw").alias("draw")).join(known, ["src", "dst"], "left_anti")
 
 
 def edge_surprise(values: DataFrame, arcs: DataFrame, seed: int = 11, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:

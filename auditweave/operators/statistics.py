@@ -235,8 +235,7 @@ def _observed(df: DataFrame, model: str, score: str, **targets: str) -> DataFram
                      "mismatch_type", F.col(score).cast("double").alias("anomaly_score"))
 
 
-def run_statistical_pack(invoices: DataFrame, payments: DataFrame, ledger: DataFrame, transactions: DataFrame,
-                         with_forest: bool = True) -> DataFrame:
+def run_statistical_pack(invoices: DataFrame, payments: DataFrame, ledger: DataFrame, transactions: DataFrame) -> DataFrame:
     """All statistical detectors in one observation table."""
     hourly = transactions.withColumn("hour", F.hour("timestamp"))
     parts = [
@@ -244,9 +243,8 @@ def run_statistical_pack(invoices: DataFrame, payments: DataFrame, ledger: DataF
         _observed(entropy_collapse(transactions, "amount", "vendor_id"), "entropy", "score", group_by_value="vendor_id"),
         _observed(off_hours(transactions), "off_hours", "score", vendor_id="vendor_id"),
         _observed(velocity_burst(transactions)[0], "velocity_burst", "score", vendor_id="vendor_id"),
+        _observed(isolation_forest(hourly), "isolation_forest", "score", vendor_id="vendor_id"),
     ]
-    if with_forest:
-        parts.append(_observed(isolation_forest(hourly), "isolation_forest", "score", vendor_id="vendor_id"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -50,6 +50,22 @@ SELECT CASE turn % 5 WHEN 0 THEN 'investigator' WHEN 1 THEN 'challenger' WHEN 2
   count(*) AS calls, sum(length(text))::BIGINT AS tokens_in, sum(turn)::BIGINT AS tokens_out FROM conversations GROUP BY 1"""
 
 
+@query("s2_quoted_cells", """
+SELECT rfc, 'ACME "' || legal_name || '", SA' || chr(10) || 'de CV' AS legal_name, registered_date, address, bank_clabe, category, contact_email, NULL::BIGINT AS entry_id, NULL::VARCHAR AS entry_id_unparsed FROM vendors
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN entry_id % 4 <> 1 THEN entry_id END, CASE WHEN entry_id % 4 = 1 THEN 'E-' || entry_id END FROM ledger""")
+def s2q(given):
+    folder, e = shared_folder(given.spark), given.estate
+    changed = {
+        "vendors": e.vendors.withColumn("legal_name", F.concat(F.lit('ACME "'), "legal_name", F.lit('", SA\nde CV'))),
+        "ledger": e.ledger.withColumn("entry_id", F.when(F.col("entry_id") % 4 == 1, F.concat(F.lit("E-"), "entry_id")).otherwise(F.col("entry_id").cast("string"))),
+    }
+    for name in TABLES:
+        frame = changed.get(name, e.table(name))
+        frame.write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}.csv")
+    read = load_estate_csv(given.spark, folder, multi_line=True)
+    return read.vendors.unionByName(read.ledger.select("entry_id", "entry_id_unparsed"), allowMissingColumns=True)
+
+
 @query("s4_load_recordings", _ROLES_SQL, estate=False)
 def s4(given):
     folder = shared_folder(given.spark)
@@ -193,7 +209,10 @@ _RUNS_SQL = """
   UNION ALL SELECT 'after', category, count(*) FILTER (right(rfc, 1) <> '3'), sum(length(legal_name)) + 1, min(length(rfc)) - count(*) % 2 FROM vendors GROUP BY category),
 m AS (UNPIVOT r ON findings_total, tool_calls_unique, redundant_actions INTO NAME metric VALUE v),
 p AS (SELECT b.estate, b.metric, b.v AS before, a.v AS after FROM m b JOIN m a ON a.estate = b.estate AND a.metric = b.metric AND a.side = 'after' AND b.side = 'before'),
-t AS (SELECT * FROM p UNION ALL SELECT '*', metric, sum(before), sum(after) FROM p GROUP BY metric)
+z AS (SELECT DISTINCT estate, x.metric, 0.0::DOUBLE AS before, 0.0::DOUBLE AS after FROM p, (SELECT unnest([""" + ", ".join(
+    f"'{m}'" for m, _ in ev.METRICS if m not in ("findings_total", "tool_calls_unique", "redundant_actions")) + """]) AS metric) x),
+y AS (SELECT * FROM p UNION ALL SELECT estate, metric, before, after FROM z),
+t AS (SELECT * FROM y UNION ALL SELECT '*', metric, sum(before), sum(after) FROM y GROUP BY metric)
 """
 
 
@@ -216,11 +235,15 @@ def w8(given):
 @query("w9_run_score", _SCORED_SQL + """
 , det AS (""" + _DETECTION_SQL + """)
 SELECT 'given' AS label, det.*, (SELECT count(*) FROM q) AS leads_closed, (SELECT count(*) FROM q WHERE specific) AS leads_with_specific_reason,
-  (SELECT sum(len(string_split(calls, ',')))::BIGINT FROM q) AS tool_calls_total, (SELECT count(*) FROM conversations) AS llm_calls FROM det""")
+  (SELECT sum(len(string_split(calls, ',')))::BIGINT FROM q) AS tool_calls_total, (SELECT count(*) FROM conversations) AS llm_calls,
+  42::BIGINT AS estate_seed, 1.5::DOUBLE AS mxn_cost, 2.25::DOUBLE AS wall_clock_seconds,
+  (SELECT string_agg(role || '=' || calls, ',' ORDER BY role) FROM (""" + _ROLES_SQL + """)) AS calls_by_role FROM det""")
 def w9(given):
     outcomes, found, declined, entities, decoys = _scored(given)
-    row = ev.run_score("given", outcomes, found, found, declined, entities, decoys, recordings(given), COMPANY)
-    return row.select("label", "schemes_total", "schemes_with_finding", "schemes_signalled", "peso_actual", "findings_total", "peso_claimed", "scheme_recall",
+    meta = found.agg(F.lit(42).alias("seed"), F.lit(0).alias("llm_calls"), F.lit(1.5).alias("mxn_cost"), F.lit(2.25).alias("wall_clock_seconds"))
+    row = ev.run_score("given", outcomes, found, found, declined, entities, decoys, recordings(given), COMPANY, meta)
+    row = row.withColumn("calls_by_role", F.array_join(F.transform("calls_by_role", lambda x: F.concat(x["role"], F.lit("="), x["calls"])), ","))
+    return row.select("estate_seed", "mxn_cost", "wall_clock_seconds", "calls_by_role", "label", "schemes_total", "schemes_with_finding", "schemes_signalled", "peso_actual", "findings_total", "peso_claimed", "scheme_recall",
                       "peso_reconciles", "leads_closed", "leads_with_specific_reason", "tool_calls_total", "llm_calls")
 
 

@@ -35,6 +35,13 @@ def cycles_of(given):
     return graph.bank_cycles(graph.transfer_edges(given.estate.bank_txns), max_len=4, max_cycles=None)
 
 
+@query("n1_duplicate_transfers", """
+SELECT txn_id, count(*) AS uses FROM (SELECT txn_id FROM bank_txns UNION ALL SELECT txn_id FROM bank_txns WHERE right(txn_id, 1) = '3') GROUP BY 1 HAVING count(*) > 1""")
+def n1d(given):
+    bank = given.estate.bank_txns
+    return graph.duplicate_transfers(graph.transfer_edges(bank.unionByName(bank.where(F.col("txn_id").endswith("3")))))
+
+
 @query("n1_transfer_multigraph", """
 , halves AS (SELECT from_clabe AS account, 1 AS o FROM bank_txns UNION ALL SELECT to_clabe, 0 FROM bank_txns)
 SELECT account, sum(o)::BIGINT AS transfers_out, (count(*) - sum(o))::BIGINT AS transfers_in FROM halves GROUP BY 1""")

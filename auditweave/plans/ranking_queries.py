@@ -193,6 +193,6 @@ def a11(given):
 
 @query("a12_ranking_observations")
 def a12(given):
-    runs, scaled = ranking.score_nodes(given.estate, seeds=(11, 17))
+    runs, scaled = ranking.score_nodes(given.estate)
     stable = durable(ranking.seed_stability(runs)[0])
     return ranking.ranking_observations(given.estate, stable, scaled).heads

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.operators import statistics as st
@@ -148,17 +151,18 @@ def t6(given):
     return st.run_statistical_pack(*books(given), transactions(given, "user_id"))
 
 
-_VECTOR_SQL = BOOKS_SQL + """
+_VECTOR_SQL = BOOKS_SQL.replace("WITH o AS", "WITH RECURSIVE o AS", 1) + _burst_sql(5, "user_id").replace("WITH RECURSIVE e AS", ", e AS", 1) + """
 , ev AS (SELECT CAST(user_id AS VARCHAR) AS u, value AS x, ts FROM events),
 vc AS (SELECT u, x, count(*) AS c FROM ev GROUP BY 1, 2), n AS (SELECT u, sum(c)::BIGINT AS n FROM vc GROUP BY 1),
 ent AS (SELECT u, max(n) AS n, abs(sum(-(c / n) * log2(c / n))) AS h FROM vc JOIN n USING (u) GROUP BY 1),
 obs AS (
   SELECT invoice_id AS target, mismatch_type FROM t1
   UNION ALL SELECT u, 'ENTROPY_COLLAPSE_STRUCTURED_PATTERN' FROM ent WHERE n >= 3 AND round(h / log2(n), 4) < 0.35
-  UNION ALL SELECT u, 'OFF_HOURS_EXECUTION' FROM ev WHERE hour(ts) >= 23 OR hour(ts) < 5 OR isodow(ts) >= 6),
+  UNION ALL SELECT u, 'OFF_HOURS_EXECUTION' FROM ev WHERE hour(ts) >= 23 OR hour(ts) < 5 OR isodow(ts) >= 6
+  UNION ALL SELECT v, 'HIGH_VELOCITY_BURST' FROM (SELECT DISTINCT v, burst FROM rows_)),
 vec AS (
   SELECT target, bool_or(mismatch_type IN ('LEDGER_UNDER_RECORDING', 'OVERPAYMENT', 'UNDERPAYMENT')) AS e1_match,
-    bool_or(mismatch_type = 'ENTROPY_COLLAPSE_STRUCTURED_PATTERN') AS e2_entropy, bool_or(mismatch_type = 'OFF_HOURS_EXECUTION') AS e3_temporal, false AS e4_outlier,
+    bool_or(mismatch_type = 'ENTROPY_COLLAPSE_STRUCTURED_PATTERN') AS e2_entropy, bool_or(mismatch_type IN ('OFF_HOURS_EXECUTION', 'HIGH_VELOCITY_BURST')) AS e3_temporal, false AS e4_outlier,
     count(*) AS observations, string_agg(DISTINCT mismatch_type, ',' ORDER BY mismatch_type) AS labels FROM obs GROUP BY 1),
 post AS (
   SELECT target, a, l, w, round(0.02 * a / (0.02 * a + 0.98 * l), 4) AS posterior FROM (
@@ -177,8 +181,9 @@ def _vectors(given):
         st._observed(st.triple_reconciliation(*books(given)), "triple_reconciliation", "score", invoice_id="invoice_id"),
         st._observed(st.entropy_collapse(rows, "amount", "vendor_id"), "entropy", "score", group_by_value="vendor_id"),
         st._observed(st.off_hours(rows), "off_hours", "score", vendor_id="vendor_id"),
+        st._observed(st.velocity_burst(rows)[0], "velocity_burst", "score", vendor_id="vendor_id"),
     ]
-    return st.evidence_vector(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return st.evidence_vector(reduce(DataFrame.unionByName, parts))
 
 
 @query("t7_evidence_vector", _VECTOR_SQL + "SELECT * FROM vec", estate=False)

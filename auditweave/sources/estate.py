@@ -90,14 +90,18 @@ def load_estate(spark: SparkSession, folder: str, layout: str = "{folder}/{table
     return check_estate(frames)
 
 
-def load_estate_csv(spark: SparkSession, folder: str, layout: str = "{folder}/{table}.csv") -> Estate:
-    """Open eight CSV files with a header; listed numbers are cast.
+def load_estate_csv(
+    spark: SparkSession, folder: str, layout: str = "{folder}/{table}.csv", multi_line: bool = False
+) -> Estate:
+    """Open eight CSV files with a header; listed numbers and ledger entry ids are cast.
 
-    Text that is no number is kept in ``<column>_unparsed`` instead of being lost.
+    A quote inside a quoted cell is written twice. ``multi_line`` allows line breaks in quoted cells; a
+    file is then read by one task. Text that is no number is kept in ``<column>_unparsed``.
     """
     frames = {}
     for name, columns in TABLES.items():
-        raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(layout.format(folder=folder, table=name))
+        reader = spark.read.option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
+        raw = reader.option("multiLine", multi_line).csv(layout.format(folder=folder, table=name))
         raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
         for column in NUMERIC_COLUMNS.get(name, ()):
             if column in raw.columns:
@@ -106,7 +110,8 @@ def load_estate_csv(spark: SparkSession, folder: str, layout: str = "{folder}/{t
                 raw = raw.withColumn(f"{column}_unparsed", F.when(number.isNull(), clean_text(text)))
                 raw = raw.withColumn(column, number)
         if name == "ledger" and "entry_id" in raw.columns:
-            raw = raw.withColumn("entry_id", F.col("entry_id").try_cast("bigint"))
+            number = F.col("entry_id").try_cast("bigint")
+            raw = raw.withColumn("entry_id_unparsed", F.when(number.isNull(), clean_text("entry_id"))).withColumn("entry_id", number)
         frames[name] = raw
     return check_estate(frames)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,8 @@ def write_submission(tables: dict[str, DataFrame], declined: DataFrame, metadata
 
     A finding may cite any number of exhibits, so parts are files of their own,
     joined by ``finding_id``. NULL fields are left out and amounts must be
-    finite. The output committer publishes each folder whole or not at all.
+    finite. The parts go to a folder of this run; a manifest of one line, written
+    last, makes them the current submission, so readers see one run whole.
     """
     amounts = [(tables["findings"], "peso_amount"), (tables["trail"], "amount")]
     for frame, column in amounts:
@@ -38,11 +42,17 @@ def write_submission(tables: dict[str, DataFrame], declined: DataFrame, metadata
             raise ValueError(f"{column} holds a value that is not finite")
     parts = {**{k: tables[k].withColumnRenamed("hypothesis_id", "finding_id") for k in ("findings", "entities", "exhibits", "trail")},
              "leads_not_pursued": declined, "run_metadata": metadata}
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     for name, frame in parts.items():
-        frame.write.mode("overwrite").option("ignoreNullFields", True).json(f"{path}/{name}")
+        frame.write.option("ignoreNullFields", True).json(f"{path}/runs/{run}/{name}")
+    metadata.sparkSession.range(1).select(F.lit(run).alias("run")).coalesce(1).write.mode("append").json(f"{path}/manifest")
 
 
 def read_submission(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of the newest run that the manifest names."""
+    run = spark.read.schema("run string").json(f"{path}/manifest").agg(F.max("run")).first()[0]
+    if run is None:
+        raise FileNotFoundError(f"no submission was published in {path}")
     schemas = {
         "findings": "finding_id string, scheme_type string, rule_id string, rule_broken string, peso_amount double, narrative string, confidence string",
         "entities": "finding_id string, entity string",
@@ -51,7 +61,7 @@ def read_submission(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "leads_not_pursued": "lead_id string, entity string, signal string, reason string, calls array<string>, closed_by string",
         "run_metadata": "seed bigint, llm_calls bigint, mxn_cost double, wall_clock_seconds double",
     }
-    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
+    return {name: spark.read.schema(schema).json(f"{path}/runs/{run}/{name}") for name, schema in schemas.items()}
 
 
 def write_results_csv(runs: DataFrame, path: str) -> None:
