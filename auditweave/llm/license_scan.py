@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditweave.llm.tables import text_or_empty
+from auditweave.llm.tables import least_hashes, text_or_empty
 from auditweave.session import durable
 
 UNKNOWN = "unknown"
@@ -110,7 +110,9 @@ def _examples(spark: SparkSession, docs: DataFrame, max_unknown: int, variants:
     # The least hashes of the corpus; a paragraph that has a template's 3-gram is no example of unknown.
     notices = F.array_distinct(F.flatten(F.collect_list(_grams(_words(F.col("line")), 3))))
     taboo = _templates(spark).agg(notices.alias("taboo")).first()["taboo"]
-    sample = paragraphs(docs).select("line", F.xxhash64("line").alias("h")).distinct().orderBy("h", "line").limit(max_unknown)
+    lines = paragraphs(docs).select("line", F.shiftrightunsigned(F.xxhash64("line"), 4).alias("h"))
+    chosen = least_hashes(lines.select("h"), "h", max_unknown)
+    sample = lines.join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # max_unknown numbers
     sample = sample.where(~F.arrays_overlap(_grams(_words(F.col("line")), 3), F.array(*(F.lit(x) for x in taboo)))).select(
         F.lit(UNKNOWN).alias("family"), "line", F.pmod("h", F.lit(5)).cast("int").alias("part"))
     return known.unionByName(counter).unionByName(sample)
