@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditweave.llm import textbytes
+from auditweave.llm.tables import least_hashes
 from auditweave.session import send_with_tasks
 
 send_with_tasks(__name__)
@@ -188,17 +189,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> bytes:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> bytes:
     """Fit on at most ``max_rows`` labelled rows, those of least id hash; the model's size is fixed.
 
     Learned from: rows of ``labels`` (doc_id, quality) that are not :func:`held_out`, with their text in
     ``docs``. NULL labels and ids are left out. Without any row every score is 0.5.
     """
-    chosen = (
-        labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-        .select(F.col("doc_id").cast("bigint").alias("__id"), F.col("quality").cast("int").alias("label")).distinct()
-        .orderBy(F.xxhash64("__id"), "__id", "label").limit(max_rows)
-    )
+    usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select(
+        F.col("doc_id").cast("bigint").alias("__id"), F.col("quality").cast("int").alias("label")).distinct()
+    usable = usable.withColumn("__h", F.shiftrightunsigned(F.xxhash64("__id", "label"), 4))
+    chosen = usable.join(F.broadcast(least_hashes(usable.select("__h"), "__h", max_rows)), "__h").drop("__h")
     # At most max_rows pairs of numbers.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text")
