@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.tables import text_or_empty
-from auditweave.session import durable
 
 #: Symbols and names of common units.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "ton", "tons",
@@ -97,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least:
     matches = parts[0]
     for part in parts[1:]:
         matches = matches.unionByName(part)
-    return _judged(durable(matches), coverage)
+    return _judged(matches, coverage)
 
 
 def _matches(texts: DataFrame, items: DataFrame, width: int, broadcast_windows: int) -> DataFrame:
@@ -119,16 +118,18 @@ def _matches(texts: DataFrame, items: DataFrame, width: int, broadcast_windows:
 
 
 def _judged(matches: DataFrame, coverage: float) -> DataFrame:
-    """Keep the alignments whose slots are consistent, and the items they cover enough of."""
-    place = ["doc_id", "item_id", "shift"]
-    pairs = matches.where("size(pairs) > 0").select(*place, F.explode("pairs").alias("p")).select(*place, "p.*").distinct()
-    forth = pairs.groupBy(*place, "kind", "ours").agg(F.count("*").alias("n"))
-    back = pairs.groupBy(*place, "kind", "theirs").agg(F.count("*").alias("n"))
-    broken = forth.where("n > 1").select(*place).unionByName(back.where("n > 1").select(*place)).distinct()
-    same = [matches[c].eqNullSafe(broken[c]) for c in place]
-    sound = matches.join(broken, same, "left_anti")
+    """Keep the alignments whose slots are consistent, and the items they cover enough of.
+
+    An alignment has at most the windows and slots of its item, so both fit a row.
+    """
+    lined_up = matches.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
+        F.collect_set("item_at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    ours = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["ours"])))
+    theirs = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"])))
+    sound = lined_up.where((F.size(ours) == F.size("pairs")) & (F.size(theirs) == F.size("pairs")))
     return (
-        sound.groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("item_at").alias("matched_windows"))
+        sound.select("doc_id", "item_id", "item_windows", F.explode("windows").alias("item_at"))
+        .groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("item_at").alias("matched_windows"))
         .where(F.col("matched_windows") >= F.ceil(coverage * F.col("item_windows")))
     )
 
