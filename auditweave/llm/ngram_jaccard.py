@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from auditweave.llm import textbytes
 from auditweave.llm.components import components
+from auditweave.llm.tables import small_batches
 from auditweave.session import durable, send_with_tasks
 
 send_with_tasks(__name__)
@@ -313,6 +314,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     links. Repeated rows fall into one component. Empty table: no row.
     """
     bands = Bands(percent)
+    docs = small_batches(docs)
     named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signatures = durable(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
                          .mapInArrow(_signatures(k, bands), _SIGNATURE))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditweave.llm import textbytes
-from auditweave.llm.tables import least_hashes
+from auditweave.llm.tables import least_hashes, small_batches
 from auditweave.session import send_with_tasks
 
 send_with_tasks(__name__)
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> bytes:
     usable = usable.withColumn("__h", F.shiftrightunsigned(F.xxhash64("__id", "label"), 4))
     chosen = usable.join(F.broadcast(least_hashes(usable.select("__h"), "__h", max_rows)), "__h").drop("__h")
     # At most max_rows pairs of numbers.
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text")
     sample = rows.mapInArrow(_featurise, "doc_id bigint, label int, index binary, value binary")
     return bytes(sample.repartition(1).mapInArrow(_train, "model binary").collect()[0]["model"])
@@ -212,6 +212,6 @@ def with_score(docs: DataFrame, model: bytes) -> DataFrame:
     NULL text: as the empty one, which has a score too. Every row is scored, repeated ones alike. An
     input column named ``score`` is replaced. Empty table: no row.
     """
-    docs = docs.drop("score")
+    docs = small_batches(docs).drop("score")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(_score(model), schema)

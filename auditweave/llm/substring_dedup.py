@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm import fm_index, textbytes
+from auditweave.llm.tables import small_batches
 from auditweave.session import durable, send_with_tasks
 
 send_with_tasks(__name__)
@@ -164,7 +165,7 @@ _NOBODY = -(1 << 63)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NOBODY)).alias("doc"),
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NOBODY)).alias("doc"),
                        F.crc32(F.coalesce("text", F.lit(""))).alias("mark"), "text")
 
 

@@ -14,6 +14,17 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """The same rows, with at most 2,000 rows and some 16 MB in an Arrow batch from now on.
+
+    The default of 10,000 rows lets a batch of long texts, or of sets, take a large part of an executor.
+    """
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return rows
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
