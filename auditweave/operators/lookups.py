@@ -6,6 +6,7 @@ answer of its own.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,16 +14,18 @@ from pyspark.sql import functions as F
 
 from auditweave.functions.clean import clean_text, strip
 from auditweave.operators.ordering import positions
+from auditweave.session import durable
 from auditweave.sources.estate import AMOUNT_COLUMNS, TABLES, Estate
 
 SETTLEMENT_PREFIX = "Pago CFDI "  # fixed value
 KEY_CHARS = 8  # fixed value: characters of a uuid quoted in a settlement
 
 
-def record_rows(estate: Estate) -> DataFrame:
-    """(source_table, record_id, amount) of every record of the estate."""
+def record_rows(estate: Estate, tables: Sequence[str] = tuple(TABLES)) -> DataFrame:
+    """(source_table, record_id, amount) of every record of ``tables``."""
     parts = []
-    for name, columns in TABLES.items():
+    for name in tables:
+        columns = TABLES[name]
         amount = F.col(AMOUNT_COLUMNS[name]).try_cast("double") if name in AMOUNT_COLUMNS else F.lit(None).cast("double")
         parts.append(estate.table(name).select(
             F.lit(name).alias("source_table"), F.col(columns[0]).cast("string").alias("record_id"), amount.alias("amount")
@@ -33,13 +36,18 @@ def record_rows(estate: Estate) -> DataFrame:
 def resolve_records(estate: Estate, refs: DataFrame) -> DataFrame:
     """Add ``found`` and ``amount`` to rows with (source_table, record_id).
 
-    The records are cut to the wanted ones before they are made unique, so few
-    references cost one pass over the estate and no shuffle of it.
+    Only tables that are cited are read, each joined with its own part of the wanted
+    keys, and the records are cut to those before they are made unique.
     """
     key = ["source_table", "record_id"]
-    wanted = refs.select(*key).distinct()
-    hits = record_rows(estate).join(wanted, key).groupBy(*key).agg(
-        F.max("amount").alias("amount"), F.lit(True).alias("found"))
+    wanted = durable(refs.select(*key).where(F.col("source_table").isin(*TABLES)).distinct())
+    cited = sorted(row[0] for row in wanted.select("source_table").distinct().collect())  # eight names at most
+    parts = []
+    for name in cited or ["vendors"]:
+        mine = wanted.where(F.col("source_table") == name).select("record_id")
+        parts.append(record_rows(estate, [name]).join(mine, "record_id").groupBy(*key).agg(
+            F.max("amount").alias("amount"), F.lit(True).alias("found")))
+    hits = reduce(DataFrame.unionByName, parts)
     return refs.join(hits, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 

@@ -165,7 +165,7 @@ def resolve_exhibits(estate: Estate, citations: DataFrame) -> tuple[DataFrame, D
 
     The exhibit keeps the amount of the record for the reconciliation.
     """
-    exhibits = resolve_records(estate, cited_refs(citations))
+    exhibits = resolve_records(estate, durable(cited_refs(citations)))
     exhibits = exhibits.withColumn("check_id", F.concat_ws("-", F.lit("EXISTS"), *REF)).withColumn(
         "check_status", F.when(F.col("found"), "verified").otherwise("failed"))
     repeats = exhibits.where("uses > 1").select(H, *REF, (F.col("uses") - 1).alias("duplicates"))
