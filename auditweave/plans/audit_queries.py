@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from auditweave.operators import audits
@@ -131,3 +133,43 @@ def x12(given):
         F.struct(F.lit("invoices").alias("source_table"), F.col("uuid").alias("record_id")),
         F.struct(F.lit("bank_txns").alias("source_table"), F.concat(F.lit("BNK-P-"), F.substring("uuid", 1, 8)).alias("record_id")))))
     return audits.label_reconciliation(schemes, cites, record_rows(e)).withColumn("peso_amount", F.round("peso_amount", 2))
+
+
+# The given tables hold none of these faults, so some are planted on both sides.
+
+_PLANTED_SQL = """
+, pinv AS (SELECT * REPLACE (CASE WHEN uuid LIKE '%7-CFDI' THEN total + 0.5 ELSE total END AS total, CASE WHEN uuid LIKE '%3-CFDI' THEN 'cancelado' ELSE status END AS status) FROM invoices),
+pled AS (SELECT * REPLACE (CASE WHEN entry_id % 97 = 0 THEN 'GONE-' || invoice_uuid ELSE invoice_uuid END AS invoice_uuid) FROM ledger),
+ppo AS (SELECT * REPLACE (CASE WHEN po_id LIKE '%5' THEN 'NOBODY' ELSE vendor_rfc END AS vendor_rfc) FROM purchase_orders),
+pctr AS (SELECT * REPLACE (CASE WHEN contract_id LIKE '%6' THEN 'NOBODY' ELSE vendor_rfc END AS vendor_rfc) FROM contracts),
+found AS (
+  SELECT 'invoice_arithmetic' AS check_name, 'invoices' AS source_table, uuid AS record_id FROM pinv WHERE abs(total - (subtotal + iva)) > 0.011
+  UNION ALL SELECT 'ledger_without_invoices', 'ledger', CAST(entry_id AS VARCHAR) FROM pled WHERE invoice_uuid NOT IN (SELECT uuid FROM pinv)
+  UNION ALL SELECT 'purchase_orders_without_vendors', 'purchase_orders', po_id FROM ppo WHERE vendor_rfc NOT IN (SELECT rfc FROM vendors)
+  UNION ALL SELECT 'contracts_without_vendors', 'contracts', contract_id FROM pctr WHERE vendor_rfc NOT IN (SELECT rfc FROM vendors)
+  UNION ALL SELECT 'cancelled_but_settled', 'invoices', uuid FROM pinv WHERE status = 'cancelado' AND 'Pago CFDI ' || substr(uuid, 1, 8) IN (SELECT reference FROM bank_txns))
+"""
+
+
+def _planted(given):
+    e = given.estate
+    off, cancelled = F.col("uuid").endswith("7-CFDI"), F.col("uuid").endswith("3-CFDI")
+    faulty = replace(
+        e,
+        invoices=e.invoices.withColumn("total", F.when(off, F.col("total") + 0.5).otherwise(F.col("total"))).withColumn(
+            "status", F.when(cancelled, "cancelado").otherwise(F.col("status"))),
+        ledger=e.ledger.withColumn("invoice_uuid", F.when(F.col("entry_id") % 97 == 0, F.concat(F.lit("GONE-"), "invoice_uuid")).otherwise(F.col("invoice_uuid"))),
+        purchase_orders=e.purchase_orders.withColumn("vendor_rfc", F.when(F.col("po_id").endswith("5"), "NOBODY").otherwise(F.col("vendor_rfc"))),
+        contracts=e.contracts.withColumn("vendor_rfc", F.when(F.col("contract_id").endswith("6"), "NOBODY").otherwise(F.col("vendor_rfc"))),
+    )
+    return audits.invoice_arithmetic(faulty).unionByName(audits.referential_integrity(faulty)).unionByName(audits.cancelled_but_settled(faulty))
+
+
+@query("x_planted_faults", _PLANTED_SQL + "SELECT * FROM found")
+def x_planted(given):
+    return _planted(given)
+
+
+@query("x_audit_report", _PLANTED_SQL + "SELECT check_name, source_table, count(*) AS violations, min(record_id) AS first_id FROM found GROUP BY 1, 2")
+def x_report(given):
+    return audits.audit_report(_planted(given))
