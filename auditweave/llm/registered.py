@@ -130,7 +130,22 @@ def op8(spark, folder):
     return sharding.assign_shards(documents(spark, folder), shards=8).drop("source", "fraction")
 
 
-@query("op9_mixing_sources")
+_OP9 = """
+WITH RECURSIVE st AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS bytes FROM documents GROUP BY 1),
+r AS (SELECT source, round(pow(bytes, 0.5) / (SELECT sum(pow(bytes, 0.5)) FROM st) * (SELECT sum(bytes) FROM st)::DOUBLE / bytes, 9) AS rate FROM st),
+n AS (SELECT source, rate, greatest(1, ceil(rate / 32))::INT AS draws FROM r),
+cdf AS (
+  SELECT source, rate, rate / draws AS m, 0 AS k, exp(-(rate / draws)) AS p, exp(-(rate / draws)) AS c FROM n
+  UNION ALL SELECT source, rate, m, k + 1, p * m / (k + 1), c + p * m / (k + 1) FROM cdf WHERE k < ceil(m + 12 * sqrt(m) + 30)),
+u AS (
+  SELECT d.doc_id, d.source, n.rate, ('0x' || substr(md5('29:' || d.doc_id || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents d JOIN n ON n.source IS NOT DISTINCT FROM d.source, range(1, n.draws + 1) t(j)),
+x AS (SELECT u.doc_id, u.rate, count(cdf.k) AS copies FROM u LEFT JOIN cdf ON cdf.source IS NOT DISTINCT FROM u.source AND cdf.c <= u.u GROUP BY 1, 2)
+SELECT d.*, copy::INT AS copy, x.rate, ('0x' || substr(md5('29:' || d.doc_id || ':' || copy), 1, 15))::BIGINT AS order_key
+FROM documents d JOIN x USING (doc_id), range(1, x.copies + 1) t(copy)"""
+
+
+@query("op9_mixing_sources", _OP9)
 def op9(spark, folder):
     return mixing.mix_sources(documents(spark, folder))
 
