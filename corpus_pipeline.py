@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Proportional stratified interleaving into eight shards, texts included."""
-    return sharding.assign_shards(docs, shards=8, carry=("text", "lang", "n_chars")).drop("fraction", "grown_shard")
+    return sharding.assign_shards(docs, shards=8, range_rows=4_096, carry=("text", "lang", "n_chars")).drop("fraction", "grown_shard")
 
 
 STAGES = [
