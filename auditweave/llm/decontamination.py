@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders, so a question whose figures or persons were
 exchanged has the template of the original. Windows of ``width`` tokens of the templates are
 hashed and joined with the benchmark's. Where a window has placeholders, the values in them must
-be consistent: in one alignment of a text with an item, equal values of the item stand against
-equal values of the text and unequal against unequal. A text is contaminated by an item when
+be consistent: equal values of the item stand against equal values of the text, in each window or
+(without ``per_window``) in the whole alignment of a text with an item, and there also unequal
+against unequal. A text is contaminated by an item when
 consistent alignments cover ``coverage`` of the item's windows or more.
 
 Tokens are runs of letters and digits in lower case; a name is a capitalised word inside a
@@ -75,7 +76,7 @@ def _within(slots: Column, at: Column, width: int) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least: int = 5, coverage: float = 0.3,
-                 broadcast_windows: int = 500_000) -> DataFrame:
+                 broadcast_windows: int = 500_000, per_window: bool = False) -> DataFrame:
     """``doc_id, item_id, item_windows, matched_windows``: the items that each row of ``docs`` gives away.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; more columns are ignored. An item of fewer than
@@ -83,6 +84,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least:
     window of placeholders alone matches nothing. The benchmark is sent to all executors while it has
     ``broadcast_windows`` windows or fewer (some 40 bytes each), and is shuffled beyond that.
 
+    ``per_window`` judges slots window by window, as the registered query and the pipeline do: a window is
+    dropped if one value of the item stands against two of the text in it, and counts always if its values
+    are those of the item. Without it, one conflict drops all windows of an alignment.
+
     NULL or empty texts match nothing; rows with NULL ids are matched like others. Repeated rows of
     ``docs`` count as one; repeated items are one. Empty tables: no row.
     """
@@ -96,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least:
     matches = parts[0]
     for part in parts[1:]:
         matches = matches.unionByName(part)
-    return _judged(matches, coverage)
+    return _judged(_sound_windows(matches) if per_window else _sound_alignments(matches), coverage)
 
 
 def _matches(texts: DataFrame, items: DataFrame, width: int, broadcast_windows: int) -> DataFrame:
@@ -117,8 +122,19 @@ def _matches(texts: DataFrame, items: DataFrame, width: int, broadcast_windows:
     return joined.select("doc_id", "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
 
 
-def _judged(matches: DataFrame, coverage: float) -> DataFrame:
-    """Keep the alignments whose slots are consistent, and the items they cover enough of.
+def _sound_windows(matches: DataFrame) -> DataFrame:
+    """``doc_id, item_id, item_windows, shift, item_at`` of windows in which no value of the item has two values in the text.
+
+    Two values of the item may get the same new one, and windows equal to the item's have no conflict.
+    """
+    pairs = F.array_distinct(F.coalesce("pairs", F.array()))
+    ours = F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p["ours"])))
+    same = ~F.exists(pairs, lambda p: p["ours"] != p["theirs"])
+    return matches.where(same | (F.size(ours) == F.size(pairs))).select("doc_id", "item_id", "item_windows", "shift", "item_at").distinct()
+
+
+def _sound_alignments(matches: DataFrame) -> DataFrame:
+    """The same of the alignments in which all slots map one to one.
 
     An alignment has at most the windows and slots of its item, so both fit a row.
     """
@@ -127,9 +143,13 @@ def _judged(matches: DataFrame, coverage: float) -> DataFrame:
     ours = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["ours"])))
     theirs = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"])))
     sound = lined_up.where((F.size(ours) == F.size("pairs")) & (F.size(theirs) == F.size("pairs")))
+    return sound.select("doc_id", "item_id", "item_windows", "shift", F.explode("windows").alias("item_at"))
+
+
+def _judged(sound: DataFrame, coverage: float) -> DataFrame:
+    """The items of which enough windows are left."""
     return (
-        sound.select("doc_id", "item_id", "item_windows", F.explode("windows").alias("item_at"))
-        .groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("item_at").alias("matched_windows"))
+        sound.groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("item_at").alias("matched_windows"))
         .where(F.col("matched_windows") >= F.ceil(coverage * F.col("item_windows")))
     )
 

@@ -113,7 +113,7 @@ def op5(spark, folder):
 
 @query("op6_benchmark_decontamination")
 def op6(spark, folder):
-    return decontamination.contaminated(documents(spark, folder), table(spark, folder, "benchmark"))
+    return decontamination.contaminated(documents(spark, folder), table(spark, folder, "benchmark"), per_window=True)
 
 
 @query("op7_chat_formatting")

@@ -35,7 +35,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that give away a benchmark item go."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), per_window=True).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
