@@ -6,7 +6,7 @@ hashed and joined with the benchmark's. Where a window has placeholders, the val
 be consistent: equal values of the item stand against equal values of the text, in each window or
 (without ``per_window``) in the whole alignment of a text with an item, and there also unequal
 against unequal. A text is contaminated by an item when
-consistent alignments cover ``coverage`` of the item's windows or more.
+consistent windows make up ``coverage`` of the item's windows or more, or hold ``run`` tokens in a row.
 
 Tokens are runs of letters and digits in lower case; a name is a capitalised word inside a
 sentence, a unit is a word of the list below after a number.
@@ -76,7 +76,7 @@ def _within(slots: Column, at: Column, width: int) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least: int = 5, coverage: float = 0.3,
-                 broadcast_windows: int = 500_000, per_window: bool = False) -> DataFrame:
+                 broadcast_windows: int = 500_000, per_window: bool = False, run: int = 13) -> DataFrame:
     """``doc_id, item_id, item_windows, matched_windows``: the items that each row of ``docs`` gives away.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; more columns are ignored. An item of fewer than
@@ -84,6 +84,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least:
     window of placeholders alone matches nothing. The benchmark is sent to all executors while it has
     ``broadcast_windows`` windows or fewer (some 40 bytes each), and is shuffled beyond that.
 
+    An item counts when ``coverage`` of its windows match, or ``run`` of its tokens in a row in one alignment.
     ``per_window`` judges slots window by window, as the registered query and the pipeline do: a window is
     dropped if one value of the item stands against two of the text in it, and counts always if its values
     are those of the item. Without it, one conflict drops all windows of an alignment.
@@ -101,11 +102,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least:
     matches = parts[0]
     for part in parts[1:]:
         matches = matches.unionByName(part)
-    return _judged(_sound_windows(matches) if per_window else _sound_alignments(matches), coverage)
+    return _judged(_sound_windows(matches) if per_window else _sound_alignments(matches), coverage, run)
 
 
 def _matches(texts: DataFrame, items: DataFrame, width: int, broadcast_windows: int) -> DataFrame:
-    """``doc_id, item_id, item_windows, item_at, shift, pairs``; pairs: kind, item's value, text's value."""
+    """``doc_id, item_id, item_windows, width, item_at, shift, pairs``; pairs: kind, item's value, text's value."""
     known = items.withColumn("item_windows", F.size("__hashes") - width + 1)
     known = _windows(known, ["item_id", "item_windows"], width).withColumn("slots", _within(F.col("slots"), F.col("at"), width))
     known = known.where(F.coalesce(F.size("slots"), F.lit(0)) < width).select(
@@ -119,18 +120,18 @@ def _matches(texts: DataFrame, items: DataFrame, width: int, broadcast_windows:
         ).join(known, "window")
     pairs = F.zip_with("item_slots", _within(F.col("slots"), F.col("at"), width),
                        lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("ours"), b["value"].alias("theirs")))
-    return joined.select("doc_id", "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
+    return joined.select("doc_id", "item_id", "item_windows", F.lit(width).alias("width"), "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
 
 
 def _sound_windows(matches: DataFrame) -> DataFrame:
-    """``doc_id, item_id, item_windows, shift, item_at`` of windows in which no value of the item has two values in the text.
+    """``doc_id, item_id, item_windows, width, shift, item_at`` of windows in which no value of the item has two values in the text.
 
     Two values of the item may get the same new one, and windows equal to the item's have no conflict.
     """
     pairs = F.array_distinct(F.coalesce("pairs", F.array()))
     ours = F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p["ours"])))
     same = ~F.exists(pairs, lambda p: p["ours"] != p["theirs"])
-    return matches.where(same | (F.size(ours) == F.size(pairs))).select("doc_id", "item_id", "item_windows", "shift", "item_at").distinct()
+    return matches.where(same | (F.size(ours) == F.size(pairs))).select("doc_id", "item_id", "item_windows", "width", "shift", "item_at").distinct()
 
 
 def _sound_alignments(matches: DataFrame) -> DataFrame:
@@ -138,20 +139,34 @@ def _sound_alignments(matches: DataFrame) -> DataFrame:
 
     An alignment has at most the windows and slots of its item, so both fit a row.
     """
-    lined_up = matches.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
+    lined_up = matches.groupBy("doc_id", "item_id", "item_windows", "width", "shift").agg(
         F.collect_set("item_at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     ours = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["ours"])))
     theirs = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"])))
     sound = lined_up.where((F.size(ours) == F.size("pairs")) & (F.size(theirs) == F.size("pairs")))
-    return sound.select("doc_id", "item_id", "item_windows", "shift", F.explode("windows").alias("item_at"))
-
-
-def _judged(sound: DataFrame, coverage: float) -> DataFrame:
-    """The items of which enough windows are left."""
-    return (
-        sound.groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("item_at").alias("matched_windows"))
-        .where(F.col("matched_windows") >= F.ceil(coverage * F.col("item_windows")))
-    )
+    return sound.select("doc_id", "item_id", "item_windows", "width", "shift", F.explode("windows").alias("item_at"))
+
+
+def _longest(windows: Column) -> Column:
+    """How many of the positions follow each other at most."""
+    ended = F.aggregate(
+        F.sort_array(windows), F.struct(F.lit(-2).alias("last"), F.lit(0).alias("length"), F.lit(0).alias("most")),
+        lambda a, at: F.struct(
+            at.alias("last"), F.when(at == a["last"] + 1, a["length"] + 1).otherwise(1).alias("length"),
+            F.greatest(a["most"], F.when(at == a["last"] + 1, a["length"] + 1).otherwise(1)).alias("most")))
+    return ended["most"]
+
+
+def _judged(sound: DataFrame, coverage: float, run: int) -> DataFrame:
+    """The items of which enough windows are left: a share of all, or so many in a row that they hold ``run`` tokens."""
+    item = ["doc_id", "item_id", "item_windows", "width"]
+    lined_up = sound.groupBy(*item, "shift").agg(F.collect_set("item_at").alias("windows"))
+    lined_up = lined_up.withColumn("longest", _longest(F.col("windows")))
+    found = lined_up.select(*item, "longest", F.explode("windows").alias("item_at")).groupBy(*item).agg(
+        F.countDistinct("item_at").alias("matched_windows"), F.max("longest").alias("longest"))
+    in_a_row = F.greatest(F.lit(run) - F.col("width") + 1, F.lit(1))
+    return found.where((F.col("matched_windows") >= F.ceil(coverage * F.col("item_windows"))) | (F.col("longest") >= in_a_row)).select(
+        "doc_id", "item_id", "item_windows", "matched_windows")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

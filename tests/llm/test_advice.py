@@ -23,3 +23,12 @@ def test_a_conflicting_slot_drops_its_windows_only(spark):
     assert reported(spark, texts, [ITEM, short]) == [(0, 0), (1, 0), (2, 1)]
     conflict = "here 7 cats met 7 dogs near the big gate"
     assert reported(spark, [conflict.replace("7 dogs", "8 dogs")], [conflict]) == []
+
+
+def test_a_long_passage_of_a_long_item_is_reported(spark):
+    words = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti", "vu", "we") for b in "abcdefghijklmnopqrst"]
+    item = " ".join(words)
+    texts = [f"so then {' '.join(words[40:n])} and that was all of it" for n in (53, 52, 106)]
+    assert reported(spark, texts, [item]) == [(0, 0), (2, 0)]
+    apart = f"{' '.join(words[:11])} here {' '.join(words[50:61])} there {' '.join(words[90:102])}"
+    assert reported(spark, [apart], [item]) == []
