@@ -1,15 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question whose figures or persons were
-exchanged has the template of the original. Windows of ``width`` tokens of the templates are
-hashed and joined with the benchmark's. Where a window has placeholders, the values in them must
+exchanged has the template of the original. Windows of ``width`` tokens are
+hashed and joined with the benchmark's, once as plain words in lower case and once per level of
+typing that changes them: numbers and units, names inside sentences, all capitalised words. Copies in
+other case or with other line breaks have the plain windows, and names at a sentence start the last. Where a window has placeholders, the values in them must
 be consistent: equal values of the item stand against equal values of the text, in each window or
 (without ``per_window``) in the whole alignment of a text with an item, and there also unequal
 against unequal. A text is contaminated by an item when
 consistent windows make up ``coverage`` of the item's windows or more, or hold ``run`` tokens in a row.
 
-Tokens are runs of letters and digits in lower case; a name is a capitalised word inside a
-sentence, a unit is a word of the list below after a number.
+Tokens are runs of letters and digits in lower case; a name is a capitalised word after a word, comma
+or semicolon and white space, a unit is a word of the list below after a number.
 """
 
 from __future__ import annotations
@@ -26,52 +28,97 @@ UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards
          "dollar", "dollars", "cent", "cents", "euro", "euros", "metre", "metres", "meter", "meters", "kmh", "mph", "hz", "khz", "mhz",
          "watt", "watts", "kw", "volt", "volts", "joule", "joules", "newton", "newtons")
 
-_NAME_MARK = "\ue000"
+#: In front of a name inside a sentence, and of any other capitalised word.
+_NAME_MARK, _CAPITAL_MARK = "\ue000", "\ue001"
+_MARKS = f"[{_NAME_MARK}{_CAPITAL_MARK}]"
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
+#: What is typed in a window: nothing, numbers and units, names inside sentences too, all capitalised words too.
+PLAIN, NUMBERS, NAMES, CAPITALS = 1, 2, 3, 4
+
 
 def _raw_tokens(text: Column) -> Column:
-    """Tokens in lower case, names marked in front; digits and letters are separate tokens."""
-    # The rare letter comes first in each pattern, the look behind it after that.
-    named = F.regexp_replace(text, "\\p{Lu}(?=\\p{Ll})(?<=[\\p{Ll}\\p{Nd},;] .)", f"{_NAME_MARK}$0")
+    """Tokens in lower case, capitalised words marked in front; digits and letters are separate tokens."""
+    # The rare letter or mark comes first in each pattern, the look behind it after that.
+    capital = F.regexp_replace(text, "\\p{Lu}(?=\\p{Ll})(?<![\\p{L}\\p{M}\\p{Nd}].)", f"{_CAPITAL_MARK}$0")
+    named = F.regexp_replace(capital, f"{_CAPITAL_MARK}(?<=[\\p{{Ll}}\\p{{Nd}},;]\\s{{1,40}}.)", _NAME_MARK)
     joined = F.regexp_replace(named, "[.,](?=\\p{Nd})(?<=\\p{Nd}.)", "")
     split = F.regexp_replace(joined, "\\p{Nd}(?=\\p{L})|\\p{L}(?=\\p{Nd})", "$0 ")
     kept = F.when(text.rlike("\\p{Nd}"), split).otherwise(named)
-    return F.trim(F.regexp_replace(F.lower(kept), f"[^\\p{{L}}\\p{{M}}\\p{{Nd}}{_NAME_MARK}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(kept), f"[^\\p{{L}}\\p{{M}}\\p{{Nd}}{_NAME_MARK}{_CAPITAL_MARK}]+", " "))
 
 
 def _template(raw: Column) -> Column:
-    """The same tokens with placeholders."""
-    named = F.regexp_replace(raw, f"{_NAME_MARK}[^ ]*", NAME)
-    numbered = F.regexp_replace(named, "\\p{Nd}[\\p{Nd}\\p{M}]*", NUMBER)
-    units = F.regexp_replace(numbered, f"{NUMBER} (?:{'|'.join(UNITS)})(?![^ ])", f"{NUMBER} {UNIT}")
-    return F.when(raw.rlike("\\p{Nd}"), units).otherwise(named)
+    """The same tokens with placeholders for numbers, units and all marked words."""
+    numbered = F.regexp_replace(raw, "\\p{Nd}[\\p{Nd}\\p{M}]*", NUMBER)
+    units = F.regexp_replace(numbered, f"{NUMBER} {_MARKS}?(?:{'|'.join(UNITS)})(?![^ ])", f"{NUMBER} {UNIT}")
+    return F.regexp_replace(F.when(raw.rlike("\\p{Nd}"), units).otherwise(raw), f"{_MARKS}[^ ]*", NAME)
 
 
 def _tokens(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, ``__hashes`` (one per token) and ``__slots``: position, type and value of the placeholders."""
+    """``keys``, ``__plain`` tokens, ``__hashes`` of them, and ``__levels`` and ``__typed``: level and placeholder per token.
+
+    The level of a token is the first at which it is typed, PLAIN if it never is; the last two are NULL without placeholders.
+    """
     rows = df.select(*keys, _raw_tokens(text_or_empty()).alias("__raw")).withColumn("__templated", _template(F.col("__raw")))
+    plain = F.split(F.translate("__raw", _NAME_MARK + _CAPITAL_MARK, ""), " ")
+    typed = F.col("__templated") != F.col("__raw")
     rows = rows.select(
-        *keys, F.filter(F.split("__templated", " "), lambda t: t != "").alias("__tokens"),
-        F.when(F.col("__templated") != F.col("__raw"), F.split("__raw", " ")).alias("__values"))
-    # Texts without a placeholder have no slots to look for.
-    slots = F.filter(
-        F.transform("__tokens", lambda t, i: F.when(F.substring(t, 1, 1) == "<", F.struct(
-            i.alias("at"), t.alias("kind"), F.element_at("__values", i + 1).alias("value")))), lambda s: s.isNotNull())
-    slots = F.when(F.col("__values").isNotNull(), slots)
-    return rows.select(*keys, F.transform("__tokens", lambda t: F.xxhash64(t)).alias("__hashes"), slots.alias("__slots"))
+        *keys, F.when(F.col("__raw") != "", plain).otherwise(F.array().cast("array<string>")).alias("__plain"),
+        F.when(typed, F.split("__templated", " ")).alias("__typed"), F.when(typed, F.split("__raw", " ")).alias("__marked"))
+
+    def level(token: Column, i: Column) -> Column:
+        named = F.substring(F.element_at("__marked", i + 1), 1, 1) == _NAME_MARK
+        return F.when(F.substring(token, 1, 1) != "<", PLAIN).when(token != NAME, NUMBERS).when(named, NAMES).otherwise(CAPITALS)
+
+    return rows.select(*keys, "__plain", F.transform("__plain", lambda t: F.xxhash64(t)).alias("__hashes"),
+                       F.transform("__typed", level).alias("__levels"), "__typed")
 
 
 def _windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """``keys, at, window, slots``: one row per window of ``width`` tokens; slots are those of the whole text."""
+    """``keys, at, level, window, values``: all plain windows of ``width`` tokens, and per level those that type another token.
+
+    values are the plain tokens, NULL in plain windows.
+    """
     last = F.size("__hashes") - width
-    hashes = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                                           lambda i: F.xxhash64(F.slice("__hashes", i + 1, width))))
-    return rows.select(*keys, F.col("__slots").alias("slots"), F.posexplode(hashes).alias("at", "window"))
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+
+    def hashed(hashes: str, at: Column, level: int) -> Column:
+        values = F.slice("__plain", at + 1, width) if level > PLAIN else F.lit(None).cast("array<string>")
+        return F.struct(at.alias("at"), F.lit(level).alias("level"), F.xxhash64(F.slice(hashes, at + 1, width)).alias("window"), values.alias("values"))
+
+    def present(level: int) -> Column:
+        return F.array_contains("__levels", level)
+
+    def typed(level: int) -> Column:
+        return F.transform("__hashes", lambda h, i: F.when(
+            F.element_at("__levels", i + 1).between(NUMBERS, level), F.xxhash64(F.element_at("__typed", i + 1))).otherwise(h))
+
+    def near(level: int) -> Column:
+        slots = F.filter(F.transform("__levels", lambda x, i: F.when(x == level, i)), lambda i: i.isNotNull())
+        return F.array_distinct(F.flatten(F.transform(
+            slots, lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, last)))))
+
+    def at_level(level: int) -> Column:
+        found = F.transform(near(level), lambda at: hashed(f"__hashes_{level}", at, level))
+        return F.when(present(level), found).otherwise(F.array().cast("array<struct<at:int,level:int,window:bigint,values:array<string>>>"))
+
+    levels = (NUMBERS, NAMES, CAPITALS)
+    plain = F.transform(starts, lambda at: hashed("__hashes", at, PLAIN))
+    rows = rows.select("*", *(F.when(present(k), typed(k)).alias(f"__hashes_{k}") for k in levels))
+    parts = [plain, *(at_level(k) for k in levels)]
+    return rows.where(last >= 0).select(*keys, F.inline(F.concat(*parts)))
+
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """``__slots``: position, level, type and value of the placeholders."""
+    slots = F.transform("__typed", lambda t, i: F.struct(
+        i.alias("at"), F.element_at("__levels", i + 1).alias("level"), t.alias("kind"), F.element_at("__plain", i + 1).alias("value")))
+    return rows.withColumn("__slots", F.filter(slots, lambda s: s["level"] > PLAIN))
 
 
-def _within(slots: Column, at: Column, width: int) -> Column:
-    return F.transform(F.filter(slots, lambda s: (s["at"] >= at) & (s["at"] < at + width)),
+def _within(slots: Column, at: Column, width: int, level: Column) -> Column:
+    return F.transform(F.filter(slots, lambda s: (s["at"] >= at) & (s["at"] < at + width) & (s["level"] <= level)),
                        lambda s: F.struct((s["at"] - at).alias("at"), s["kind"].alias("kind"), s["value"].alias("value")))
 
 
@@ -107,19 +154,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least:
 
 def _matches(texts: DataFrame, items: DataFrame, width: int, broadcast_windows: int) -> DataFrame:
     """``doc_id, item_id, item_windows, width, item_at, shift, pairs``; pairs: kind, item's value, text's value."""
-    known = items.withColumn("item_windows", F.size("__hashes") - width + 1)
-    known = _windows(known, ["item_id", "item_windows"], width).withColumn("slots", _within(F.col("slots"), F.col("at"), width))
-    known = known.where(F.coalesce(F.size("slots"), F.lit(0)) < width).select(
-        "item_id", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("item_windows").cast("bigint"))
+    known = _slots(items).withColumn("item_windows", F.size("__hashes") - width + 1)
+    known = _windows(known, ["item_id", "item_windows", "__slots"], width)
+    typed = _within(F.col("__slots"), F.col("at"), width, F.greatest("level", F.lit(NUMBERS)))
+    known = known.where(F.coalesce(F.size(typed), F.lit(0)) < width).select(
+        "item_id", "window", F.col("at").alias("item_at"), _within(F.col("__slots"), F.col("at"), width, F.col("level")).alias("item_slots"),
+        F.col("item_windows").cast("bigint"))
     found = _windows(texts, ["doc_id"], width)
-    if known.count() <= broadcast_windows:
-        joined = found.join(F.broadcast(known), "window")
-    else:
-        joined = found.withColumn("slots", _within(F.col("slots"), F.col("at"), width)).withColumn(
-            "slots", F.transform("slots", lambda s: F.struct((s["at"] + F.col("at")).alias("at"), s["kind"].alias("kind"), s["value"].alias("value")))
-        ).join(known, "window")
-    pairs = F.zip_with("item_slots", _within(F.col("slots"), F.col("at"), width),
-                       lambda a, b: F.struct(a["kind"].alias("kind"), a["value"].alias("ours"), b["value"].alias("theirs")))
+    joined = found.join(F.broadcast(known) if known.count() <= broadcast_windows else known, "window")
+    pairs = F.transform("item_slots", lambda s: F.struct(
+        s["kind"].alias("kind"), s["value"].alias("ours"), F.element_at("values", s["at"] + 1).alias("theirs")))
     return joined.select("doc_id", "item_id", "item_windows", F.lit(width).alias("width"), "item_at", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
 
 

@@ -32,3 +32,17 @@ def test_a_long_passage_of_a_long_item_is_reported(spark):
     assert reported(spark, texts, [item]) == [(0, 0), (2, 0)]
     apart = f"{' '.join(words[:11])} here {' '.join(words[50:61])} there {' '.join(words[90:102])}"
     assert reported(spark, [apart], [item]) == []
+
+
+def test_case_line_breaks_and_sentence_starts_lose_no_window(spark):
+    anna = "Anna buys 5 apples. Anna eats 3."
+    texts = [ITEM.upper(), ITEM.lower(), ITEM.replace(" ", "\n"), ITEM.replace("while Maria", "while\r\n   Anna").replace("120", "7"),
+             "they say Anna buys 5 apples. Anna eats 3.", "Berta buys 6 apples. Berta eats 4.", "ANNA BUYS 8 APPLES. ANNA EATS 7.",
+             "Berta buys 6 apples. Clara eats 4.", "Nothing Of That Kind Is Here At All Today Or Later"]
+    assert reported(spark, texts, [ITEM, anna]) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1)]
+
+
+def test_case_loses_no_window_of_the_item(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate((ITEM, ITEM.upper(), ITEM.lower(), f"word {ITEM}", ITEM.replace(" ", "\n")))], "doc_id int, text string")
+    rows = decontamination.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id int, text string"), per_window=True).collect()
+    assert len(rows) == 5 and {r["matched_windows"] - r["item_windows"] for r in rows} == {0}
