@@ -1,6 +1,6 @@
 """Licence scan: a trained classifier of paragraphs, confirmed by templates.
 
-A paragraph (a line of a text) is a set of word 1-grams and 2-grams. Multinomial logistic
+A paragraph (a line of a text, or a block of lines up to the next blank one) is a set of word 1-grams and 2-grams. Multinomial logistic
 regression with an L1 penalty over the n-grams of known notices gives each licence family a score;
 its unknown class is learned from a bounded sample of the corpus's own paragraphs (``max_unknown``
 rows), and the probability of being a notice at all is calibrated on a fifth of the examples that
@@ -93,6 +93,33 @@ def paragraphs(docs: DataFrame) -> DataFrame:
         F.col("line").rlike("\\p{L}"))
 
 
+def blocks(docs: DataFrame, grams: list[int]) -> DataFrame:
+    """``doc_id, paragraph, line, lines``: runs of two or more lines that are not blank, joined by a space.
+
+    paragraph is the number of the first line, lines how many there are. A line without letter or digit is
+    blank, also as a comment. Texts and blocks with none of ``grams`` (of size 2 and 3) are left out.
+    """
+    known = F.array(*(F.lit(x) for x in grams))
+
+    def hit(text: Column) -> Column:
+        return F.arrays_overlap(F.concat(*(_grams(_words(text), k) for k in (2, 3))), known)
+
+    def blank(at: Column) -> Column:
+        return ~F.coalesce(F.get("__lines", at).rlike("[\\p{L}\\p{Nd}]"), F.lit(False))
+
+    def edges(step: int) -> Column:
+        places = F.transform("__lines", lambda x, i: F.when(~blank(i) & blank(i + step), i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    rows = docs.select("doc_id", text_or_empty().alias("__text")).where(F.col("__text").contains("\n") & hit(F.translate("__text", "\n", " ")))
+    rows = rows.select("doc_id", F.split("__text", "\n").alias("__lines"))
+    rows = rows.select("doc_id", "__lines", F.explode(F.arrays_zip(edges(-1).alias("first"), edges(1).alias("last"))).alias("__at"))
+    first, lines = F.col("__at.first"), F.col("__at.last") - F.col("__at.first") + 1
+    joined = rows.where(lines > 1).select(
+        "doc_id", first.alias("paragraph"), F.array_join(F.slice("__lines", first + 1, lines), " ").alias("line"), lines.alias("lines"))
+    return joined.where(hit(F.col("line")))
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     rows = [(i, family, text) for i, (family, text) in enumerate(TEMPLATES)]
     return spark.createDataFrame(rows, "template int, family string, line string")
@@ -177,12 +204,14 @@ def _times(template: int) -> Column:
 
 
 def scan(docs: DataFrame, max_unknown: int = 4_000, sure: float = 0.5, similarity: float = 0.5) -> DataFrame:
-    """``doc_id, paragraph, family, probability, template, similarity``: the licence notices in ``docs``.
+    """``doc_id, paragraph, family, probability, template, similarity, lines``: the licence notices in ``docs``.
 
     One row per paragraph whose calibrated probability of being a notice is ``sure`` or more. family is
     the likeliest one if a template of it shares ``similarity`` of its 3-grams (2-grams where it has none)
     with the paragraph, else ``unknown``; template and similarity are those of the nearest template of
-    that family.
+    that family. A notice wrapped over lines is found in its block: consecutive lines that are not blank, joined.
+    Blocks have the number of their first line, ``lines`` > 1, and a row only if a template confirms them and
+    no line of theirs is confirmed as the same family.
 
     ``docs``: doc_id, text; more columns are ignored. NULL or empty text: no row. NULL ids and repeated
     rows: rows with equal doc_id and text answer once. Empty table: no row.
@@ -203,11 +232,12 @@ def scan(docs: DataFrame, max_unknown: int = 4_000, sure: float = 0.5, similarit
     schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType())),
                            T.StructField("templates", T.ArrayType(T.IntegerType()))])
     terms = spark.createDataFrame(rows, schema)
-    lines = paragraphs(docs).withColumn("copy", F.xxhash64("line"))
+    lines = paragraphs(docs).withColumn("lines", F.lit(1)).unionByName(blocks(docs, sorted(of_template)))
+    lines = lines.withColumn("copy", F.xxhash64("line"))
     words = lines.withColumn("__words", _words(F.col("line"))).drop("line")
-    grams = words.select("doc_id", "paragraph", "copy", F.explode(
+    grams = words.select("doc_id", "paragraph", "lines", "copy", F.explode(
         F.array_distinct(F.concat(*(_grams(F.col("__words"), k) for k in (1, 2, 3))))).alias("gram"))
-    place = ["doc_id", "paragraph", "copy"]
+    place = ["doc_id", "paragraph", "lines", "copy"]
     # The table of terms has as many rows as the templates have n-grams.
     met = grams.join(F.broadcast(terms), "gram").groupBy(*place).agg(
         *(F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(len(families))),
@@ -219,7 +249,15 @@ def scan(docs: DataFrame, max_unknown: int = 4_000, sure: float = 0.5, similarit
     compared = F.array(*(F.struct((_times(i) / sizes[i]).alias("similarity"), F.lit(i).alias("template"), F.lit(f).alias("family"))
                          for i, (f, _) in enumerate(TEMPLATES)))
     of_best = F.array_max(F.filter(compared, lambda x: x["family"] == F.col("best.family")))
-    return judged.withColumn("near", of_best).select(
+    rows = judged.withColumn("near", of_best).select(
         "doc_id", "paragraph", F.when(F.col("near.similarity") >= similarity, F.col("best.family")).otherwise(UNKNOWN).alias("family"),
         F.round("probability", 6).alias("probability"), F.col("near.template").alias("template"),
-        F.round("near.similarity", 6).alias("similarity")).distinct()
+        F.round("near.similarity", 6).alias("similarity"), "lines").distinct()
+    rows = durable(rows)
+    own = rows.where("lines = 1")
+    confirmed = own.where(F.col("family") != UNKNOWN).select(
+        F.col("doc_id").alias("__doc"), F.col("family").alias("__family"), F.col("paragraph").alias("__line"))
+    inside = (F.col("__line") >= F.col("paragraph")) & (F.col("__line") < F.col("paragraph") + F.col("lines"))
+    wrapped = rows.where((F.col("lines") > 1) & (F.col("family") != UNKNOWN)).join(
+        confirmed, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("family") == F.col("__family")) & inside, "left_anti")
+    return own.unionByName(wrapped)

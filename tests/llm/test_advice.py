@@ -1,6 +1,6 @@
 """Whole results of the training-data operators, by the second review."""
 
-from auditweave.llm import decontamination
+from auditweave.llm import decontamination, license_scan
 
 ITEM = "A train leaves Springfield at 9 and drives 120 km in 3 hours while Maria waits for Peter who counts 120 birds on the roof of the old house"
 
@@ -46,3 +46,28 @@ def test_case_loses_no_window_of_the_item(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate((ITEM, ITEM.upper(), ITEM.lower(), f"word {ITEM}", ITEM.replace(" ", "\n")))], "doc_id int, text string")
     rows = decontamination.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id int, text string"), per_window=True).collect()
     assert len(rows) == 5 and {r["matched_windows"] - r["item_windows"] for r in rows} == {0}
+
+
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell."""
+GPL = """# plain.py
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+import os"""
+
+
+def test_wrapped_notices_are_found_in_their_block(spark):
+    plain = [(1000 + i, f"ordinary words number {i} about the weather\nin spring and {i * 7} birds") for i in range(300)]
+    one_line = "Some words first.\nReleased under the MIT License.\nAnd some after."
+    df = spark.createDataFrame([(1, MIT), (2, GPL), (None, MIT), (3, one_line)] + plain, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["paragraph"], r["family"]) for r in license_scan.scan(df).collect() if r["family"] != license_scan.UNKNOWN]
+    assert {(1, 2, "mit"), (None, 2, "mit"), (2, 2, "gpl")} <= set(got) and (3, 1, "mit") in got
+    assert len(got) == len(set(got)) and not [g for g in got if g[0] == 3 and g[1] != 1] and all((g[0] or 0) < 1000 for g in got)
