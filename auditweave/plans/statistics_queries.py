@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditweave.operators import statistics as st
 from auditweave.plans.registry import query
+from auditweave.session import durable
 
 
 def books(given):
@@ -206,6 +207,27 @@ def t9(given):
     return st.posterior_bands(st.naive_bayes_posterior(_vectors(given))).select("target", "band", "verdict")
 
 
+def _whole_vectors(given):
+    """All five detectors. The SQL of T7 to T9 above has no forest, so these are queries of their own."""
+    return st.evidence_vector(durable(st.run_statistical_pack(*books(given), transactions(given, "user_id"))))
+
+
+@query("t7_evidence_vector_with_forest")
+def t7f(given):
+    return _whole_vectors(given).withColumn("labels", F.array_join("labels", ","))
+
+
+@query("t8_naive_bayes_posterior_with_forest")
+def t8f(given):
+    out = st.naive_bayes_posterior(_whole_vectors(given))
+    return out.select("target", "posterior", "posterior_legit", "likelihood_ratio", "weighted", "difference")
+
+
+@query("t9_posterior_bands_with_forest")
+def t9f(given):
+    return st.posterior_bands(st.naive_bayes_posterior(_whole_vectors(given))).select("target", "band", "verdict")
+
+
 @query("t10_verify_reconciliation_claims", BOOKS_SQL + """
 , cl AS (
   SELECT 'CLM-' || id AS claim_id, id AS invoice_id, CASE WHEN k % 2 = 0 THEN 'invoice_overpayment' ELSE 'invoice_underpayment' END AS claim_type,
