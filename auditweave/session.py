@@ -63,3 +63,13 @@ def durable(df: DataFrame) -> DataFrame:
 def send_with_tasks(module: str) -> None:
     """Send the functions of ``module`` inside the task, so workers need no copy of this package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``durable`` wrote, once all that reads it has itself been written."""
+    spark = df.sparkSession
+    own = work_folder(spark).split("://")[-1].rstrip("/") + "/"
+    for name in {str(f).rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
