@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave.llm import (
+    centroid_clustering,
     chat_format,
     decontamination,
+    divergence,
+    exact_dedup,
     license_scan,
     mixing,
     ngram_jaccard,
@@ -153,3 +156,66 @@ def op9(spark, folder):
 @query("op10_substring_dedup")
 def op10(spark, folder):
     return substring_dedup.removal_digest(documents(spark, folder))
+
+
+_OP11 = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)"""
+
+
+@query("op11_exact_dedup", _OP11)
+def op11(spark, folder):
+    return exact_dedup.duplicates(documents(spark, folder))
+
+
+def _op12(rounds: int = 10, k: int = 8, seed: int = 3) -> str:
+    """The rounds written out one after the other."""
+    parts = [f"""
+v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, i, e[i] AS x FROM v, range(1, 65) r(i)),
+c0 AS MATERIALIZED (SELECT n - 1 AS c, i, e[i] AS x FROM
+  (SELECT e, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) AS n FROM v QUALIFY n <= {k}), range(1, 65) r(i))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT vec_id, c, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{r} c USING (i) GROUP BY 1, 2)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, c{r}.x) AS x FROM c{r}
+  LEFT JOIN (SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM x JOIN a{r} USING (vec_id) GROUP BY 1, 2) USING (c, i))""")
+    return "WITH" + ",".join(parts) + f"""
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY i)) FROM c{rounds} f WHERE f.c = a{rounds}.c) AS centroid_sha256 FROM a{rounds}"""
+
+
+@query("op12_centroid_clustering", _op12())
+def op12(spark, folder):
+    return centroid_clustering.cluster(table(spark, folder, "embeddings"))
+
+
+_OP13 = """
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+l AS MATERIALIZED (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS kept, sum(n) AS total FROM l GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN l USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(s.total, 0) + v.kept) AS p,
+    1 + 1000000000 * (l.n + 1) // (v.total + v.kept) AS q
+  FROM g JOIN l USING (lang) JOIN v USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200"""
+
+
+@query("op13_source_divergence_audit", _OP13)
+def op13(spark, folder):
+    return divergence.divergence(documents(spark, folder))
