@@ -6,13 +6,16 @@ or vendor may own any share of the payments.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.functions.clean import money, sum_money
+from auditweave.functions.clean import money, observation_id
 from auditweave.operators.forest import isolation_scores
+from auditweave.operators.observations import member_digest
 from auditweave.operators.ordering import exact_quantiles, running_total
 from auditweave.session import durable
 
@@ -149,6 +152,21 @@ def _reached(nodes: DataFrame, vendor: str) -> DataFrame:
     return on_path
 
 
+def _near_bursts(rows: DataFrame, vendor: str, width: int, min_count: int) -> DataFrame:
+    """The rows that a burst may hold.
+
+    A window is as wide as a bucket, so it lies in two neighbours. Where no two neighbours hold more than
+    ``min_count`` rows together no window does, and rows that share no such pair are in no burst.
+    """
+    bucket = F.floor(F.col("at") / F.lit(max(width, 1))).alias("bucket")
+    rows = rows.withColumn("bucket", bucket)
+    counts = rows.groupBy(vendor, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    pairs = counts.select(vendor, F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("pair"), "n")
+    full = pairs.groupBy(vendor, "pair").agg(F.sum("n").alias("n")).where(F.col("n") > min_count)
+    wanted = full.select(vendor, F.explode(F.array(F.col("pair"), F.col("pair") + 1)).alias("bucket")).distinct()
+    return rows.join(wanted, [vendor, "bucket"], "left_semi").drop("bucket")
+
+
 def velocity_burst(df: DataFrame, vendor: str = "vendor_id", timestamp: str = "timestamp", id_column: str = "transaction_id",
                    minutes: float = 5.0, min_count: int = 3) -> tuple[DataFrame, DataFrame]:
     """(bursts, members): greedy runs of more than ``min_count`` rows inside ``minutes``.
@@ -156,12 +174,14 @@ def velocity_burst(df: DataFrame, vendor: str = "vendor_id", timestamp: str = "t
     Rows are numbered in time order per vendor. Each row also asks how many rows
     lie up to its window's end; question and rows are sorted together, so no
     vendor or minute has to fit one task. A row with enough followers may open a
-    burst, and the next opener at or after its end continues the path.
+    burst, and the next opener at or after its end continues the path. Rows in
+    stretches too thin for a burst are left out before anything is sorted.
     """
     micros = F.unix_micros(F.col(timestamp).cast("timestamp"))
     rows = df.where(F.col(vendor).isNotNull() & F.col(timestamp).isNotNull()).select(
         F.col(vendor), F.col(id_column).alias("id"), micros.alias("at"), money("amount").alias("amount"))
     width = int(round(minutes * 60_000_000))
+    rows = durable(_near_bursts(rows, vendor, width, min_count))
     marks = F.array(F.struct(F.col("at").alias("key"), F.lit(0).alias("kind")), F.struct((F.col("at") + width).alias("key"), F.lit(1).alias("kind")))
     asked = running_total(rows.select(vendor, "id", "at", "amount", F.inline(marks)), [vendor], ["key", "kind", "id"],
                           F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint"), "n")
@@ -227,30 +247,84 @@ def isolation_forest(df: DataFrame, features: tuple[str, ...] = ("amount", "hour
 
 # T6 - T9
 
-def _observed(df: DataFrame, model: str, score: str, **targets: str) -> DataFrame:
-    def pick(name: str) -> Column:
-        return (F.col(targets[name]).cast("string") if name in targets else F.lit(None).cast("string")).alias(name)
+@dataclass(frozen=True)
+class StatisticalPack:
+    """The statistical observations and what they rest on, one row per record."""
+
+    heads: DataFrame  # observation_id, rule_or_model, vendor_id, group_by_value, invoice_id, mismatch_type, anomaly_score, facts
+    records: DataFrame  # observation_id, target, kind, record_id
+
 
-    return df.select(F.lit(model).alias("rule_or_model"), pick("vendor_id"), pick("group_by_value"), pick("invoice_id"),
-                     "mismatch_type", F.col(score).cast("double").alias("anomaly_score"))
+TARGET = ("vendor_id", "group_by_value", "invoice_id")
 
 
-def run_statistical_pack(invoices: DataFrame, payments: DataFrame, ledger: DataFrame, transactions: DataFrame) -> DataFrame:
-    """All statistical detectors in one observation table."""
-    hourly = transactions.withColumn("hour", F.hour("timestamp"))
+def target_of() -> Column:
+    """Whom an observation is about."""
+    return F.coalesce(*TARGET, F.lit("UNKNOWN_ENTITY"))
+
+
+def _heads(found: DataFrame, model: str, facts: Sequence[str], **targets: str) -> DataFrame:
+    def pick(name: str) -> Column:
+        return (F.col(targets[name]).cast("string") if name in targets else F.lit(None).cast("string")).alias(name)
+
+    return found.select("observation_id", F.lit(model).alias("rule_or_model"), *map(pick, TARGET), "mismatch_type",
+                        F.col("score").cast("double").alias("anomaly_score"), F.to_json(F.struct(*facts)).alias("facts"))
+
+
+def _of_group(found: DataFrame, records: DataFrame, keys: Sequence[str], model: str, facts: Sequence[str], **targets: str) -> StatisticalPack:
+    """Observations with records (``keys``, kind, record_id); the id digests the records, in no order."""
+    keys = list(keys)
+    records = durable(records.select(*keys, "kind", F.col("record_id").cast("string").alias("record_id")).distinct())
+    digests = records.withColumn("__member", F.concat_ws(":", "kind", "record_id")).groupBy(*keys).agg(member_digest("__member").alias("digest"))
+    tag = model.upper().replace("_", "-")
+    named = durable(found.join(digests, keys, "left").withColumn("observation_id", observation_id("STA", tag, [*targets.values(), "digest"])))
+    heads = _heads(named, model, facts, **targets)
+    owned = records.join(named.select(*keys, "observation_id", F.col(next(iter(targets.values()))).cast("string").alias("target")), keys)
+    return StatisticalPack(heads, owned.select("observation_id", "target", "kind", "record_id"))
+
+
+def _of_rows(found: DataFrame, id_column: str, model: str, facts: Sequence[str]) -> StatisticalPack:
+    """Observations of single transactions."""
+    tag = model.upper().replace("_", "-")
+    named = found.withColumn("observation_id", observation_id("STA", tag, ["vendor_id", id_column]))
+    records = named.select("observation_id", F.coalesce(F.col("vendor_id").cast("string"), F.lit("UNKNOWN_ENTITY")).alias("target"),
+                           F.lit(id_column).alias("kind"), F.col(id_column).cast("string").alias("record_id"))
+    return StatisticalPack(_heads(named, model, facts, vendor_id="vendor_id"), records)
+
+
+def run_statistical_pack(invoices: DataFrame, payments: DataFrame, ledger: DataFrame, transactions: DataFrame,
+                         minutes: float = 5.0, id_column: str = "transaction_id") -> StatisticalPack:
+    """All statistical detectors: heads with ids and facts, and the records behind each."""
+    differs = durable(triple_reconciliation(invoices, payments, ledger))
+    even = durable(entropy_collapse(transactions, "amount", "vendor_id"))
+    repeated = transactions.join(even.select("vendor_id"), "vendor_id").select(
+        "vendor_id", F.lit(id_column).alias("kind"), F.col(id_column).alias("record_id"))
+    late = off_hours(transactions).withColumn("reasons", F.array_join("reasons", ",")).withColumn("at", F.col("timestamp").cast("string"))
+    bursts, members = map(durable, velocity_burst(transactions, id_column=id_column, minutes=minutes))
+    lonely = isolation_forest(transactions.withColumn("hour", F.hour("timestamp")), id_column=id_column)
     parts = [
-        _observed(triple_reconciliation(invoices, payments, ledger), "triple_reconciliation", "score", invoice_id="invoice_id"),
-        _observed(entropy_collapse(transactions, "amount", "vendor_id"), "entropy", "score", group_by_value="vendor_id"),
-        _observed(off_hours(transactions), "off_hours", "score", vendor_id="vendor_id"),
-        _observed(velocity_burst(transactions)[0], "velocity_burst", "score", vendor_id="vendor_id"),
-        _observed(isolation_forest(hourly), "isolation_forest", "score", vendor_id="vendor_id"),
+        _of_group(differs, reconciliation_records(differs, payments, ledger), ["invoice_id"], "triple_reconciliation",
+                  ["invoiced_amount", "paid_amount", "ledger_amount", "diff_payment_invoice", "diff_ledger_payment", "diff_ledger_invoice"],
+                  invoice_id="invoice_id"),
+        _of_group(even, repeated, ["vendor_id"], "entropy",
+                  ["sample_size", "unique_values", "shannon_entropy", "max_entropy", "normalized_entropy", "dominant_value", "dominant_count", "dominant_ratio"],
+                  group_by_value="vendor_id"),
+        _of_rows(late, id_column, "off_hours", [id_column, "at", "hour", "is_night", "is_weekend", "amount", "reasons"]),
+        _of_group(bursts, members.select("vendor_id", "burst", F.lit(id_column).alias("kind"), F.col(id_column).alias("record_id")), ["vendor_id", "burst"],
+                  "velocity_burst", ["transaction_count", "window_start", "window_end", "duration_seconds", "total_burst_amount"], vendor_id="vendor_id"),
+        _of_rows(durable(lonely), id_column, "isolation_forest", [id_column, "amount", "hour", "decision"]),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return StatisticalPack(*(reduce(DataFrame.unionByName, [getattr(p, name) for p in parts]) for name in ("heads", "records")))
+
+
+def provenance(pack: StatisticalPack) -> DataFrame:
+    """``target, kind, record_id``: what all observations of a target rest on, each record once."""
+    return pack.records.select("target", "kind", "record_id").distinct()
 
 
 def evidence_vector(observations: DataFrame) -> DataFrame:
     """Four flags per target. Labels are few, so their set stays an array."""
-    target = F.coalesce("vendor_id", "group_by_value", "invoice_id", F.lit("UNKNOWN_ENTITY")).alias("target")
+    target = target_of().alias("target")
     flags = [F.bool_or(F.col("mismatch_type").isin(*labels)).alias(name) for name, labels in zip(EVIDENCE, EVIDENCE_LABELS)]
     return observations.groupBy(target).agg(
         *flags, F.count(F.lit(1)).alias("observations"), F.sort_array(F.collect_set("mismatch_type")).alias("labels"))

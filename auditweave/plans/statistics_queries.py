@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.operators import statistics as st
+from auditweave.plans.detector_queries import sql_digest, sql_id
 from auditweave.plans.registry import query
 from auditweave.session import durable
 
@@ -147,20 +145,58 @@ def t5(given):
     return st.isolation_forest(rows).select("transaction_id", "vendor_id", "amount", "hour", "score", "decision")
 
 
-@query("t6_run_statistical_pack")
-def t6(given):
-    return st.run_statistical_pack(*books(given), transactions(given, "user_id"))
+#: Minutes of a burst in the pack: the given events are days apart per user, so five minutes hold none.
+PACK_MINUTES = 120
+
+
+def pack_transactions(given):
+    """Transactions per user; every seventh user pays round amounts only."""
+    rows = transactions(given, "user_id")
+    even = F.col("vendor_id").cast("bigint") % 7 == 0
+    return rows.withColumn("amount", F.when(even, F.floor(F.col("amount") / 50) * 50.0).otherwise(F.col("amount")))
+
 
+_PACKS: dict[tuple[str, str], st.StatisticalPack] = {}
 
-_VECTOR_SQL = BOOKS_SQL.replace("WITH o AS", "WITH RECURSIVE o AS", 1) + _burst_sql(5, "user_id").replace("WITH RECURSIVE e AS", ", e AS", 1) + """
-, ev AS (SELECT CAST(user_id AS VARCHAR) AS u, value AS x, ts FROM events),
+
+def stored_pack(given) -> st.StatisticalPack:
+    """All five detectors, written once per application: the given tables do not change while it runs."""
+    key = (given.spark.sparkContext.applicationId, given.folder)
+    if key not in _PACKS:
+        made = st.run_statistical_pack(*books(given), pack_transactions(given), minutes=PACK_MINUTES)
+        _PACKS[key] = st.StatisticalPack(durable(made.heads), durable(made.records))
+    return _PACKS[key]
+
+
+def four_detectors(pack: st.StatisticalPack) -> st.StatisticalPack:
+    """Without the forest, which SQL cannot grow."""
+    heads = pack.heads.where("rule_or_model <> 'isolation_forest'")
+    return st.StatisticalPack(heads, pack.records.join(heads.select("observation_id").distinct(), "observation_id", "left_semi"))
+
+
+_PACK_SQL = BOOKS_SQL.replace("WITH o AS", "WITH RECURSIVE o AS", 1) + _burst_sql(PACK_MINUTES, "user_id").replace("WITH RECURSIVE e AS", ", e AS", 1) + f"""
+, ev AS (SELECT CAST(user_id AS VARCHAR) AS u, CAST(event_id AS VARCHAR) AS id, ts, hour(ts) >= 23 OR hour(ts) < 5 AS is_night, isodow(ts) >= 6 AS is_weekend,
+    CASE WHEN user_id % 7 = 0 THEN floor(value / 50) * 50.0 ELSE value END AS x FROM events),
 vc AS (SELECT u, x, count(*) AS c FROM ev GROUP BY 1, 2), n AS (SELECT u, sum(c)::BIGINT AS n FROM vc GROUP BY 1),
-ent AS (SELECT u, max(n) AS n, abs(sum(-(c / n) * log2(c / n))) AS h FROM vc JOIN n USING (u) GROUP BY 1),
+ent AS (SELECT u, max(n) AS n, count(*) AS vals, abs(sum(-(c / n) * log2(c / n))) AS h, min(struct_pack(c := -c, x := x)) AS top FROM vc JOIN n USING (u) GROUP BY 1),
+low AS (SELECT *, round(CASE WHEN h > 1e-12 THEN h / log2(n) ELSE 0 END, 4) AS nh FROM ent WHERE n >= 3 AND round(h / log2(n), 4) < 0.35),
+late AS (SELECT * FROM ev WHERE is_night OR is_weekend),
+grp AS (
+  SELECT 'triple_reconciliation' AS model, invoice_id AS target, 0 AS burst, 'invoice' AS kind, invoice_id AS record_id FROM t1 WHERE invoiced_amount > 0
+  UNION ALL SELECT 'triple_reconciliation', invoice_id, 0, 'payment', payment_id FROM tpay WHERE invoice_id IN (SELECT invoice_id FROM t1)
+  UNION ALL SELECT 'triple_reconciliation', invoice_id, 0, 'ledger', transaction_id FROM tled WHERE invoice_id IN (SELECT invoice_id FROM t1)
+  UNION ALL SELECT 'entropy', u, 0, 'transaction_id', id FROM ev SEMI JOIN low USING (u)
+  UNION ALL SELECT 'velocity_burst', v, burst, 'transaction_id', CAST(event_id AS VARCHAR) FROM rows_),
+gid AS (SELECT model, target, burst, 'OBS-STA-' || replace(upper(model), '_', '-') || '-'
+    || upper(substr(sha1(target || '|' || {sql_digest("kind || ':' || record_id")}), 1, 12)) AS observation_id FROM grp GROUP BY 1, 2, 3),
+lid AS (SELECT {sql_id('STA', 'OFF-HOURS', "u || '|' || id")} AS observation_id, * FROM late),
+rec AS (SELECT observation_id, target, kind, record_id FROM grp JOIN gid USING (model, target, burst)
+  UNION ALL SELECT observation_id, u, 'transaction_id', id FROM lid),
 obs AS (
-  SELECT invoice_id AS target, mismatch_type FROM t1
-  UNION ALL SELECT u, 'ENTROPY_COLLAPSE_STRUCTURED_PATTERN' FROM ent WHERE n >= 3 AND round(h / log2(n), 4) < 0.35
-  UNION ALL SELECT u, 'OFF_HOURS_EXECUTION' FROM ev WHERE hour(ts) >= 23 OR hour(ts) < 5 OR isodow(ts) >= 6
-  UNION ALL SELECT v, 'HIGH_VELOCITY_BURST' FROM (SELECT DISTINCT v, burst FROM rows_)),
+  SELECT observation_id, model AS rule_or_model, target, mismatch_type, score AS anomaly_score FROM t1s JOIN gid ON model = 'triple_reconciliation' AND target = invoice_id
+  UNION ALL SELECT observation_id, model, target, 'ENTROPY_COLLAPSE_STRUCTURED_PATTERN', round(1 - nh, 2) FROM low JOIN gid ON model = 'entropy' AND target = u
+  UNION ALL SELECT observation_id, 'off_hours', u, 'OFF_HOURS_EXECUTION', CASE WHEN is_night AND is_weekend THEN 0.8 WHEN is_night THEN 0.7 ELSE 0.6 END FROM lid
+  UNION ALL SELECT observation_id, model, target, 'HIGH_VELOCITY_BURST', 0.85 FROM gid WHERE model = 'velocity_burst'),
 vec AS (
   SELECT target, bool_or(mismatch_type IN ('LEDGER_UNDER_RECORDING', 'OVERPAYMENT', 'UNDERPAYMENT')) AS e1_match,
     bool_or(mismatch_type = 'ENTROPY_COLLAPSE_STRUCTURED_PATTERN') AS e2_entropy, bool_or(mismatch_type IN ('OFF_HOURS_EXECUTION', 'HIGH_VELOCITY_BURST')) AS e3_temporal, false AS e4_outlier,
@@ -176,56 +212,114 @@ post AS (
 """
 
 
-def _vectors(given):
-    rows = transactions(given, "user_id")
-    parts = [
-        st._observed(st.triple_reconciliation(*books(given)), "triple_reconciliation", "score", invoice_id="invoice_id"),
-        st._observed(st.entropy_collapse(rows, "amount", "vendor_id"), "entropy", "score", group_by_value="vendor_id"),
-        st._observed(st.off_hours(rows), "off_hours", "score", vendor_id="vendor_id"),
-        st._observed(st.velocity_burst(rows)[0], "velocity_burst", "score", vendor_id="vendor_id"),
-    ]
-    return st.evidence_vector(reduce(DataFrame.unionByName, parts))
+def _t6(pack):
+    return pack.heads.select("observation_id", "rule_or_model", st.target_of().alias("target"), "mismatch_type", "anomaly_score")
 
 
-@query("t7_evidence_vector", _VECTOR_SQL + "SELECT * FROM vec", estate=False)
-def t7(given):
-    return _vectors(given).withColumn("labels", F.array_join("labels", ","))
+def _facts(pack):
+    """Facts one per row; what reads as a number is compared as one."""
+    rows = pack.heads.select("observation_id", F.explode(F.from_json("facts", "map<string,string>")).alias("fact", "value"))
+    number = F.expr("try_cast(value AS double)")
+    return rows.select("observation_id", "fact", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
 
 
-@query("t8_naive_bayes_posterior", _VECTOR_SQL + """
-SELECT target, posterior, round(1 - posterior, 4) AS posterior_legit, round(a / l, 2) AS likelihood_ratio, round(w, 4) AS weighted,
-  round(posterior - round(w, 4), 4) AS difference FROM post""", estate=False)
-def t8(given):
-    out = st.naive_bayes_posterior(_vectors(given))
+def _t7(pack):
+    return st.evidence_vector(pack.heads).withColumn("labels", F.array_join("labels", ","))
+
+
+def _t8(pack):
+    out = st.naive_bayes_posterior(st.evidence_vector(pack.heads))
     return out.select("target", "posterior", "posterior_legit", "likelihood_ratio", "weighted", "difference")
 
 
-@query("t9_posterior_bands", _VECTOR_SQL + """
-SELECT target, CASE WHEN posterior >= 0.7 THEN 'high' WHEN posterior >= 0.15 THEN 'medium' ELSE 'low' END AS band,
-  CASE WHEN posterior >= 0.8 THEN 'critical' WHEN posterior >= 0.2 THEN 'review' ELSE 'discarded' END AS verdict FROM post""", estate=False)
-def t9(given):
-    return st.posterior_bands(st.naive_bayes_posterior(_vectors(given))).select("target", "band", "verdict")
+def _t9(pack):
+    return st.posterior_bands(st.naive_bayes_posterior(st.evidence_vector(pack.heads))).select("target", "band", "verdict")
 
 
-def _whole_vectors(given):
-    """All five detectors. The SQL of T7 to T9 above has no forest, so these are queries of their own."""
-    return st.evidence_vector(durable(st.run_statistical_pack(*books(given), transactions(given, "user_id"))))
+@query("t6_run_statistical_pack")
+def t6(given):
+    return stored_pack(given).heads
 
 
-@query("t7_evidence_vector_with_forest")
-def t7f(given):
-    return _whole_vectors(given).withColumn("labels", F.array_join("labels", ","))
+@query("t6_records")
+def t6r(given):
+    return stored_pack(given).records
 
 
-@query("t8_naive_bayes_posterior_with_forest")
-def t8f(given):
-    out = st.naive_bayes_posterior(_whole_vectors(given))
-    return out.select("target", "posterior", "posterior_legit", "likelihood_ratio", "weighted", "difference")
+@query("t6_heads_four_detectors", _PACK_SQL + "SELECT * FROM obs", estate=False)
+def t6h4(given):
+    return _t6(four_detectors(stored_pack(given)))
 
 
-@query("t9_posterior_bands_with_forest")
-def t9f(given):
-    return st.posterior_bands(st.naive_bayes_posterior(_whole_vectors(given))).select("target", "band", "verdict")
+@query("t6_records_four_detectors", _PACK_SQL + "SELECT * FROM rec", estate=False)
+def t6r4(given):
+    return four_detectors(stored_pack(given)).records
+
+
+@query("t6_facts_four_detectors", _PACK_SQL + """
+, b AS (SELECT observation_id, count(*) AS k, min(r.ts) AS t0, max(r.ts) AS t1, round((epoch_us(max(r.ts)) - epoch_us(min(r.ts))) / 1000000.0, 2) AS s,
+    sum(CAST(ev.x AS DECIMAL(18, 2))) AS a FROM rows_ r JOIN ev ON ev.id = CAST(r.event_id AS VARCHAR) JOIN gid ON model = 'velocity_burst' AND target = r.v AND gid.burst = r.burst GROUP BY 1)
+, f AS (
+  SELECT observation_id, unnest(['invoiced_amount', 'paid_amount', 'ledger_amount', 'diff_payment_invoice', 'diff_ledger_payment', 'diff_ledger_invoice']) AS fact,
+    unnest([invoiced_amount, paid_amount, ledger_amount, diff_payment_invoice, diff_ledger_payment, diff_ledger_invoice])::DOUBLE AS number, NULL AS text
+    FROM t1 JOIN gid ON model = 'triple_reconciliation' AND target = invoice_id
+  UNION ALL SELECT observation_id, unnest(['sample_size', 'unique_values', 'shannon_entropy', 'max_entropy', 'normalized_entropy', 'dominant_value', 'dominant_count', 'dominant_ratio']),
+    unnest([n, vals, round(h, 4), round(log2(n), 4), nh, top.x, -top.c, round(-top.c / n, 4)]::DOUBLE[]), NULL FROM low JOIN gid ON model = 'entropy' AND target = u
+  UNION ALL SELECT observation_id, unnest(['transaction_id', 'hour', 'amount']), unnest([id::DOUBLE, hour(ts)::DOUBLE, x]), NULL FROM lid
+  UNION ALL SELECT observation_id, unnest(['at', 'is_night', 'is_weekend', 'reasons']), NULL, unnest([rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.'), is_night::VARCHAR, is_weekend::VARCHAR,
+    concat_ws(',', CASE WHEN is_night THEN 'night' END, CASE WHEN is_weekend THEN 'weekend' END)]) FROM lid
+  UNION ALL SELECT observation_id, unnest(['transaction_count', 'duration_seconds', 'total_burst_amount']), unnest([k, s, a]::DOUBLE[]), NULL FROM b
+  UNION ALL SELECT observation_id, unnest(['window_start', 'window_end']), NULL, unnest([rtrim(rtrim(strftime(t0, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.'), rtrim(rtrim(strftime(t1, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')]) FROM b)
+SELECT * FROM f""", estate=False)
+def t6f4(given):
+    return _facts(four_detectors(stored_pack(given)))
+
+
+@query("t7_evidence_vector_with_forest")  # its earlier name
+@query("t7_evidence_vector")
+def t7(given):
+    return _t7(stored_pack(given))
+
+
+@query("t7_evidence_vector_four_detectors", _PACK_SQL + "SELECT * FROM vec", estate=False)
+def t7_four(given):
+    return _t7(four_detectors(stored_pack(given)))
+
+
+@query("t7_provenance")
+def t7p(given):
+    return st.provenance(stored_pack(given))
+
+
+@query("t7_provenance_four_detectors", _PACK_SQL + "SELECT DISTINCT target, kind, record_id FROM rec", estate=False)
+def t7p_four(given):
+    return st.provenance(four_detectors(stored_pack(given)))
+
+
+@query("t8_naive_bayes_posterior_with_forest")  # its earlier name
+@query("t8_naive_bayes_posterior")
+def t8(given):
+    return _t8(stored_pack(given))
+
+
+@query("t8_naive_bayes_posterior_four_detectors", _PACK_SQL + """
+SELECT target, posterior, round(1 - posterior, 4) AS posterior_legit, round(a / l, 2) AS likelihood_ratio, round(w, 4) AS weighted,
+  round(posterior - round(w, 4), 4) AS difference FROM post""", estate=False)
+def t8_four(given):
+    return _t8(four_detectors(stored_pack(given)))
+
+
+@query("t9_posterior_bands_with_forest")  # its earlier name
+@query("t9_posterior_bands")
+def t9(given):
+    return _t9(stored_pack(given))
+
+
+@query("t9_posterior_bands_four_detectors", _PACK_SQL + """
+SELECT target, CASE WHEN posterior >= 0.7 THEN 'high' WHEN posterior >= 0.15 THEN 'medium' ELSE 'low' END AS band,
+  CASE WHEN posterior >= 0.8 THEN 'critical' WHEN posterior >= 0.2 THEN 'review' ELSE 'discarded' END AS verdict FROM post""", estate=False)
+def t9_four(given):
+    return _t9(four_detectors(stored_pack(given)))
 
 
 @query("t10_verify_reconciliation_claims", BOOKS_SQL + """
