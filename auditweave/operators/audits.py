@@ -1,7 +1,7 @@
 """Whole-estate data-quality audits.
 
 Most checks give (check_name, source_table, record_id), one row per violation;
-``audit_report`` counts them.
+``all_violations`` runs them all, ``audit_report`` counts and samples them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from auditweave.functions.clean import clean_text, money
 from auditweave.operators.lookups import KEY_CHARS, SETTLEMENT_PREFIX
+from auditweave.operators.ordering import top_rows
+from auditweave.session import durable
 from auditweave.sources.estate import TABLES, Estate
 
 # Fixed values.
@@ -168,7 +170,82 @@ def label_reconciliation(schemes: DataFrame, records: DataFrame, amounts: DataFr
         "scheme_id", "peso_amount", F.col("b.t").alias("best_table"), F.col("b.s").alias("best_sum"), ok.alias("reconciles"))
 
 
-def audit_report(violations: DataFrame) -> DataFrame:
-    """(check_name, source_table, violations, first_id)."""
-    return violations.groupBy("check_name", "source_table").agg(
-        F.count(F.lit(1)).alias("violations"), F.min("record_id").alias("first_id"))
+#: Every check of ``all_violations`` and the table it is about.
+CHECKS = (
+    ("invoice_arithmetic", "invoices"), ("ledger_balance_per_invoice", "ledger"), ("ledger_balance_total", "ledger"),
+    ("ledger_without_invoices", "ledger"), ("purchase_orders_without_vendors", "purchase_orders"), ("contracts_without_vendors", "contracts"),
+    ("account_number_bank_clabe", "vendors"), ("account_number_bank_clabe", "employees"),
+    ("account_number_from_clabe", "bank_txns"), ("account_number_to_clabe", "bank_txns"),
+    ("outside_period", "invoices"), ("outside_period", "ledger"), ("outside_period", "bank_txns"),
+    ("credit_needs_form_99", "invoices"), ("invoice_status", "invoices"), ("listing_status", "efos_list"), ("employee_id_prefix", "employees"),
+    ("cancelled_but_settled", "invoices"), ("definitive_listing_not_before_invoices", "efos_list"), ("provisional_listing_not_after_invoices", "efos_list"),
+    ("small_order_signed_by_manager", "purchase_orders"), ("invoiced_without_cover", "vendors"), ("invoiced_without_payment", "vendors"),
+    ("name_like_a_listed_vendor", "vendors"), ("label_not_reconciled", "schemes"),
+)
+
+
+def _row_checks(estate: Estate, start: str, end: str) -> DataFrame:
+    """The checks that a row answers by itself: each table is read once, whatever the number of its checks."""
+    def bad_account(column: str) -> Column:
+        return ~F.coalesce(account_is_valid(F.col(column)), F.lit(False))
+
+    def outside(column: str) -> Column:
+        return (F.col(column) < start) | (F.col(column) > end)
+
+    def not_in(column: str, allowed: tuple[str, ...]) -> Column:
+        return ~F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+
+    checks = {
+        "invoices": {
+            "invoice_arithmetic": F.abs(F.col("total") - (F.col("subtotal") + F.col("iva"))) > 0.011, "outside_period": outside("issue_date"),
+            "credit_needs_form_99": (F.col("metodo_pago") == CREDIT_METHOD) & (F.col("forma_pago") != CREDIT_FORM), "invoice_status": not_in("status", STATUSES)},
+        "ledger": {"outside_period": outside("date")},
+        "bank_txns": {"outside_period": outside("date"), "account_number_from_clabe": bad_account("from_clabe"), "account_number_to_clabe": bad_account("to_clabe")},
+        "vendors": {"account_number_bank_clabe": bad_account("bank_clabe")},
+        "employees": {"account_number_bank_clabe": bad_account("bank_clabe"), "employee_id_prefix": ~F.col("emp_id").startswith("EMP:")},
+        "efos_list": {"listing_status": not_in("status", LIST_STATUSES)},
+    }
+    parts = []
+    for table, named in checks.items():
+        hits = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in named.items()]))
+        parts.append(estate.table(table).select(F.explode(hits).alias("check_name"), F.lit(table).alias("source_table"),
+                                                F.col(TABLES[table][0]).cast("string").alias("record_id")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def all_violations(estate: Estate, start: str, end: str, company_account: str, manager: str = "Gerente",
+                   labels: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(check_name, source_table, record_id) of all ``CHECKS``; ``labels`` are the arguments of ``label_reconciliation``."""
+    timing = listing_timing_profile(estate)
+    late = timing.where("status = 'definitivo' AND placement <> 'all after'")
+    early = timing.where("status = 'presunto' AND placement <> 'all before'")
+    managers = estate.employees.where(F.col("role").startswith(manager)).select(F.col("name").alias("approver")).distinct()
+    small = estate.purchase_orders.where("amount < 100000").join(managers, "approver", "left_semi")
+    trail = paper_trail(estate, company_account).distinct()
+    parts = [
+        _row_checks(estate, start, end), ledger_balance(estate), referential_integrity(estate), cancelled_but_settled(estate),
+        _rows(late, "definitive_listing_not_before_invoices", "efos_list"), _rows(early, "provisional_listing_not_after_invoices", "efos_list"),
+        _rows(small, "small_order_signed_by_manager", "purchase_orders"),
+        _rows(trail.where("NOT has_cover"), "invoiced_without_cover", "vendors"), _rows(trail.where("NOT is_paid"), "invoiced_without_payment", "vendors"),
+        _rows(similar_name_vendors(estate).select("rfc").distinct(), "name_like_a_listed_vendor", "vendors"),
+    ]
+    if labels is not None:
+        parts.append(_rows(label_reconciliation(*labels).where("NOT reconciles"), "label_not_reconciled", "schemes", "scheme_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def audit_report(violations: DataFrame, samples: int = 5, checks: tuple[tuple[str, str], ...] = CHECKS) -> DataFrame:
+    """(check_name, source_table, violations, first_id, sample_ids): one row per check, also of those without a violation.
+
+    ``sample_ids`` are the ``samples`` smallest different ids. Each task hands on no more than that for a
+    check, however many rows violate it.
+    """
+    check = ["check_name", "source_table"]
+    violations = durable(violations)
+    counts = violations.groupBy(*check).agg(F.count(F.lit(1)).alias("violations"))
+    least = top_rows(violations.distinct(), check, [F.col("record_id")], samples, "place")
+    picked = least.groupBy(*check).agg(F.sort_array(F.collect_list("record_id")).alias("sample_ids"))
+    known = violations.sparkSession.createDataFrame(list(checks), "check_name string, source_table string")
+    out = known.join(counts, check, "full_outer").join(picked, check, "left")
+    return out.select(*check, F.coalesce("violations", F.lit(0)).alias("violations"), F.get("sample_ids", F.lit(0)).alias("first_id"),
+                      F.coalesce("sample_ids", F.array().cast("array<string>")).alias("sample_ids"))

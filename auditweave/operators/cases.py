@@ -121,14 +121,35 @@ def merge_hypotheses(existing: DataFrame, incoming: DataFrame, old_cites: DataFr
     return kept, cites.select(*key, "side", "evidence_id", F.col("place.age").alias("age"), F.col("place.seq").alias("seq"))
 
 
+def evidence_by_set(hypotheses: DataFrame, citations: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(references, exceptions): what supports each hypothesis, without an item per hypothesis.
+
+    A living hypothesis refers to all evidence of its case: one row (case_id, hypothesis_id). exceptions
+    (case_id, hypothesis_id, evidence_id, kind) names what is ``excluded`` from that, being listed against it and
+    not for it, and what is ``added``, being listed for it and not in what it refers to. Rows grow with hypotheses
+    and citations; ``supporting_evidence`` writes the items out.
+    """
+    key = ["case_id", "hypothesis_id"]
+    references = hypotheses.where(F.col("status").isin("open", "supported")).select(*key).distinct()
+    sides = citations.where(F.col("side").isin("counter", "supporting")).groupBy(*key, "evidence_id").agg(
+        F.bool_or(F.col("side") == "counter").alias("against"), F.bool_or(F.col("side") == "supporting").alias("backed"))
+    offered = evidence.select("case_id", "evidence_id", F.lit(True).alias("offered")).distinct()
+    told = sides.join(references.withColumn("refers", F.lit(True)), key, "left").join(offered, ["case_id", "evidence_id"], "left")
+    covered = F.coalesce(F.col("refers") & F.col("offered"), F.lit(False))
+    kind = F.when(covered & F.col("against") & ~F.col("backed"), "excluded").when(F.col("backed") & ~covered, "added")
+    return references, told.withColumn("kind", kind).where("kind IS NOT NULL").select(*key, "evidence_id", "kind")
+
+
+def supporting_evidence(references: DataFrame, exceptions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(case_id, hypothesis_id, evidence_id): the references written out."""
+    key = ["case_id", "hypothesis_id", "evidence_id"]
+    offered = references.join(evidence.select("case_id", "evidence_id").distinct(), "case_id").select(*key)
+    return offered.join(exceptions.where("kind = 'excluded'"), key, "left_anti").unionByName(exceptions.where("kind = 'added'").select(*key))
+
+
 def attach_evidence(hypotheses: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every item of a case supports each living hypothesis, unless it is listed against it."""
-    key = ["case_id", "hypothesis_id"]
-    living = hypotheses.where(F.col("status").isin("open", "supported")).select(*key)
-    offered = living.join(evidence.select("case_id", "evidence_id"), "case_id")
-    against = citations.where("side = 'counter'").select(*key, "evidence_id")
-    already = citations.where("side = 'supporting'").select(*key, "evidence_id")
-    return offered.join(against, [*key, "evidence_id"], "left_anti").unionByName(already).distinct()
+    return supporting_evidence(*evidence_by_set(hypotheses, citations, evidence), evidence)
 
 
 def repeated_actions(actions: DataFrame) -> DataFrame:

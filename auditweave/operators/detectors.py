@@ -15,7 +15,7 @@ from auditweave.operators.lookups import KEY_CHARS, SETTLEMENT_PREFIX, settlemen
 from auditweave.operators.observations import (
     Observations, make_entities, make_heads, make_refs, member_digest, union_observations,
 )
-from auditweave.operators.ordering import positions
+from auditweave.operators.ordering import positions, running_max
 from auditweave.session import durable, send_with_tasks
 from auditweave.sources.estate import Estate
 
@@ -55,6 +55,46 @@ def observe_shared_account(pairs: DataFrame) -> Observations:
     )
 
 
+def account_owners(estate: Estate) -> DataFrame:
+    """(account, role, owner): every vendor and employee recorded with an account, one row each."""
+    vendors = _accounts(estate.vendors, "rfc").select("account", F.lit("vendor").alias("role"), F.col("rfc").alias("owner"))
+    staff = _accounts(estate.employees, "emp_id").select("account", F.lit("employee").alias("role"), F.col("emp_id").alias("owner"))
+    return vendors.unionByName(staff)
+
+
+def _owner_sets(owners: DataFrame) -> DataFrame:
+    """Per account: how many vendors and employees own it, the first of each, and their digest in no order."""
+    def of(role: str, name: str):
+        return F.count(F.when(F.col("role") == role, 1)).alias(f"{name}_count"), F.min(F.when(F.col("role") == role, F.col("owner"))).alias(f"first_{name}")
+
+    named = owners.withColumn("__member", F.concat_ws(":", "role", "owner"))
+    return named.groupBy("account").agg(*of("vendor", "vendor"), *of("employee", "employee"), member_digest("__member").alias("digest"))
+
+
+def shared_account_groups(estate: Estate) -> tuple[DataFrame, DataFrame]:
+    """(groups, members): accounts of vendors and employees together, and their owners one per row.
+
+    n vendors and m employees of an account take n + m rows here; ``vendor_employee_shared_account``
+    gives the n * m pairs.
+    """
+    owners = account_owners(estate)
+    groups = _owner_sets(owners).where("vendor_count > 0 AND employee_count > 0")
+    groups = groups.withColumn("observation_id", observation_id("DET", "ACCOUNT-OWNERS", ["account", "vendor_count", "employee_count", "digest"]))
+    return groups.drop("digest"), owners.join(groups.select("account", "observation_id"), "account")
+
+
+def observe_account_groups(groups: DataFrame, members: DataFrame) -> Observations:
+    """The same signal as ``observe_shared_account``, with one head per account."""
+    text = F.format_string("One account is recorded for %d vendor(s) and %d employee(s).", "vendor_count", "employee_count")
+    vendors, staff = (members.where(F.col("role") == role) for role in ("vendor", "employee"))
+    return Observations(
+        make_heads(groups, TABULAR, "vendor_employee_shared_clabe", text, ["account", "vendor_count", "employee_count", "first_vendor", "first_employee"]),
+        make_entities(vendors, (0, _rfc("owner"))).unionByName(make_entities(staff, (1, entity_prefix("EMP:", "owner")))).unionByName(
+            make_entities(groups, (2, _account()))),
+        make_refs(vendors, ("vendors", F.col("owner"))).unionByName(make_refs(staff, ("employees", F.col("owner")))),
+    )
+
+
 # D2
 
 def shared_vendor_account(estate: Estate) -> tuple[DataFrame, DataFrame]:
@@ -121,6 +161,44 @@ def observe_employee_transfer(hits: DataFrame) -> Observations:
     )
 
 
+def transfer_groups(estate: Estate) -> tuple[DataFrame, DataFrame]:
+    """(transfers, members): transfers from accounts of vendors to accounts of employees, and the owners of both.
+
+    One row per transfer however many own its accounts, and one row per (account, side, owner) however
+    many transfers it has; ``vendor_to_employee_transfer`` gives every vendor-employee pair of every transfer.
+    """
+    owners = account_owners(estate)
+    sets = _owner_sets(owners)
+    moved = estate.bank_txns.select(
+        clean_text("txn_id").alias("txn_id"), clean_text("from_clabe").alias("vendor_account"),
+        clean_text("to_clabe").alias("employee_account"), to_number("amount").alias("amount"), clean_text("date").alias("date"),
+    ).dropna(subset=["txn_id", "vendor_account", "employee_account", "amount"])
+    payers = sets.where("vendor_count > 0").select(F.col("account").alias("vendor_account"), "vendor_count", F.col("digest").alias("payer_digest"))
+    payees = sets.where("employee_count > 0").select(F.col("account").alias("employee_account"), "employee_count", F.col("digest").alias("payee_digest"))
+    found = moved.join(payers, "vendor_account").join(payees, "employee_account")
+    found = found.withColumn("observation_id", observation_id("DET", "ACCOUNT-TRANSFER", ["txn_id", "payer_digest", "payee_digest"]))
+    sides = found.select(F.inline(F.array(
+        F.struct(F.col("vendor_account").alias("account"), F.lit("vendor").alias("role")),
+        F.struct(F.col("employee_account").alias("account"), F.lit("employee").alias("role"))))).distinct()
+    return found.drop("payer_digest", "payee_digest"), owners.join(sides, ["account", "role"])
+
+
+def observe_transfer_groups(transfers: DataFrame, members: DataFrame) -> Observations:
+    """The same signal as ``observe_employee_transfer``, with one head per transfer."""
+    text = F.format_string("A transfer runs from an account of %d vendor(s) to an account of %d employee(s).", "vendor_count", "employee_count")
+    key = transfers.select("observation_id", "vendor_account", "employee_account")
+    payers = key.withColumnRenamed("vendor_account", "account").join(members.where("role = 'vendor'"), "account")
+    payees = key.withColumnRenamed("employee_account", "account").join(members.where("role = 'employee'"), "account")
+    return Observations(
+        make_heads(transfers, RELATIONAL, "vendor_to_employee_bank_transfer", text,
+                   ["txn_id", "date", "amount", "vendor_account", "employee_account", "vendor_count", "employee_count"]),
+        make_entities(payers, (0, _rfc("owner"))).unionByName(make_entities(payees, (1, entity_prefix("EMP:", "owner")))).unionByName(
+            make_entities(transfers, (2, _account("vendor_account")), (3, _account("employee_account")))),
+        make_refs(payers, ("vendors", F.col("owner"))).unionByName(make_refs(payees, ("employees", F.col("owner")))).unionByName(
+            make_refs(transfers, ("bank_txns", F.col("txn_id")))),
+    )
+
+
 # D5
 
 def similar_invoice_cluster(
@@ -234,44 +312,124 @@ def unsupported_candidates(estate: Estate, prefix: str = SETTLEMENT_PREFIX) -> t
     return invoices.select("rfc", "uuid", "total"), orders
 
 
+def _reach(total):
+    """How far an order may lie from an invoice of that total."""
+    return np.maximum(0.02 * total, 1.0)
+
+
+def first_fit(totals: np.ndarray, amounts: np.ndarray) -> list[tuple[int, int]]:
+    """(i, j): each total in turn takes the first free amount within its reach.
+
+    The amounts in reach are a range of the sorted amounts; a tree of minima over them gives
+    the first free one, so n totals take n log n steps.
+    """
+    order = np.argsort(amounts, kind="stable")
+    held = amounts[order]
+    leaves, none = 1 << max(len(held) - 1, 0).bit_length(), len(held)
+    tree = [none] * (2 * leaves)
+    tree[leaves:leaves + len(held)] = order.tolist()
+    for at in range(leaves - 1, 0, -1):
+        tree[at] = min(tree[2 * at], tree[2 * at + 1])
+    place = np.empty(len(held), np.int64)
+    place[order] = np.arange(len(held))
+    far = _reach(totals)
+    lows, highs = np.searchsorted(held, totals - far, "left"), np.searchsorted(held, totals + far, "right")
+    hits: list[tuple[int, int]] = []
+    for i, total in enumerate(totals.tolist()):
+        low, high, reach = int(lows[i]), int(highs[i]), far[i]
+        # Sums and differences round apart at the ends of the range; the difference decides.
+        while low > 0 and abs(held[low - 1] - total) <= reach:
+            low -= 1
+        while high < none and abs(held[high] - total) <= reach:
+            high += 1
+        while low < high and not abs(held[low] - total) <= reach:
+            low += 1
+        while low < high and not abs(held[high - 1] - total) <= reach:
+            high -= 1
+        first, low, high = none, low + leaves, high + leaves
+        while low < high:
+            if low & 1:
+                first = min(first, tree[low])
+                low += 1
+            if high & 1:
+                high -= 1
+                first = min(first, tree[high])
+            low, high = low >> 1, high >> 1
+        if first < none:
+            hits.append((i, first))
+            at = leaves + int(place[first])
+            tree[at] = none
+            while at > 1:
+                at >>= 1
+                tree[at] = min(tree[2 * at], tree[2 * at + 1])
+    return hits
+
+
 def _fit_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """First fit inside one cell: invoices by uuid, orders by id, each order once."""
     left, right = left.sort_values("uuid"), right.sort_values("po_id")
-    amounts, free = right["amount"].to_numpy(), np.ones(len(right), dtype=bool)
-    hits: list[tuple[int, int]] = []
-    for i, total in enumerate(left["total"].to_numpy()):
-        fits = free & (np.abs(amounts - total) <= max(0.02 * total, 1.0))
-        j = int(fits.argmax()) if len(fits) else 0
-        if len(fits) and fits[j]:
-            free[j] = False
-            hits.append((i, j))
-    return pd.DataFrame({
-        "rfc": left["rfc"].iloc[[i for i, _ in hits]].to_numpy(),
-        "uuid": left["uuid"].iloc[[i for i, _ in hits]].to_numpy(),
-        "po_id": right["po_id"].iloc[[j for _, j in hits]].to_numpy(),
-    })
+    hits = first_fit(left["total"].to_numpy(dtype=float), right["amount"].to_numpy(dtype=float)) if len(left) and len(right) else []
+    mine, theirs = left.iloc[[i for i, _ in hits]], right.iloc[[j for _, j in hits]]
+    return pd.DataFrame({"rfc": mine["rfc"].to_numpy(), "uuid": mine["uuid"].to_numpy(), "po_id": theirs["po_id"].to_numpy()})
+
+
+_CELL = ["rfc", "island"]
+
+
+def _islands(invoices: DataFrame, orders: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``island``: invoices of different islands can want no common order.
+
+    Only vendors with more than ``block`` rows on a side are cut. Their invoices' reaches and their orders are
+    sorted together by amount; an island begins where no earlier reach goes on, and is known by the
+    amount at which it begins. Orders in no reach are left out.
+    """
+    whole = F.lit(0.0).alias("island")
+    counts = [side.groupBy("rfc").agg(F.count(F.lit(1)).alias("n")) for side in (invoices, orders)]
+    large = durable(counts[0].unionByName(counts[1]).where(F.col("n") > block).select("rfc").distinct())
+    if large.isEmpty():
+        return invoices.select("*", whole), orders.select("*", whole)
+    far = F.greatest(0.02 * F.col("total"), F.lit(1.0))
+    slack = 1e-9 * F.greatest(F.abs("total"), F.lit(1.0))
+    reaches = invoices.join(large, "rfc", "left_semi").select(
+        "rfc", (F.col("total") - far - slack).alias("key"), F.lit(0).alias("kind"), F.col("uuid").alias("id"), F.col("total").alias("money"),
+        (F.col("total") + far + slack).alias("reach"))
+    points = orders.join(large, "rfc", "left_semi").select(
+        "rfc", F.col("amount").alias("key"), F.lit(1).alias("kind"), F.col("po_id").alias("id"), F.col("amount").alias("money"), F.lit(None).cast("double").alias("reach"))
+    order = ["key", "kind", "id"]
+    covered = running_max(reaches.unionByName(points), ["rfc"], order, F.col("reach"), "covered")
+    covered = covered.where("kind = 0 OR covered >= key").drop("reach")
+    begins = F.when((F.col("kind") == 0) & (F.col("covered").isNull() | (F.col("covered") < F.col("key"))), F.col("key"))
+    placed = durable(running_max(covered.withColumn("begins", begins), ["rfc"], order, F.col("begins"), "begun"))
+    placed = placed.withColumn("island", F.coalesce("begins", "begun"))
+    sides = []
+    for side, kind, name, money in ((invoices, 0, "uuid", "total"), (orders, 1, "po_id", "amount")):
+        cut = placed.where(F.col("kind") == kind).select("rfc", F.col("id").alias(name), F.col("money").alias(money), "island")
+        small = side.join(large, "rfc", "left_anti").select("rfc", name, money, whole)
+        sides.append(small.unionByName(cut))
+    return sides[0], sides[1]
 
 
 def _blocks(rows: DataFrame, order: str, name: str, block: int) -> DataFrame:
-    """Add the number of each row's ordered block within its vendor."""
-    largest = rows.groupBy("rfc").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    """Add the number of each row's ordered block within its vendor's island."""
+    largest = rows.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= block:
         return rows.withColumn(name, F.lit(0).cast("bigint"))
-    placed = positions(rows, ["rfc"], [order], "p")
+    placed = positions(rows, _CELL, [order], "p")
     return durable(placed.withColumn(name, F.floor((F.col("p") - 1) / block)).drop("p"))
 
 
-def match_orders(invoices: DataFrame, orders: DataFrame, block: int = 20_000) -> DataFrame:
+def match_orders(invoices: DataFrame, orders: DataFrame, block: int = 200_000) -> DataFrame:
     """(rfc, uuid, po_id): the greedy one-to-one match of each vendor, in uuid and po_id order.
 
-    Both sides are cut into ordered blocks. Cell (a, b) tries invoice block a on
-    order block b and needs only cells (a, b-1) and (a-1, b): the invoices still
-    open after earlier orders, and the orders not taken by earlier invoices. All
-    cells with the same a + b run side by side, no task holds more than two
-    blocks, and a vendor below the block size is done in one round.
+    A vendor with more than ``block`` rows is first cut into islands of amounts that want no common
+    order; all islands are matched side by side. An island beyond ``block`` rows is cut into ordered
+    blocks on both sides: cell (a, b) tries invoice block a on order block b and needs only cells (a, b-1)
+    and (a-1, b), the invoices still open after earlier orders, and the orders not taken by earlier invoices.
+    All cells with the same a + b run side by side. No task holds more than two blocks.
     """
+    invoices, orders = _islands(invoices, orders, block)
     inv, po = _blocks(invoices, "uuid", "a", block), _blocks(orders, "po_id", "b", block)
-    depth = inv.groupBy("rfc").agg(F.max("a").alias("a")).join(po.groupBy("rfc").agg(F.max("b").alias("b")), "rfc")
+    depth = inv.groupBy(*_CELL).agg(F.max("a").alias("a")).join(po.groupBy(*_CELL).agg(F.max("b").alias("b")), _CELL)
     last = depth.agg(F.max(F.col("a") + F.col("b"))).first()[0]
     schema = "rfc string, uuid string, po_id string"
     done: list[DataFrame] = []
@@ -282,7 +440,7 @@ def match_orders(invoices: DataFrame, orders: DataFrame, block: int = 20_000) ->
             taken = reduce(DataFrame.unionByName, done)
             left = left.join(taken, ["rfc", "uuid"], "left_anti")
             right = right.join(taken, ["rfc", "po_id"], "left_anti")
-        cells = left.groupBy("rfc", "a").cogroup(right.groupBy("rfc", "a"))
+        cells = left.groupBy(*_CELL, "a").cogroup(right.groupBy(*_CELL, "a"))
         done.append(durable(cells.applyInPandas(_fit_cell, schema)))
     if not done:
         return invoices.sparkSession.createDataFrame([], schema)
@@ -290,7 +448,7 @@ def match_orders(invoices: DataFrame, orders: DataFrame, block: int = 20_000) ->
 
 
 def paid_without_po_or_contract(
-    estate: Estate, minimum: int = 3, prefix: str = SETTLEMENT_PREFIX, block: int = 20_000
+    estate: Estate, minimum: int = 3, prefix: str = SETTLEMENT_PREFIX, block: int = 200_000
 ) -> tuple[DataFrame, DataFrame]:
     """(vendors, members): vendors with ``minimum`` or more settled invoices that match no order."""
     invoices, orders = map(durable, unsupported_candidates(estate, prefix))
@@ -319,16 +477,24 @@ def observe_unsupported(vendors: DataFrame, members: DataFrame) -> Observations:
 
 # D9
 
-def run_rule_detectors(estate: Estate, max_spread: float = 0.03, max_cycles: int | None = None) -> Observations:
+def run_rule_detectors(estate: Estate, max_spread: float = 0.03, max_cycles: int | None = None, pairs: bool = True) -> Observations:
     """All rule detectors in their fixed order.
 
-    The matches are written once: heads, entities and evidence all read them.
+    The matches are written once: heads, entities and evidence all read them. With ``pairs`` shared accounts
+    and transfers have one head per vendor and employee; without, one per account and per transfer, so
+    heads, entities and evidence grow with the owners of an account and not with their product.
     """
+    if pairs:
+        shared = observe_shared_account(durable(vendor_employee_shared_account(estate)))
+        moved = observe_employee_transfer(durable(vendor_to_employee_transfer(estate)))
+    else:
+        shared = observe_account_groups(*map(durable, shared_account_groups(estate)))
+        moved = observe_transfer_groups(*map(durable, transfer_groups(estate)))
     parts = [
-        observe_shared_account(durable(vendor_employee_shared_account(estate))),
+        shared,
         observe_shared_vendors(*map(durable, shared_vendor_account(estate))),
         observe_listed_vendors(durable(efos_vendor_match(estate))),
-        observe_employee_transfer(durable(vendor_to_employee_transfer(estate))),
+        moved,
         observe_clusters(*map(durable, similar_invoice_cluster(estate, max_spread=max_spread))),
         observe_cycles(*bank_cycle_observation(estate, max_cycles=max_cycles)),
         observe_unsupported(*map(durable, paid_without_po_or_contract(estate))),

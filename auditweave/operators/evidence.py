@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.functions.clean import money
+from auditweave.functions.clean import money, observation_id
 from auditweave.operators import detectors
 from auditweave.operators.graph import date_span_days
 from auditweave.operators.lookups import KEY_CHARS
-from auditweave.operators.observations import with_guidance
+from auditweave.operators.observations import member_digest, with_guidance
+from auditweave.session import durable
 from auditweave.sources.estate import Estate
 
 REF = ["source_table", "record_id"]
@@ -54,6 +55,33 @@ def evidence_dependencies(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, sets.select("case_id", *REF, "items", "first_item", "d1", "d2")
 
 
+def dependency_sets(refs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, items, records): the sets of evidence items that share a record, with their members as rows.
+
+    ``sets`` has (case_id, set_id, items, shared_records), ``items`` (case_id, set_id, evidence_id),
+    ``records`` (case_id, set_id, source_table, record_id). Records with equal item sets meet by an order-free
+    digest; the items of each record are then compared one by one with those of the set's first
+    record, and a record that only shares the digest gets a set of its own.
+    """
+    once = durable(refs.select("case_id", *REF, "evidence_id").distinct())
+    held = once.groupBy("case_id", *REF).agg(F.count(F.lit(1)).alias("items"), member_digest("evidence_id").alias("digest")).where("items > 1")
+    digest = observation_id("SET", "EVIDENCE", ["case_id", "items", "digest"])
+    held = durable(held.select("case_id", *REF, "items", digest.alias("set_id")))
+    first = held.groupBy("case_id", "set_id").agg(F.min(F.struct(*REF)).alias("r")).select("case_id", "set_id", "r.*")
+    members = once.join(held.select("case_id", *REF, "set_id"), ["case_id", *REF])
+    of_first = members.join(first, ["case_id", "set_id", *REF], "left_semi").select("case_id", "set_id", "evidence_id")
+    # A record has as many items as its set, so one that is not among the set's is enough to tell it apart.
+    strange = members.join(of_first, ["case_id", "set_id", "evidence_id"], "left_anti").select("case_id", *REF).distinct()
+    own = F.concat_ws("-", "set_id", "source_table", "record_id")
+    records = held.join(strange.withColumn("__strange", F.lit(True)), ["case_id", *REF], "left").withColumn(
+        "set_id", F.when(F.col("__strange"), own).otherwise(F.col("set_id")))
+    records = durable(records.select("case_id", "set_id", *REF, "items"))
+    sets = records.groupBy("case_id", "set_id").agg(F.max("items").alias("items"), F.count(F.lit(1)).alias("shared_records"))
+    named = records.groupBy("case_id", "set_id").agg(F.min(F.struct(*REF)).alias("r")).select("case_id", "set_id", "r.*")
+    items = once.join(named, ["case_id", *REF]).select("case_id", "set_id", "evidence_id")
+    return sets, items, records.drop("items")
+
+
 def absence_claims(actions: DataFrame) -> DataFrame:
     """Lookups that found nothing, and lookups that failed; neither proves an absence."""
     empty = F.col("success") & (F.col("produced") == 0)

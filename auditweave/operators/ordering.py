@@ -8,7 +8,7 @@ carries the totals forward.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +32,17 @@ def running_total(
     bounds come from a sample, so the partition ids are fixed by a durable write
     before they are used twice.
     """
+    zero = F.lit(0)
+    return _running(df, group, order, amount, name, F.sum, lambda own, carry: F.coalesce(own, zero) + F.coalesce(carry, zero))
+
+
+def running_max(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Add ``name``: the largest ``value`` of earlier rows of the same group, NULL where there is none."""
+    return _running(df, group, order, value, name, F.max, F.greatest)
+
+
+def _running(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: Column, name: str,
+             total: Callable[[str], Column], joined: Callable[[Column, Column], Column]) -> DataFrame:
     group, order = list(group), list(order)
     # Range partitioning reads its input twice, for the bounds and for the rows.
     written = durable(df.withColumn("__amount", amount))
@@ -39,19 +50,18 @@ def running_total(
     ranged = durable(ranged.withColumn(_PART, F.spark_partition_id()))
 
     local = Window.partitionBy(_PART, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(_PART, *group).agg(F.sum("__amount").alias("__total"))
+    totals = ranged.groupBy(_PART, *group).agg(total("__amount").alias("__total"))
     # One group crosses any partition border, so few rows have a predecessor.
     chain = Window.partitionBy(*(group or [F.lit(0)])).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        totals.withColumn(_CARRY, F.sum("__total").over(chain))
+        totals.withColumn(_CARRY, total("__total").over(chain))
         .where(F.col(_CARRY).isNotNull())
         .drop("__total")
     )
-    zero = F.lit(0)
     return (
-        ranged.withColumn(name, F.coalesce(F.sum("__amount").over(local), zero))
+        ranged.withColumn(name, total("__amount").over(local))
         .join(F.broadcast(carry), [_PART, *group], "left")
-        .withColumn(name, F.col(name) + F.coalesce(F.col(_CARRY), zero))
+        .withColumn(name, joined(F.col(name), F.col(_CARRY)))
         .drop(_PART, _CARRY, "__amount")
     )
 

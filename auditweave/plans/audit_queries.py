@@ -151,10 +151,10 @@ found AS (
 """
 
 
-def _planted(given):
+def _faulty_estate(given):
     e = given.estate
     off, cancelled = F.col("uuid").endswith("7-CFDI"), F.col("uuid").endswith("3-CFDI")
-    faulty = replace(
+    return replace(
         e,
         invoices=e.invoices.withColumn("total", F.when(off, F.col("total") + 0.5).otherwise(F.col("total"))).withColumn(
             "status", F.when(cancelled, "cancelado").otherwise(F.col("status"))),
@@ -162,6 +162,10 @@ def _planted(given):
         purchase_orders=e.purchase_orders.withColumn("vendor_rfc", F.when(F.col("po_id").endswith("5"), "NOBODY").otherwise(F.col("vendor_rfc"))),
         contracts=e.contracts.withColumn("vendor_rfc", F.when(F.col("contract_id").endswith("6"), "NOBODY").otherwise(F.col("vendor_rfc"))),
     )
+
+
+def _planted(given):
+    faulty = _faulty_estate(given)
     return audits.invoice_arithmetic(faulty).unionByName(audits.referential_integrity(faulty)).unionByName(audits.cancelled_but_settled(faulty))
 
 
@@ -170,6 +174,77 @@ def x_planted(given):
     return _planted(given)
 
 
-@query("x_audit_report", _PLANTED_SQL + "SELECT check_name, source_table, count(*) AS violations, min(record_id) AS first_id FROM found GROUP BY 1, 2")
+_REPORT_SQL = _PLANTED_SQL + f"""
+, pvend AS (SELECT * REPLACE (CASE WHEN right(rfc, 1) = '2' THEN left(bank_clabe, 17) || 'X' ELSE bank_clabe END AS bank_clabe) FROM vendors),
+pemp AS (SELECT * REPLACE (CASE WHEN right(emp_id, 2) = '10' THEN substr(emp_id, 5) ELSE emp_id END AS emp_id) FROM employees),
+plist AS (SELECT * REPLACE (CASE WHEN right(rfc, 1) = '9' THEN 'unknown' ELSE status END AS status) FROM efos_list),
+pinv2 AS (SELECT * REPLACE (CASE WHEN uuid LIKE '%9-CFDI' THEN 'x' ELSE status END AS status, CASE WHEN uuid LIKE '%1-CFDI' THEN '98' ELSE forma_pago END AS forma_pago) FROM pinv),
+places AS (
+  SELECT 'account_number_bank_clabe' AS check_name, 'vendors' AS source_table, rfc AS record_id, bank_clabe AS a FROM pvend
+  UNION ALL SELECT 'account_number_bank_clabe', 'employees', emp_id, bank_clabe FROM pemp
+  UNION ALL SELECT 'account_number_from_clabe', 'bank_txns', txn_id, from_clabe FROM bank_txns
+  UNION ALL SELECT 'account_number_to_clabe', 'bank_txns', txn_id, to_clabe FROM bank_txns),
+bal AS (SELECT invoice_uuid, sum(CAST(debit AS DECIMAL(18,2))) AS d, sum(CAST(credit AS DECIMAL(18,2))) AS c FROM pled GROUP BY 1),
+bills AS (SELECT issuer_rfc, min(issue_date) AS f, max(issue_date) AS l FROM pinv2 GROUP BY 1),
+stems AS (SELECT DISTINCT substr(CASE WHEN contains(legal_name, ' ') THEN split_part(lower(legal_name), ' ', 2) ELSE lower(legal_name) END, 1, 4) AS stem FROM plist),
+lab AS (SELECT 'S-' || rfc AS scheme_id, (CASE WHEN right(rfc, 1) IN ('1', '2', '3') THEN 0.9 ELSE 1.0 END)::DOUBLE * sum(CAST(total AS DECIMAL(18,2)))::DOUBLE AS peso, sum(CAST(total AS DECIMAL(18,2)))::DOUBLE AS s
+  FROM plist JOIN pinv2 ON issuer_rfc = rfc GROUP BY rfc),
+every AS (
+  SELECT 'invoice_arithmetic' AS check_name, 'invoices' AS source_table, uuid AS record_id FROM pinv2 WHERE abs(total - (subtotal + iva)) > 0.011
+  UNION ALL SELECT 'ledger_balance_per_invoice', 'ledger', invoice_uuid FROM bal WHERE d <> c
+  UNION ALL SELECT 'ledger_balance_total', 'ledger', '*' FROM (SELECT sum(d) AS d, sum(c) AS c FROM bal) WHERE d <> c
+  UNION ALL SELECT * FROM found WHERE check_name IN ('ledger_without_invoices', 'purchase_orders_without_vendors', 'contracts_without_vendors')
+  UNION ALL SELECT check_name, source_table, record_id FROM places WHERE NOT coalesce(CASE WHEN regexp_full_match(a, '[0-9]{{18}}') THEN {_DIGIT} END, false)
+  UNION ALL SELECT 'outside_period', 'invoices', uuid FROM pinv2 WHERE issue_date < '1995-01-01' OR issue_date > '1997-12-31'
+  UNION ALL SELECT 'outside_period', 'ledger', CAST(entry_id AS VARCHAR) FROM pled WHERE date < '1995-01-01' OR date > '1997-12-31'
+  UNION ALL SELECT 'outside_period', 'bank_txns', txn_id FROM bank_txns WHERE date < '1995-01-01' OR date > '1997-12-31'
+  UNION ALL SELECT 'credit_needs_form_99', 'invoices', uuid FROM pinv2 WHERE metodo_pago = 'PPD' AND forma_pago <> '99'
+  UNION ALL SELECT 'invoice_status', 'invoices', uuid FROM pinv2 WHERE status NOT IN ('vigente', 'cancelado')
+  UNION ALL SELECT 'listing_status', 'efos_list', rfc FROM plist WHERE status NOT IN ('definitivo', 'presunto')
+  UNION ALL SELECT 'employee_id_prefix', 'employees', emp_id FROM pemp WHERE NOT starts_with(emp_id, 'EMP:')
+  UNION ALL SELECT 'cancelled_but_settled', 'invoices', uuid FROM pinv2 WHERE status = 'cancelado' AND 'Pago CFDI ' || substr(uuid, 1, 8) IN (SELECT reference FROM bank_txns)
+  UNION ALL SELECT 'definitive_listing_not_before_invoices', 'efos_list', rfc FROM plist JOIN bills ON issuer_rfc = rfc WHERE status = 'definitivo' AND (l < publication_date OR f < publication_date)
+  UNION ALL SELECT 'provisional_listing_not_after_invoices', 'efos_list', rfc FROM plist JOIN bills ON issuer_rfc = rfc WHERE status = 'presunto' AND l >= publication_date
+  UNION ALL SELECT 'small_order_signed_by_manager', 'purchase_orders', po_id FROM ppo WHERE amount < 100000 AND approver IN (SELECT name FROM pemp WHERE starts_with(role, 'BUILDING'))
+  UNION ALL SELECT 'invoiced_without_cover', 'vendors', rfc FROM pvend WHERE rfc IN (SELECT issuer_rfc FROM pinv2) AND rfc NOT IN (SELECT vendor_rfc FROM pctr UNION SELECT vendor_rfc FROM ppo)
+  UNION ALL SELECT 'invoiced_without_payment', 'vendors', rfc FROM pvend WHERE rfc IN (SELECT issuer_rfc FROM pinv2) AND bank_clabe NOT IN (SELECT to_clabe FROM bank_txns WHERE from_clabe = '{COMPANY_ACCOUNT}')
+  UNION ALL SELECT DISTINCT 'name_like_a_listed_vendor', 'vendors', v.rfc FROM pvend v JOIN stems s ON contains(lower(v.legal_name), s.stem) AND length(s.stem) = 4 WHERE v.rfc NOT IN (SELECT rfc FROM plist)
+  UNION ALL SELECT 'label_not_reconciled', 'schemes', scheme_id FROM lab WHERE NOT abs(peso - s) <= 0.02 * greatest(s, 1.0))
+"""
+
+
+def _all_faults(given):
+    """Faults for every check, planted on both sides."""
+    faulty = _faulty_estate(given)
+    inv = faulty.invoices
+    faulty = replace(
+        faulty,
+        vendors=faulty.vendors.withColumn("bank_clabe", F.when(F.col("rfc").endswith("2"), F.concat(F.substring("bank_clabe", 1, 17), F.lit("X"))).otherwise(F.col("bank_clabe"))),
+        employees=faulty.employees.withColumn("emp_id", F.when(F.col("emp_id").endswith("10"), F.expr("substring(emp_id, 5)")).otherwise(F.col("emp_id"))),
+        efos_list=faulty.efos_list.withColumn("status", F.when(F.col("rfc").endswith("9"), "unknown").otherwise(F.col("status"))),
+        invoices=inv.withColumn("status", F.when(F.col("uuid").endswith("9-CFDI"), "x").otherwise(F.col("status"))).withColumn(
+            "forma_pago", F.when(F.col("uuid").endswith("1-CFDI"), "98").otherwise(F.col("forma_pago"))),
+    )
+    rows = faulty.invoices.join(faulty.efos_list.select(F.col("rfc").alias("issuer_rfc")), "issuer_rfc").select(
+        F.concat(F.lit("S-"), "issuer_rfc").alias("scheme_id"), F.lit("invoices").alias("source_table"), F.col("uuid").alias("record_id"), F.col("total").alias("amount"))
+    cut = F.when(F.substring("scheme_id", -1, 1).isin("1", "2", "3"), 0.9).otherwise(1.0)
+    schemes = rows.groupBy("scheme_id").agg(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("peso_amount")).withColumn("peso_amount", F.col("peso_amount") * cut)
+    labels = (schemes, rows.drop("amount"), rows.drop("scheme_id"))
+    return audits.all_violations(faulty, "1995-01-01", "1997-12-31", COMPANY_ACCOUNT, manager="BUILDING", labels=labels)
+
+
+@query("x_all_violations", _REPORT_SQL + "SELECT check_name, source_table, count(*) AS violations, count(DISTINCT record_id) AS records FROM every GROUP BY 1, 2")
+def x_all(given):
+    found = _all_faults(given)
+    return found.groupBy("check_name", "source_table").agg(F.count("*").alias("violations"), F.countDistinct("record_id").alias("records"))
+
+
+@query("x_audit_report", _REPORT_SQL + """
+, listed AS (SELECT unnest([""" + ", ".join(f"'{c} {t}'" for c, t in audits.CHECKS) + """]) AS n),
+nth AS (SELECT check_name, source_table, record_id, row_number() OVER (PARTITION BY check_name, source_table ORDER BY record_id) AS i FROM (SELECT DISTINCT * FROM every))
+SELECT split_part(n, ' ', 1) AS check_name, split_part(n, ' ', 2) AS source_table,
+  (SELECT count(*) FROM every e WHERE e.check_name || ' ' || e.source_table = n) AS violations,
+  (SELECT min(record_id) FROM every e WHERE e.check_name || ' ' || e.source_table = n) AS first_id,
+  coalesce((SELECT string_agg(record_id, ',' ORDER BY i) FROM nth e WHERE e.check_name || ' ' || e.source_table = n AND i <= 5), '') AS sample_ids FROM listed""")
 def x_report(given):
-    return audits.audit_report(_planted(given))
+    return audits.audit_report(_all_faults(given)).withColumn("sample_ids", F.array_join("sample_ids", ","))

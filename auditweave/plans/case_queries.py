@@ -12,9 +12,19 @@ from auditweave.plans.registry import query
 from auditweave.session import durable
 
 
+_OBSERVED: dict[tuple[str, str], Observations] = {}
+
+
 def observed(given) -> Observations:
-    """Observations of every rule detector, all cycles and the order matching included."""
-    return detectors.run_rule_detectors(given.estate, max_spread=dq.SPREAD)
+    """Observations of every rule detector, all cycles and the order matching included.
+
+    Written once per application, like the estate they come from.
+    """
+    key = (given.spark.sparkContext.applicationId, given.folder)
+    if key not in _OBSERVED:
+        found = detectors.run_rule_detectors(given.estate, max_spread=dq.SPREAD)
+        _OBSERVED[key] = Observations(durable(found.heads), durable(found.entities), durable(found.refs))
+    return _OBSERVED[key]
 
 
 OBS_SQL = dq.heads_sql(dq.SPREAD) + """
@@ -94,8 +104,20 @@ def c3(given):
     return _cases(given)[2]["evidence_refs"].select("case_id", "evidence_id", "source_table", "record_id", "produced_by")
 
 
-@query("c3_case_problems", "SELECT '' AS lead_id, '' AS observation_id, '' AS problem WHERE false")
+@query("c3_case_problems", OBS_SQL + """
+SELECT NULL AS lead_id, observation_id, 'observation id repeats' AS problem FROM obs WHERE right(observation_id, 1) IN ('3', 'C')
+UNION ALL SELECT lead_id, observation_id, 'lead cites a missing observation' FROM mem WHERE right(observation_id, 1) = '7'""")
 def c3p(given):
+    """Sound observations have no problem, so some heads are written twice and some are lost on the way to the cases."""
+    obs, made = _leads(given)
+    last = F.substring("observation_id", -1, 1)
+    heads = obs.heads.where(last != "7")
+    faulty = Observations(heads.unionByName(heads.where(last.isin("3", "C"))), obs.entities, obs.refs)
+    return cases.build_cases(made["leads"], made["members"], faulty)["problems"]
+
+
+@query("c3_sound_case_problems", "SELECT '' AS lead_id, '' AS observation_id, '' AS problem WHERE false")
+def c3s(given):
     return _cases(given)[2]["problems"]
 
 
@@ -147,6 +169,22 @@ def c6(given):
     return cases.attach_evidence(kept, cites, items)
 
 
+@query("c6_set_references", _HYP_SQL + "SELECT case_id, hypothesis_id FROM kept WHERE status IN ('open', 'supported')")
+def c6r(given):
+    (kept, cites), items = _hypotheses(given)
+    return cases.evidence_by_set(kept, cites, items)[0]
+
+
+@query("c6_set_exceptions", _HYP_SQL + """
+, sides AS (SELECT case_id, hypothesis_id, evidence_id, bool_or(side = 'counter') AS against, bool_or(side = 'supporting') AS backed FROM cites GROUP BY 1, 2, 3),
+told AS (SELECT s.*, EXISTS (SELECT 1 FROM kept k WHERE k.case_id = s.case_id AND k.hypothesis_id = s.hypothesis_id AND k.status IN ('open', 'supported'))
+    AND EXISTS (SELECT 1 FROM conversations t WHERE t.conv_id = s.case_id AND 'E' || t.turn = s.evidence_id) AS covered FROM sides s)
+SELECT case_id, hypothesis_id, evidence_id, CASE WHEN backed THEN 'added' ELSE 'excluded' END AS kind FROM told WHERE (covered AND against AND NOT backed) OR (backed AND NOT covered)""")
+def c6x(given):
+    (kept, cites), items = _hypotheses(given)
+    return cases.evidence_by_set(kept, cites, items)[1]
+
+
 ACTIONS_SQL = """
 , act AS (SELECT conv_id AS case_id, turn AS step, 'get_' || role AS action_name, CAST(length(text) % 4 AS VARCHAR) AS n, role, turn % 5 <> 3 AS success, length(text) % 3 AS produced FROM conversations)
 """
@@ -255,6 +293,25 @@ def v2(given):
     return groups.drop("d1", "d2")
 
 
+_SETS_SQL = _CASE_SQL + f"""
+, once AS (SELECT DISTINCT case_id, source_table, record_id, evidence_id FROM evr),
+held AS (SELECT case_id, source_table, record_id, list(evidence_id ORDER BY evidence_id) AS ids, {dq.sql_digest('evidence_id')} AS digest FROM once GROUP BY 1, 2, 3 HAVING count(*) > 1),
+named AS (SELECT *, {dq.sql_id('SET', 'EVIDENCE', "case_id || '|' || len(ids) || '|' || digest")} AS set_id FROM held)
+"""
+
+
+@query("v2_set_items", _SETS_SQL + "SELECT case_id, set_id, unnest(ids) AS evidence_id FROM (SELECT DISTINCT case_id, set_id, ids FROM named)")
+def v2i(given):
+    return evidence.dependency_sets(_cases(given)[2]["evidence_refs"])[1]
+
+
+@query("v2_set_records", _SETS_SQL + """
+SELECT n.case_id, n.set_id, n.source_table, n.record_id, len(n.ids) AS items, count(*) OVER (PARTITION BY n.case_id, n.ids) AS shared_records FROM named n""")
+def v2r(given):
+    sets, _, records = evidence.dependency_sets(_cases(given)[2]["evidence_refs"])
+    return records.join(sets, ["case_id", "set_id"])
+
+
 @query("v3_absence_claims", ACTIONS_SQL + """
 SELECT case_id, step, action_name, CASE WHEN success THEN 'no record in the supplied books' ELSE 'the lookup did not run' END AS conclusion
 FROM act WHERE NOT success OR produced = 0""")
@@ -317,7 +374,7 @@ def v8(given):
     return out.select("case_id", F.to_json(F.struct("independence", "absence", "continuity", "identifiers", "scores")).alias("briefing"))
 
 
-@query("v9_record_consumers", dq.D1_SQL + dq.D2_SQL + dq.CYCLES_SQL.replace("rep AS", "rep AS") + """
+@query("v9_record_consumers", dq.D1_SQL + dq.D2_SQL + dq.CYCLES_SQL + """
 , u AS (
   SELECT 'vendors' AS t, rfc AS r, 'graph' AS a FROM vendors UNION SELECT 'vendors', rfc, 'efos_match' FROM vendors WHERE rfc IN (SELECT rfc FROM efos_list)
   UNION SELECT 'vendors', rfc, 'efos_timing' FROM vendors WHERE rfc IN (SELECT rfc FROM efos_list) UNION SELECT 'vendors', rfc, 'shared_account' FROM d1

@@ -105,6 +105,39 @@ def d1(given):
     return detectors.vendor_employee_shared_account(given.estate)
 
 
+OWNER_SETS_SQL = f"""
+, owners AS (SELECT bank_clabe AS account, 'vendor' AS role, rfc AS owner FROM vendors UNION ALL SELECT bank_clabe, 'employee', emp_id FROM employees),
+sets AS (SELECT account, count(*) FILTER (role = 'vendor') AS vendor_count, min(owner) FILTER (role = 'vendor') AS first_vendor,
+  count(*) FILTER (role = 'employee') AS employee_count, min(owner) FILTER (role = 'employee') AS first_employee, {sql_digest("role || ':' || owner")} AS digest FROM owners GROUP BY 1),
+d1g AS (SELECT account, vendor_count, first_vendor, employee_count, first_employee,
+  {sql_id('DET', 'ACCOUNT-OWNERS', "account || '|' || vendor_count || '|' || employee_count || '|' || digest")} AS observation_id FROM sets WHERE vendor_count > 0 AND employee_count > 0),
+d4g AS (SELECT b.txn_id, b.from_clabe AS vendor_account, b.to_clabe AS employee_account, b.amount, b.date, v.vendor_count, e.employee_count,
+  {sql_id('DET', 'ACCOUNT-TRANSFER', "b.txn_id || '|' || v.digest || '|' || e.digest")} AS observation_id
+  FROM bank_txns b JOIN sets v ON v.account = b.from_clabe AND v.vendor_count > 0 JOIN sets e ON e.account = b.to_clabe AND e.employee_count > 0)
+"""
+
+
+@query("d1_shared_account_groups", OWNER_SETS_SQL + "SELECT * FROM d1g")
+def d1g(given):
+    return detectors.shared_account_groups(given.estate)[0]
+
+
+@query("d1_shared_account_members", OWNER_SETS_SQL + "SELECT o.account, o.role, o.owner, d1g.observation_id FROM owners o JOIN d1g USING (account)")
+def d1gm(given):
+    return detectors.shared_account_groups(given.estate)[1]
+
+
+@query("d4_transfer_groups", OWNER_SETS_SQL + "SELECT * FROM d4g")
+def d4g(given):
+    return detectors.transfer_groups(given.estate)[0]
+
+
+@query("d4_transfer_members", OWNER_SETS_SQL + """
+SELECT account, role, owner FROM owners WHERE (role = 'vendor' AND account IN (SELECT vendor_account FROM d4g)) OR (role = 'employee' AND account IN (SELECT employee_account FROM d4g))""")
+def d4gm(given):
+    return detectors.transfer_groups(given.estate)[1]
+
+
 @query("d2_shared_vendor_account", D2_SQL + "SELECT * FROM d2")
 def d2(given):
     return detectors.shared_vendor_account(given.estate)[0]
@@ -190,3 +223,23 @@ def d9(given):
 def d9h(given):
     found = detectors.run_rule_detectors(given.estate)
     return found.heads.select("observation_id", "signal_type", signal_rank().cast("int").alias("detector_rank"))
+
+
+@query("d9_heads_by_account", heads_sql(0.03) + OWNER_SETS_SQL + """
+SELECT observation_id, signal AS signal_type, rank::INT AS detector_rank FROM obs WHERE rank NOT IN (1, 4)
+UNION ALL SELECT observation_id, 'vendor_employee_shared_clabe', 1 FROM d1g UNION ALL SELECT observation_id, 'vendor_to_employee_bank_transfer', 4 FROM d4g""")
+def d9g(given):
+    found = detectors.run_rule_detectors(given.estate, pairs=False)
+    return found.heads.select("observation_id", "signal_type", signal_rank().cast("int").alias("detector_rank"))
+
+
+@query("d9_entities_by_account", OWNER_SETS_SQL + """
+SELECT g.observation_id, CASE role WHEN 'vendor' THEN 0 ELSE 1 END::INT AS section, CASE role WHEN 'vendor' THEN 'RFC:' || owner ELSE owner END AS entity FROM d1g g JOIN owners USING (account)
+UNION ALL SELECT observation_id, 2, 'CLABE:' || account FROM d1g
+UNION ALL SELECT g.observation_id, 0, 'RFC:' || o.owner FROM d4g g JOIN owners o ON o.account = g.vendor_account AND o.role = 'vendor'
+UNION ALL SELECT g.observation_id, 1, o.owner FROM d4g g JOIN owners o ON o.account = g.employee_account AND o.role = 'employee'
+UNION ALL SELECT observation_id, 2, 'CLABE:' || vendor_account FROM d4g UNION ALL SELECT observation_id, 3, 'CLABE:' || employee_account FROM d4g""")
+def d9ge(given):
+    e = given.estate
+    shared = detectors.observe_account_groups(*detectors.shared_account_groups(e))
+    return shared.entities.unionByName(detectors.observe_transfer_groups(*detectors.transfer_groups(e)).entities)

@@ -66,13 +66,25 @@ def s2q(given):
     return read.vendors.unionByName(read.ledger.select("entry_id", "entry_id_unparsed"), allowMissingColumns=True)
 
 
+def _log_with_broken_lines(given) -> str:
+    """The recordings as a log in which a blank or a broken line follows each good one."""
+    folder = shared_folder(given.spark)
+    cut = F.concat(F.lit('{"response_text": "turn '), F.col("turn").cast("string"))
+    broken = given.base("conversations").select(F.when(F.col("turn") % 2 == 0, "").when(F.col("turn") % 3 == 0, "[1, 2]").otherwise(cut).alias("value"))
+    recordings(given).select(F.to_json(F.struct("*")).alias("value")).unionByName(broken).write.text(folder)
+    return folder
+
+
 @query("s4_load_recordings", _ROLES_SQL, estate=False)
 def s4(given):
-    folder = shared_folder(given.spark)
-    broken = given.base("conversations").select(F.when(F.col("turn") % 2 == 0, "").otherwise('{"response_text": ').alias("value"))
-    lines = recordings(given).select(F.to_json(F.struct("*")).alias("value")).unionByName(broken)
-    lines.write.text(folder)
-    return ev.recording_roles(files.load_recordings(given.spark, folder))
+    return ev.recording_roles(files.load_recordings(given.spark, _log_with_broken_lines(given)))
+
+
+@query("s4_broken_lines", """
+SELECT CASE WHEN turn % 3 = 0 THEN '[1, 2]' ELSE '{"response_text": "turn ' || turn END AS line, count(*) AS lines FROM conversations WHERE turn % 2 <> 0 GROUP BY 1""", estate=False)
+def s4b(given):
+    broken = files.split_recordings(given.spark, _log_with_broken_lines(given))[1]
+    return broken.groupBy("line").agg(F.count("file").alias("lines"))
 
 
 @query("w7_recording_roles", _ROLES_SQL, estate=False)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditweave.session import durable
+
 # Fixed values.
 RESULT_COLUMNS = (
     "seed", "schemes_planted", "schemes_found", "recall_pct", "decoys_planted", "decoys_accused", "false_accusation_rate_pct",
@@ -22,8 +24,22 @@ KEY_SCHEMA = (
 
 
 def load_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded responses, one JSON object per line; blank and broken lines are skipped."""
-    return spark.read.schema(RECORDING_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """Recorded responses, one JSON object per line; ``split_recordings`` also gives the lines that are left out."""
+    return split_recordings(spark, path)[0]
+
+
+def split_recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(recordings, broken): the good lines, and (file, line) of those that are no JSON object of the schema.
+
+    Lines are read once and kept, so both parts come from one scan and nothing
+    vanishes uncounted. Blank lines belong to neither.
+    """
+    read = spark.read.schema(f"{RECORDING_SCHEMA}, __line string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__line").json(path)
+    # Spark's parser forgets a broken line when only the other columns are asked for; the written rows hold all.
+    kept = durable(read.select("*", F.col("_metadata.file_name").alias("__file")))
+    good = kept.where("__line IS NULL AND (response_text IS NOT NULL OR usage IS NOT NULL)").drop("__line", "__file")
+    broken = kept.where("__line IS NOT NULL AND trim(__line) <> ''").select(F.col("__file").alias("file"), F.col("__line").alias("line"))
+    return good, broken
 
 
 def write_submission(tables: dict[str, DataFrame], declined: DataFrame, metadata: DataFrame, path: str) -> None:
