@@ -61,7 +61,7 @@ def isolation_scores(df: DataFrame, features: list[str], id_column: str, seed: i
     edge = min(1.0, (SAMPLE + 16 * math.sqrt(SAMPLE)) / max(df.count(), 1))
     draws = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda tree: F.struct(
         tree.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.col(id_column).cast("string"), tree, F.lit(seed)), 1).alias("__d")))
-    hopeful = F.filter(draws, lambda d: d["__d"] <= F.lit(int(edge * ((1 << 63) - 1))))
+    hopeful = F.filter(draws, lambda d: d["__d"] <= F.lit(min(int(edge * (1 << 63)), (1 << 63) - 1)))
     trees = df.select(id_column, *features, F.inline(hopeful))
     drawn = top_rows(trees, ["tree"], [F.col("__d"), F.col(id_column)], SAMPLE, "pick")
 
