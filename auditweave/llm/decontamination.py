@@ -4,11 +4,16 @@ Numbers, names and units become typed placeholders, so a question whose figures
 exchanged has the template of the original. Windows of ``width`` tokens are
 hashed and joined with the benchmark's, once as plain words in lower case and once per level of
 typing that changes them: numbers and units, names inside sentences, all capitalised words. Copies in
-other case or with other line breaks have the plain windows, and names at a sentence start the last. Where a window has placeholders, the values in them must
-be consistent: equal values of the item stand against equal values of the text, in each window or
-(without ``per_window``) in the whole alignment of a text with an item, and there also unequal
-against unequal. A text is contaminated by an item when
-consistent windows make up ``coverage`` of the item's windows or more, or hold ``run`` tokens in a row.
+other case or with other line breaks have the plain windows, and names at a sentence start the last. Where a
+window has placeholders, equal values of the item must stand against equal values of the text; windows
+whose values are those of the item always count. A text is contaminated by an item when
+such windows make up ``coverage`` of the item's windows or more, or hold ``run`` tokens in a row.
+
+Few texts have anything of a benchmark, and few places of those. Each window of the benchmark has an anchor for
+each level at which it can match: up to four of its words in a row that are typed at none of the levels up to
+that one. A text that matches the window holds the anchor word for word. A bitmap of fixed size of all
+anchors' hashes so tells which texts are tokenised and typed, and where in them windows are made; it can let a
+text through in vain, but cannot miss one.
 
 Tokens are runs of letters and digits in lower case; a name is a capitalised word after a word, comma
 or semicolon and white space, a unit is a word of the list below after a number.
@@ -16,10 +21,13 @@ or semicolon and white space, a unit is a word of the list below after a number.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.tables import text_or_empty
+from auditweave.session import durable
 
 #: Symbols and names of common units.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "ton", "tons",
@@ -75,17 +83,109 @@ def _tokens(df: DataFrame, keys: list[str]) -> DataFrame:
                        F.transform("__typed", level).alias("__levels"), "__typed")
 
 
-def _windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """``keys, at, level, window, values``: all plain windows of ``width`` tokens, and per level those that type another token.
+#: Lengths of anchors, and the bits of the bitmap that marks them.
+ANCHORS, _BITS = (4, 3, 2, 1), 1 << 20
+
+
+def _anchor(words: Column, at: Column, length: int) -> Column:
+    """Hash of ``length`` words from a place on; a place near the end takes fewer, which no anchor does."""
+    return F.xxhash64(F.lit(length), *(F.get(words, at + i) for i in range(length)))
+
 
-    values are the plain tokens, NULL in plain windows.
+def _window_anchors(items: DataFrame, width: int) -> DataFrame:
+    """``anchor, length``: of each window and level the longest run of up to four words typed at no level up to it.
+
+    Windows that have none at a level cannot match at it, but for those of numbers alone at the plain one: length 0.
     """
-    last = F.size("__hashes") - width
-    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    levels = (PLAIN, NUMBERS, NAMES, CAPITALS)
+
+    def free(level: int) -> Column:
+        return F.transform("__plain", lambda t, i: ~t.rlike("\\p{Nd}") & ~F.coalesce(F.get("__levels", i).between(NUMBERS, level), F.lit(False)))
+
+    rows = items.select("__plain", *(free(level).alias(f"__free_{level}") for level in levels))
+    rows = rows.withColumn("__from", F.explode(F.sequence(F.lit(0), F.size("__plain") - width)))
+
+    def longest(level: int, length: int) -> Column:
+        places = F.filter(F.sequence(F.col("__from"), F.col("__from") + width - length),
+                          lambda at: F.forall(F.slice(f"__free_{level}", at + 1, length), lambda x: x))
+        best = F.array_max(F.transform(places, lambda at: F.struct(
+            F.length(F.array_join(F.slice("__plain", at + 1, length), "")).alias("letters"), at.alias("at"))))
+        return F.when(best.isNotNull(), F.struct(_anchor(F.col("__plain"), best["at"], length).alias("anchor"), F.lit(length).alias("length")))
+
+    nothing = F.struct(F.lit(0).cast("bigint").alias("anchor"), F.lit(0).alias("length"))
+    lengths = [k for k in ANCHORS if k <= width]
+    found = [F.coalesce(*(longest(level, k) for k in lengths), *([nothing] if level == PLAIN else [])) for level in levels]
+    return rows.select(F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("x")).select("x.*").distinct()
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def _slots_of(anchor: Column) -> list[Column]:
+    """Three places of the bitmap: three parts of the hash."""
+    return [F.shiftrightunsigned(anchor, 20 * i).bitwiseAND(F.lit(_BITS - 1)) for i in range(3)]
+
+
+class Anchors:
+    """The anchors of a benchmark as a bitmap of fixed size, three bits each, and the lengths that occur."""
+
+    def __init__(self, anchors: DataFrame):
+        slots = anchors.where("length > 0").select("length", F.explode(F.array(*_slots_of(F.col("anchor")))).alias("slot"))
+        blocks = slots.groupBy(F.floor(F.col("slot") / 32768).alias("block")).agg(
+            F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"), F.collect_set("length").alias("lengths"))
+        bits = bytearray(_BITS // 8)
+        self.lengths = []
+        # At most 32 rows of 4 KB, however large the benchmark is.
+        for r in blocks.collect():
+            self.lengths = sorted({*self.lengths, *r["lengths"]})
+            bits[r["block"] * 4096:r["block"] * 4096 + len(r["bits"])] = r["bits"]
+        self.numeric = not anchors.where("length = 0").isEmpty()
+        words = [int.from_bytes(bits[i:i + 8], "little", signed=True) for i in range(0, len(bits), 8)]
+        self._bitmap = F.split(F.lit(" ".join(map(str, words))), " ").cast("array<bigint>")  # folded into a constant
+
+    def _marked(self, anchor: Column) -> Column:
+        return _all([F.bit_get(F.get(self._bitmap, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1 for slot in _slots_of(anchor)])
 
+    def begin(self, words: Column) -> list[Column]:
+        """Per length: for each place of an array of words, whether an anchor may begin there."""
+        def hashed(length: int) -> Column:
+            return F.transform(words, lambda x, i: _anchor(words, i, length))
+
+        return [F.transform(hashed(k), lambda h: self._marked(h)) for k in self.lengths]
+
+    def may_match(self, text: Column, width: int) -> Column:
+        """Whether a text can match a window; it is split into runs of letters only, once."""
+        words = F.split(F.lower(text), "[^\\p{L}\\p{M}]+")
+        # One pass over an array of one array, so that the words are made once and not for each use.
+        met = F.get(F.transform(F.array(words), lambda t: _any([F.exists(b, lambda hit: hit) for b in self.begin(t)])), F.lit(0))
+        out = met | text.contains(_NAME_MARK) | text.contains(_CAPITAL_MARK)
+        return out | text.rlike(f"(?:\\p{{Nd}}[^\\p{{L}}\\p{{Nd}}]*+){{{width}}}") if self.numeric else out
+
+    def starts(self, width: int) -> Column:
+        """Places of windows of ``width`` tokens that hold an anchor, of an array ``__plain``."""
+        last = F.size("__plain") - width
+        held = [F.filter(F.transform(b, lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull()) for b in self.begin(F.col("__plain"))]
+        if self.numeric:
+            numbers = F.transform("__plain", lambda t, i: F.when(F.forall(F.slice("__plain", i + 1, width), lambda x: x.rlike("^\\p{Nd}")), i))
+            held.append(F.filter(numbers, lambda i: i.isNotNull()))
+        held = F.concat(*held, F.array().cast("array<int>"))
+        near = F.flatten(F.transform(held, lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, last))))
+        return F.when(last >= 0, F.array_distinct(near)).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(rows: DataFrame, keys: list[str], width: int, starts: Column) -> DataFrame:
+    """``keys, at, level, window, values``: plain windows of ``width`` tokens at ``starts``, and per level those that type another token.
+
+    values are the plain tokens.
+    """
     def hashed(hashes: str, at: Column, level: int) -> Column:
-        values = F.slice("__plain", at + 1, width) if level > PLAIN else F.lit(None).cast("array<string>")
-        return F.struct(at.alias("at"), F.lit(level).alias("level"), F.xxhash64(F.slice(hashes, at + 1, width)).alias("window"), values.alias("values"))
+        return F.struct(at.alias("at"), F.lit(level).alias("level"), F.xxhash64(F.slice(hashes, at + 1, width)).alias("window"),
+                        F.slice("__plain", at + 1, width).alias("values"))
 
     def present(level: int) -> Column:
         return F.array_contains("__levels", level)
@@ -94,20 +194,16 @@ def _windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
         return F.transform("__hashes", lambda h, i: F.when(
             F.element_at("__levels", i + 1).between(NUMBERS, level), F.xxhash64(F.element_at("__typed", i + 1))).otherwise(h))
 
-    def near(level: int) -> Column:
-        slots = F.filter(F.transform("__levels", lambda x, i: F.when(x == level, i)), lambda i: i.isNotNull())
-        return F.array_distinct(F.flatten(F.transform(
-            slots, lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, last)))))
-
     def at_level(level: int) -> Column:
-        found = F.transform(near(level), lambda at: hashed(f"__hashes_{level}", at, level))
+        places = F.filter("__starts", lambda at: F.array_contains(F.slice("__levels", at + 1, width), level))
+        found = F.transform(places, lambda at: hashed(f"__hashes_{level}", at, level))
         return F.when(present(level), found).otherwise(F.array().cast("array<struct<at:int,level:int,window:bigint,values:array<string>>>"))
 
     levels = (NUMBERS, NAMES, CAPITALS)
-    plain = F.transform(starts, lambda at: hashed("__hashes", at, PLAIN))
+    rows = rows.withColumn("__starts", starts).where(F.size("__starts") > 0)
+    plain = F.transform("__starts", lambda at: hashed("__hashes", at, PLAIN))
     rows = rows.select("*", *(F.when(present(k), typed(k)).alias(f"__hashes_{k}") for k in levels))
-    parts = [plain, *(at_level(k) for k in levels)]
-    return rows.where(last >= 0).select(*keys, F.inline(F.concat(*parts)))
+    return rows.select(*keys, F.inline(F.concat(plain, *(at_level(k) for k in levels))))
 
 
 def _slots(rows: DataFrame) -> DataFrame:
@@ -122,45 +218,60 @@ def _within(slots: Column, at: Column, width: int, level: Column) -> Column:
                        lambda s: F.struct((s["at"] - at).alias("at"), s["kind"].alias("kind"), s["value"].alias("value")))
 
 
+def _searched(benchmark: DataFrame, least: int) -> DataFrame:
+    items = _tokens(benchmark.select("item_id", "text"), ["item_id"])
+    return items.where(F.size("__hashes") >= least)
+
+
+def unsearched(benchmark: DataFrame, least: int = 5) -> DataFrame:
+    """``item_id, tokens``: the items of fewer than ``least`` tokens, which ``contaminated`` does not look for."""
+    items = _tokens(benchmark.select("item_id", "text"), ["item_id"])
+    return items.select("item_id", F.size("__hashes").alias("tokens")).where(F.col("tokens") < least)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, least: int = 5, coverage: float = 0.3,
-                 broadcast_windows: int = 500_000, per_window: bool = False, run: int = 13) -> DataFrame:
+                 broadcast_windows: int = 100_000, run: int = 13) -> DataFrame:
     """``doc_id, item_id, item_windows, matched_windows``: the items that each row of ``docs`` gives away.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; more columns are ignored. An item of fewer than
-    ``width`` tokens is one window of its own length; one of fewer than ``least`` is not looked for. A
-    window of placeholders alone matches nothing. The benchmark is sent to all executors while it has
-    ``broadcast_windows`` windows or fewer (some 40 bytes each), and is shuffled beyond that.
+    ``width`` tokens is one window of its own length; those of fewer than ``least`` are in ``unsearched``. A
+    window of placeholders alone matches only where its values are the same. The benchmark is sent to all executors
+    while it has ``broadcast_windows`` windows or fewer (some 300 bytes each), and is shuffled beyond that.
 
-    An item counts when ``coverage`` of its windows match, or ``run`` of its tokens in a row in one alignment.
-    ``per_window`` judges slots window by window, as the registered query and the pipeline do: a window is
-    dropped if one value of the item stands against two of the text in it, and counts always if its values
-    are those of the item. Without it, one conflict drops all windows of an alignment.
+    An item counts when ``coverage`` of its windows match, or ``run`` of its tokens in a row in one alignment. A
+    window is dropped if one value of the item stands against two of the text in it; a window that has the item's
+    own values always counts.
 
     NULL or empty texts match nothing; rows with NULL ids are matched like others. Repeated rows of
     ``docs`` count as one; repeated items are one. Empty tables: no row.
     """
-    items = _tokens(benchmark.select("item_id", "text"), ["item_id"])
-    items = items.where(F.size("__hashes") >= least).withColumn("__width", F.least(F.size("__hashes"), F.lit(width)))
-    texts = _tokens(docs, ["doc_id"])
-    parts = [_matches(texts, items.where(F.col("__width") == w), w, broadcast_windows)
-             for w in sorted(r["__width"] for r in items.select("__width").distinct().collect())]
-    if not parts:
-        parts = [_matches(texts, items, width, broadcast_windows)]
-    matches = parts[0]
-    for part in parts[1:]:
-        matches = matches.unionByName(part)
-    return _judged(_sound_windows(matches) if per_window else _sound_alignments(matches), coverage, run)
-
-
-def _matches(texts: DataFrame, items: DataFrame, width: int, broadcast_windows: int) -> DataFrame:
+    items = durable(_searched(benchmark, least).withColumn("__width", F.least(F.size("__hashes"), F.lit(width))))
+    widths = sorted(r["__width"] for r in items.select("__width").distinct().collect()) or [width]
+    of_width = {w: items.where(F.col("__width") == w) for w in widths}
+    anchors = None
+    for w in widths:
+        found = _window_anchors(of_width[w], w)
+        anchors = found if anchors is None else anchors.unionByName(found)
+    anchors = Anchors(anchors.distinct())
+    text = text_or_empty()
+    texts = durable(_tokens(docs.select("doc_id", "text").where(anchors.may_match(text, widths[0])), ["doc_id"]))
+    matches = None
+    for w in widths:
+        part = _matches(texts, of_width[w], w, anchors, broadcast_windows)
+        matches = part if matches is None else matches.unionByName(part)
+    return _judged(_sound_windows(matches), coverage, run)
+
+
+def _matches(texts: DataFrame, items: DataFrame, width: int, anchors: Anchors, broadcast_windows: int) -> DataFrame:
     """``doc_id, item_id, item_windows, width, item_at, shift, pairs``; pairs: kind, item's value, text's value."""
     known = _slots(items).withColumn("item_windows", F.size("__hashes") - width + 1)
-    known = _windows(known, ["item_id", "item_windows", "__slots"], width)
-    typed = _within(F.col("__slots"), F.col("at"), width, F.greatest("level", F.lit(NUMBERS)))
-    known = known.where(F.coalesce(F.size(typed), F.lit(0)) < width).select(
-        "item_id", "window", F.col("at").alias("item_at"), _within(F.col("__slots"), F.col("at"), width, F.col("level")).alias("item_slots"),
+    known = _windows(known, ["item_id", "item_windows", "__slots"], width, F.sequence(F.lit(0), F.size("__plain") - width))
+    slots = _within(F.col("__slots"), F.col("at"), width, F.col("level"))
+    known = known.withColumn("item_slots", slots).where((F.col("level") == PLAIN) | (F.size("item_slots") < width)).select(
+        "item_id", "window", F.col("at").alias("item_at"), F.when(F.col("level") > PLAIN, F.col("item_slots")).alias("item_slots"),
         F.col("item_windows").cast("bigint"))
-    found = _windows(texts, ["doc_id"], width)
+    found = _windows(texts, ["doc_id"], width, anchors.starts(width))
+    known = durable(known)
     joined = found.join(F.broadcast(known) if known.count() <= broadcast_windows else known, "window")
     pairs = F.transform("item_slots", lambda s: F.struct(
         s["kind"].alias("kind"), s["value"].alias("ours"), F.element_at("values", s["at"] + 1).alias("theirs")))
@@ -178,19 +289,6 @@ def _sound_windows(matches: DataFrame) -> DataFrame:
     return matches.where(same | (F.size(ours) == F.size(pairs))).select("doc_id", "item_id", "item_windows", "width", "shift", "item_at").distinct()
 
 
-def _sound_alignments(matches: DataFrame) -> DataFrame:
-    """The same of the alignments in which all slots map one to one.
-
-    An alignment has at most the windows and slots of its item, so both fit a row.
-    """
-    lined_up = matches.groupBy("doc_id", "item_id", "item_windows", "width", "shift").agg(
-        F.collect_set("item_at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    ours = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["ours"])))
-    theirs = F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["theirs"])))
-    sound = lined_up.where((F.size(ours) == F.size("pairs")) & (F.size(theirs) == F.size("pairs")))
-    return sound.select("doc_id", "item_id", "item_windows", "width", "shift", F.explode("windows").alias("item_at"))
-
-
 def _longest(windows: Column) -> Column:
     """How many of the positions follow each other at most."""
     ended = F.aggregate(

@@ -10,7 +10,7 @@ def reported(spark, texts, items, **parameters):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     answers = []
     for limit in (500_000, 0):
-        rows = decontamination.contaminated(docs, benchmark, broadcast_windows=limit, per_window=True, **parameters).collect()
+        rows = decontamination.contaminated(docs, benchmark, broadcast_windows=limit, **parameters).collect()
         answers.append(sorted((r["doc_id"], r["item_id"]) for r in rows))
     assert answers[0] == answers[1]
     return answers[0]
@@ -44,7 +44,7 @@ def test_case_line_breaks_and_sentence_starts_lose_no_window(spark):
 
 def test_case_loses_no_window_of_the_item(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate((ITEM, ITEM.upper(), ITEM.lower(), f"word {ITEM}", ITEM.replace(" ", "\n")))], "doc_id int, text string")
-    rows = decontamination.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id int, text string"), per_window=True).collect()
+    rows = decontamination.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id int, text string")).collect()
     assert len(rows) == 5 and {r["matched_windows"] - r["item_windows"] for r in rows} == {0}
 
 
