@@ -93,7 +93,7 @@ def _anchor(words: Column, at: Column, length: int) -> Column:
 
 
 def _window_anchors(items: DataFrame, width: int) -> DataFrame:
-    """``anchor, length``: of each window and level the longest run of up to four words typed at no level up to it.
+    """``first, anchor, length``: of each window and level a run of up to four words typed at no level up to it, and its first two.
 
     Windows that have none at a level cannot match at it, but for those of numbers alone at the plain one: length 0.
     """
@@ -108,11 +108,13 @@ def _window_anchors(items: DataFrame, width: int) -> DataFrame:
     def longest(level: int, length: int) -> Column:
         places = F.filter(F.sequence(F.col("__from"), F.col("__from") + width - length),
                           lambda at: F.forall(F.slice(f"__free_{level}", at + 1, length), lambda x: x))
+        # Long words are rare ones, and let few places of other texts through.
         best = F.array_max(F.transform(places, lambda at: F.struct(
-            F.length(F.array_join(F.slice("__plain", at + 1, length), "")).alias("letters"), at.alias("at"))))
-        return F.when(best.isNotNull(), F.struct(_anchor(F.col("__plain"), best["at"], length).alias("anchor"), F.lit(length).alias("length")))
+            F.length(F.array_join(F.slice("__plain", at + 1, min(length, 2)), "")).alias("letters"), at.alias("at"))))
+        first = _anchor(F.col("__plain"), best["at"], min(length, 2))
+        return F.when(best.isNotNull(), F.struct(first.alias("first"), _anchor(F.col("__plain"), best["at"], length).alias("anchor"), F.lit(length).alias("length")))
 
-    nothing = F.struct(F.lit(0).cast("bigint").alias("anchor"), F.lit(0).alias("length"))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("first"), F.lit(0).cast("bigint").alias("anchor"), F.lit(0).alias("length"))
     lengths = [k for k in ANCHORS if k <= width]
     found = [F.coalesce(*(longest(level, k) for k in lengths), *([nothing] if level == PLAIN else [])) for level in levels]
     return rows.select(F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("x")).select("x.*").distinct()
@@ -126,50 +128,60 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+def _constant(bits: bytearray) -> Column:
+    """A bitmap as an array of 64-bit words, which the optimiser folds into a constant."""
+    words = [int.from_bytes(bits[i:i + 8], "little", signed=True) for i in range(0, len(bits), 8)]
+    return F.split(F.lit(" ".join(map(str, words))), " ").cast("array<bigint>")
+
+
+def _bit(bitmap: Column, slot: Column) -> Column:
+    return F.bit_get(F.get(bitmap, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def _slots_of(anchor: Column) -> list[Column]:
     """Three places of the bitmap: three parts of the hash."""
     return [F.shiftrightunsigned(anchor, 20 * i).bitwiseAND(F.lit(_BITS - 1)) for i in range(3)]
 
 
 class Anchors:
-    """The anchors of a benchmark as a bitmap of fixed size, three bits each, and the lengths that occur."""
+    """The anchors of a benchmark as two bitmaps of fixed size: one bit for the first two words of each, three for all of it."""
 
     def __init__(self, anchors: DataFrame):
-        slots = anchors.where("length > 0").select("length", F.explode(F.array(*_slots_of(F.col("anchor")))).alias("slot"))
-        blocks = slots.groupBy(F.floor(F.col("slot") / 32768).alias("block")).agg(
+        known = anchors.where("length > 0")
+        first = known.select(F.lit(0).alias("map"), "length", _slots_of(F.col("first"))[0].alias("slot"))
+        whole = known.select(F.lit(1).alias("map"), "length", F.explode(F.array(*_slots_of(F.col("anchor")))).alias("slot"))
+        blocks = first.unionByName(whole).groupBy("map", F.shiftright("slot", 15).alias("block")).agg(
             F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"), F.collect_set("length").alias("lengths"))
-        bits = bytearray(_BITS // 8)
+        maps = [bytearray(_BITS // 8), bytearray(_BITS // 8)]
         self.lengths = []
-        # At most 32 rows of 4 KB, however large the benchmark is.
+        # At most twice 32 rows of 4 KB, however large the benchmark is.
         for r in blocks.collect():
             self.lengths = sorted({*self.lengths, *r["lengths"]})
-            bits[r["block"] * 4096:r["block"] * 4096 + len(r["bits"])] = r["bits"]
+            maps[r["map"]][r["block"] * 4096:r["block"] * 4096 + len(r["bits"])] = r["bits"]
         self.numeric = not anchors.where("length = 0").isEmpty()
-        words = [int.from_bytes(bits[i:i + 8], "little", signed=True) for i in range(0, len(bits), 8)]
-        self._bitmap = F.split(F.lit(" ".join(map(str, words))), " ").cast("array<bigint>")  # folded into a constant
-
-    def _marked(self, anchor: Column) -> Column:
-        return _all([F.bit_get(F.get(self._bitmap, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1 for slot in _slots_of(anchor)])
+        self._firsts, self._wholes = map(_constant, maps)
 
-    def begin(self, words: Column) -> list[Column]:
-        """Per length: for each place of an array of words, whether an anchor may begin there."""
-        def hashed(length: int) -> Column:
-            return F.transform(words, lambda x, i: _anchor(words, i, length))
+    def begin(self, words: Column) -> Column:
+        """For each place of an array of words whether an anchor may begin there; most places end at their two words."""
+        def met(at: Column, first: int, lengths: list[int]) -> Column:
+            whole = _any([_all([_bit(self._wholes, s) for s in _slots_of(_anchor(words, at, k))]) for k in lengths])
+            return F.when(_bit(self._firsts, _slots_of(_anchor(words, at, first))[0]), whole).otherwise(F.lit(False))
 
-        return [F.transform(hashed(k), lambda h: self._marked(h)) for k in self.lengths]
+        longer = [k for k in self.lengths if k > 1]
+        return F.transform(words, lambda word, at: _any([met(at, 2, longer)] * bool(longer) + [met(at, 1, [1])] * (1 in self.lengths)))
 
     def may_match(self, text: Column, width: int) -> Column:
         """Whether a text can match a window; it is split into runs of letters only, once."""
         words = F.split(F.lower(text), "[^\\p{L}\\p{M}]+")
         # One pass over an array of one array, so that the words are made once and not for each use.
-        met = F.get(F.transform(F.array(words), lambda t: _any([F.exists(b, lambda hit: hit) for b in self.begin(t)])), F.lit(0))
+        met = F.get(F.transform(F.array(words), lambda t: F.exists(self.begin(t), lambda hit: hit)), F.lit(0))
         out = met | text.contains(_NAME_MARK) | text.contains(_CAPITAL_MARK)
         return out | text.rlike(f"(?:\\p{{Nd}}[^\\p{{L}}\\p{{Nd}}]*+){{{width}}}") if self.numeric else out
 
     def starts(self, width: int) -> Column:
         """Places of windows of ``width`` tokens that hold an anchor, of an array ``__plain``."""
         last = F.size("__plain") - width
-        held = [F.filter(F.transform(b, lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull()) for b in self.begin(F.col("__plain"))]
+        held = [F.filter(F.transform(self.begin(F.col("__plain")), lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())]
         if self.numeric:
             numbers = F.transform("__plain", lambda t, i: F.when(F.forall(F.slice("__plain", i + 1, width), lambda x: x.rlike("^\\p{Nd}")), i))
             held.append(F.filter(numbers, lambda i: i.isNotNull()))

@@ -72,7 +72,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, seed: int = 2
     """The columns of ``docs`` (doc_id, text, source and any more), with ``copy, rate, order_key`` added.
 
     One row per drawn copy, ``copy`` from 1; a document may be drawn 0 times. Rows are dealt to
-    partitions by ``order_key``, a hash of (id, copy), and sorted by it inside, so neither sources
+    partitions by ``order_key``, a hash of (id, copy), and the text, and sorted by the key inside, so neither sources
     nor the input's order survive. Input columns named like the three added ones are replaced.
 
     NULL source: a source of its own. NULL text: an empty text. NULL doc_id: all such rows draw the
@@ -97,4 +97,5 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, seed: int = 2
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
         .withColumn("order_key", hash60(F.lit(seed), name, F.col("copy")))
     )
-    return copies.select(*columns, "copy", "rate", "order_key").repartition("order_key").sortWithinPartitions("order_key")
+    # Rows of one id, or of none, have the same key; their texts deal them apart.
+    return copies.select(*columns, "copy", "rate", "order_key").repartition("order_key", F.xxhash64("text")).sortWithinPartitions("order_key")

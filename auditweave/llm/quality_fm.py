@@ -192,7 +192,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> bytes:
     """Fit on at most ``max_rows`` labelled rows, those of least id hash; the model's size is fixed.
 
-    Learned from: rows of ``labels`` (doc_id, quality) that are not :func:`held_out`, with their text in
+    Rows that share an id are bounded with the others, by a hash of id, label and text. Learned from: rows of ``labels`` (doc_id, quality) that are not :func:`held_out`, with their text in
     ``docs``. NULL labels and ids are left out. Without any row every score is 0.5.
     """
     usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select(
@@ -201,7 +201,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000) -> bytes:
     chosen = usable.join(F.broadcast(least_hashes(usable.select("__h"), "__h", max_rows)), "__h").drop("__h")
     # At most max_rows pairs of numbers.
     rows = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text")
+        F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select(
+        "doc_id", "label", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "label", "text"), 4).alias("h"))
+    # An id may have any number of rows, so the rows themselves are bounded again; equal ones count once.
+    least = F.broadcast(least_hashes(rows.select("h"), "h", max_rows))
+    rows = rows.join(least, "h").dropDuplicates(["h"]).select("doc_id", "label", "text")
     sample = rows.mapInArrow(_featurise, "doc_id bigint, label int, index binary, value binary")
     return bytes(sample.repartition(1).mapInArrow(_train, "model binary").collect()[0]["model"])
 

@@ -12,32 +12,49 @@ a window numbers the rows inside a range only. A range of one source holds about
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave.llm.tables import hash60, text_or_empty
+from auditweave.session import durable
 
 _SPAN = 1 << 60
 
 
+def _with_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__place``: the number of the file it was read from, as its name has it, and the row's number there."""
+    try:
+        named = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # not rows of Parquet files as they are
+        named = durable(docs).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    part = F.regexp_extract("__file", "^part-(\\d+)-", 1)
+    return named.withColumn("__place", F.concat_ws(":", F.when(part != "", part).otherwise(F.col("__file")), "__row")).drop("__file", "__row")
+
+
 def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 17, range_rows: int = 16_384,
-                  carry: tuple[str, ...] = ()) -> DataFrame:
+                  carry: tuple[str, ...] = (), spread_copies: bool = False) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, source, any more) with ``size, text_crc32, law, shard, slot, grown_shard``.
 
     The law is ``rows``: shard sizes differ by one row at most, ``slot`` counts the rows of a
     shard from 0 without a gap. ``size`` is the UTF-8 bytes of the text plus 1.
 
+    Rows are shuffled by a hash of id and checksum, so equal ids, or NULL ones, of different texts do not stay together.
+    Rows equal in both do, unless ``spread_copies``: then the row's place in its file is hashed too, and copies spread
+    like independent rows, but the order depends on how the input is stored.
+
     NULL text: size 1, checksum 0. NULL source: a stratum of its own, after all others. NULL
     or repeated doc_id: rows like any other. Empty table: no row. Of the input's columns, doc_id, source
     and those named in ``carry`` are returned. ``docs`` is read three times, twice without its text, so
     it should be stored rows.
     """
     text = text_or_empty()
+    docs, place = (_with_place(docs), [F.col("__place")]) if spread_copies else (docs, [])
     rows = docs.select(
         "doc_id", "source",
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text).cast("bigint").alias("text_crc32"),
-        hash60(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__key"),
+        hash60(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(text), *place).alias("__key"),
         F.col("source").isNull().alias("__none"),
         F.coalesce("source", F.lit("")).alias("__source"),
         *(F.col(c).alias(f"__carry_{c}") for c in carry),

@@ -140,12 +140,12 @@ def _match(length: int):
 
 
 def _strip(length: int):
-    schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "parts")), strict=True):
+            for doc, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 kept = words
                 if parts:
@@ -161,12 +161,13 @@ def _strip(length: int):
     return run
 
 
-_NOBODY = -(1 << 63)
-
-
 def _rows(docs: DataFrame) -> DataFrame:
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NOBODY)).alias("doc"),
-                       F.crc32(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    """``doc, mark, text, doc_id``: rows of equal doc and mark have equal texts.
+
+    mark is a 64-bit hash of the text, doc the id, or another hash of the text where there is none.
+    """
+    text, name = F.coalesce("text", F.lit("")), F.col("doc_id").cast("bigint")
+    return small_batches(docs).select(F.coalesce(name, F.xxhash64(F.lit("no id"), text)).alias("doc"), F.xxhash64(text).alias("mark"), "text", name.alias("doc_id"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 35, shard_segments: int = 8_000) -> DataFrame:
@@ -207,9 +208,8 @@ def remove_repeated(docs: DataFrame, length: int = 35, shard_segments: int = 8_0
     """
     spans = repeated_spans(docs, length, shard_segments)
     parts = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "mask")).alias("parts"))
-    kept = _rows(docs).join(parts, ["doc", "mark"], "left").select("doc", "text", "parts").mapInArrow(
-        _strip(length), "doc bigint, n_words bigint, n_removed bigint, kept binary")
-    return kept.select(F.when(F.col("doc") != _NOBODY, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept")
+    return _rows(docs).join(parts, ["doc", "mark"], "left").select("doc_id", "text", "parts").mapInArrow(
+        _strip(length), "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
 
 
 def removal_digest(docs: DataFrame, length: int = 35, shard_segments: int = 8_000) -> DataFrame:

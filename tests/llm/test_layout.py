@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from helpers import awkward, empty
+from pyspark.sql import functions as F
 
 from auditweave.llm import chat_format, mixing, sharding, url_filter
 
@@ -70,7 +71,7 @@ def test_shards_follow_the_law_and_the_mixture(spark):
     assert all(abs(mixture[s, source] - n / 7) <= 2 for source, n in total.items() for s in range(7))
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in ranges[0]} == {(i, len(t) + 1, zlib.crc32(t.encode())) for i, t, *_ in rows}
     # The same by sorting in memory.
-    key = {i: int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:15], 16) for i, *_ in rows}
+    key = {i: int(hashlib.md5(f"17:{i}:{zlib.crc32(t.encode())}".encode()).hexdigest()[:15], 16) for i, t, *_ in rows}
     ranked, seen = [], Counter()
     for i, _, _, source, _ in sorted(rows, key=lambda r: (r[3], key[r[0]], r[0])):
         seen[source] += 1
@@ -85,6 +86,31 @@ def test_shards_of_awkward_rows(spark):
     assert sharding.assign_shards(empty(spark)).count() == 0
 
 
+def test_rows_without_an_id_fall_into_many_ranges(spark):
+    rows = [(None if i < 3000 else i, f"text {i}", "en", "a", 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    keyed = sharding.assign_shards(df, shards=8, range_rows=100)
+    by = Counter(r["shard"] for r in keyed.where("doc_id IS NULL").collect())
+    assert len(by) == 8 and max(by.values()) < 450
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = mixing.mix_sources(df, temperature=1.0)
+        parts = Counter(r[0] for r in mixed.where("doc_id IS NULL").select(F.spark_partition_id()).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 1 and max(parts.values()) < 0.6 * sum(parts.values())
+
+
+def test_copies_spread_like_independent_rows(spark):
+    rows = [(i % 500, f"text {i % 500}", "en", "a", 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    shards = defaultdict(set)
+    for r in sharding.assign_shards(df, shards=8, range_rows=100, spread_copies=True).collect():
+        shards[r["doc_id"]].add(r["shard"])
+    # Four copies fall into 8 * (1 - (7 / 8) ** 4) = 3.31 shards on average.
+    assert 3.1 < sum(map(len, shards.values())) / 500 < 3.5
+
+
 def poisson(mean, point):
     p = total = math.exp(-mean)
     k = 0
@@ -149,6 +175,37 @@ def test_entries_hold_while_they_are_listed(spark):
     assert all(r["kept"] for r in url_filter.filter_captures(df, changes.where("false")).collect())
 
 
+CLASHES = ("score", "copy", "rate", "order_key", "__bad", "shard", "slot", "size", "component_id")
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = awkward(spark, [(20 + i, f"{t} " * 30, "en", "a") for i, t in enumerate(["Good plain sentences about the weather in spring.", "asdf", "A B C"])])
+    docs = docs.drop(*CLASHES).selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, folder)
+        assert made.columns == docs.columns, name
+        for r in made.collect():
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for c in CLASHES), name
+        assert stage(spark, docs.where("false"), folder).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, folder).count() == docs.count() and last(spark, docs.where("false"), folder).count() == 0
+
+
+def test_copies_of_a_document_leave_the_pipeline_apart(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = corpus_pipeline.mix(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    from auditweave.session import durable
+
+    shards, n = defaultdict(set), Counter()
+    for r in corpus_pipeline.deal_shards(spark, durable(docs), folder).collect():
+        shards[r["doc_id"]].add(r["shard"])
+        n[r["doc_id"]] += 1
+    several = [d for d in n if n[d] > 1]
+    expected = sum(8 * (1 - (7 / 8) ** n[d]) for d in several)
+    assert len(several) > 20 and sum(len(shards[d]) for d in several) > 0.85 * expected
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")

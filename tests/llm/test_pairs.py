@@ -160,3 +160,23 @@ def test_substring_removal_of_awkward_rows(spark):
     got = sorted((tuple(r) for r in substring_dedup.removal_digest(df).collect()), key=str)
     assert got == removed(rows)
     assert substring_dedup.removal_digest(empty(spark)).count() == 0
+
+
+def test_rows_without_an_id_are_told_apart_by_their_whole_texts(spark):
+    """Two texts of equal checksum, one with a passage that another row repeats."""
+    import zlib
+
+    passage = " ".join(f"w{i}" for i in range(40))
+    plain = " ".join(f"v{i}" for i in range(40))
+    of = {zlib.crc32(f"{passage} a{i}".encode()): f"{passage} a{i}" for i in range(200_000)}
+    twin = next(t for t in (f"{plain} b{i}" for i in range(10**7)) if zlib.crc32(t.encode()) in of)
+    rows = [(None, of[zlib.crc32(twin.encode())]), (None, twin), (1, f"x {passage} y")]
+    got = substring_dedup.removal_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 40, 40]
+
+
+def test_rows_without_an_id_keep_their_own_words(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, f"{passage} a"), (None, f"{passage} a"), (None, " ".join(f"v{i}" for i in range(50))), (1, f"x {passage} y"), (None, None)]
+    got = sorted((r["doc_id"] is None, r["n_words"], r["n_removed"]) for r in substring_dedup.removal_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(False, 42, 40), (True, 0, 0), (True, 41, 41), (True, 41, 41), (True, 50, 0)]

@@ -76,6 +76,27 @@ def test_rules_keep_good_texts_and_drop_bad_ones(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_rows_of_one_id_do_not_pass_the_bound_of_the_sample(spark, monkeypatch):
+    seen = []
+    plain = quality_fm._train
+
+    def counted(batches):
+        rows = list(batches)
+        (folder / str(sum(b.num_rows for b in rows))).touch()
+        return plain(iter(rows))
+
+    import tempfile
+    from pathlib import Path
+
+    folder = Path(tempfile.mkdtemp(prefix="run-"))
+    monkeypatch.setattr(quality_fm, "_train", counted)
+    docs = spark.createDataFrame([(7 if i < 3000 else i, f"text {i} of some words") for i in range(3200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [7, *range(3000, 3200)]], "doc_id bigint, quality int")
+    quality_fm.train(docs, labels, max_rows=10)
+    seen = sorted(int(f.name) for f in folder.iterdir())
+    assert seen and max(seen) <= 10
+
+
 def test_estimation_finds_planted_accuracies():
     rng, votes = random.Random(6), Counter()
     for _ in range(20_000):
