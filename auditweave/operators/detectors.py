@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditweave.functions.clean import clean_text, entity_prefix, observation_id, sum_money, to_date, to_number
+from auditweave.functions.clean import clean_text, entity_prefix, money, observation_id, sum_money, to_date, to_number
 from auditweave.operators import graph
 from auditweave.operators.lookups import KEY_CHARS, SETTLEMENT_PREFIX, settlements
 from auditweave.operators.observations import (
     Observations, make_entities, make_heads, make_refs, member_digest, union_observations,
 )
-from auditweave.operators.ordering import positions, running_max
+from auditweave.operators.ordering import exact_quantiles, positions, running_max
 from auditweave.session import durable, send_with_tasks
 from auditweave.sources.estate import Estate
 
@@ -207,8 +207,10 @@ def similar_invoice_cluster(
     """(clusters, members): maximal runs of like invoices inside ``window_days``.
 
     All invoices of one day share their window, so windows are built from daily
-    totals; a day enters at most window_days + 1 of them. Only windows that can
-    still pass are given their invoices back for the median.
+    totals; a day enters at most window_days + 1 of them. Windows that can still pass
+    get their median from the days' histograms: amounts and how often they occur are
+    added up over the window, and the middle one is found by running totals, so
+    neither the invoices nor the amounts of a window meet in one task.
     """
     if min_count < 2 or window_days < 0 or max_spread < 0:
         raise ValueError("bad cluster parameters")
@@ -219,22 +221,21 @@ def similar_invoice_cluster(
     ).dropna().where("total > 0")
     rows = rows.groupBy("uuid").agg(F.min(F.struct(*pair, "day", "total")).alias("r")).select("uuid", "r.*")
     daily = rows.groupBy(*pair, "day").agg(
-        F.count(F.lit(1)).alias("n"), F.min("total").alias("low"), F.max("total").alias("high")
+        F.count(F.lit(1)).alias("n"), F.min("total").alias("low"), F.max("total").alias("high"),
+        F.sum(money("total")).alias("money"), member_digest("uuid").cast("decimal(38,0)").alias("digest")
     )
     starts = F.sequence(F.date_sub("day", window_days), F.col("day"))
     windows = daily.withColumn("start", F.explode(starts)).groupBy(*pair, "start").agg(
         F.sum("n").alias("invoice_count"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.max("day").alias("last_day"), F.max(F.col("day") == F.col("start")).alias("opens"),
+        F.sum("money").cast("double").alias("cluster_total"), F.sum("digest").cast("decimal(38,0)").cast("string").alias("digest"),
     )
     # The median is at most the largest amount, so this loses no window.
-    hopeful = windows.where(F.col("opens") & (F.col("invoice_count") >= min_count)
-                            & (F.col("high") - F.col("low") <= max_spread * F.col("high")))
+    hopeful = durable(windows.where(F.col("opens") & (F.col("invoice_count") >= min_count)
+                                    & (F.col("high") - F.col("low") <= max_spread * F.col("high"))).drop("opens"))
     days = hopeful.select(*pair, "start", F.explode(F.sequence(F.col("start"), F.col("last_day"))).alias("day"))
-    # Amounts in a window differ by a bounded share, so few cent values meet in one median.
-    medians = rows.join(days, [*pair, "day"]).groupBy(*pair, "start").agg(
-        F.percentile("total", F.lit(0.5)).alias("median_total"), sum_money("total").alias("cluster_total"),
-        member_digest("uuid").alias("digest"),
-    )
+    histograms = rows.join(days.select(*pair, "day").distinct(), [*pair, "day"], "left_semi").groupBy(*pair, "day", "total").agg(F.count(F.lit(1)).alias("n"))
+    medians = exact_quantiles(histograms.join(days, [*pair, "day"]), [*pair, "start"], "total", [0.5], weight="n").withColumnRenamed("q50", "median_total")
     spread = (F.col("high") - F.col("low")) / F.col("median_total")
     candidates = hopeful.join(medians, [*pair, "start"]).withColumn("relative_spread", spread).where(
         (F.col("median_total") > 0) & (F.col("relative_spread") <= max_spread)

@@ -73,18 +73,19 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[str], name: s
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float], prefix: str = "q"
+    df: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float], prefix: str = "q", weight: str | None = None
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, one row per group.
 
     Equal values are counted before the sort, so a value held by a third of the
-    rows costs one row.
+    rows costs one row. ``weight`` names a column of whole numbers: a row then
+    stands for so many.
     """
     asked = list(group)
     group = asked or ["__all"]
     if not asked:
         df = df.withColumn("__all", F.lit(1))
-    counts = durable(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n")))
+    counts = durable(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__n")))
     ranked = running_total(counts, group, [value], F.col("__n"), "__before")
     sizes = counts.groupBy(*group).agg(F.sum("__n").alias("__size"))
     ranked = ranked.join(sizes, group)

@@ -158,6 +158,25 @@ def _free_pairs(indexed: DataFrame, known: DataFrame, size: int, draws: int, see
     return pairs.groupBy("src", "dst").agg(F.min("draw").alias("draw")).join(known, ["src", "dst"], "left_anti")
 
 
+def fold_means(values: DataFrame, edges: DataFrame, names: list[str], folds: int) -> DataFrame:
+    """(entity_id, without, g0, g1, ...): means over the sources of an account's arcs, each fold left out in turn.
+
+    ``values`` are features of accounts in long form, ``edges`` (src, dst, fold). Sums and counts per
+    (account, fold) are made in one pass; the mean without a fold is all minus that fold. A feature that no
+    source has is 0, as in a wide table of means.
+    """
+    sent = values.where(F.col("feature").isin(names)).select(F.col("entity_id").alias("src"), "feature", "value")
+    sent = sent.groupBy("src").agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"v{i}") for i, f in enumerate(names)])
+    width = range(len(names))
+    sums = durable(edges.join(sent, "src").groupBy(F.col("dst").alias("entity_id"), "fold").agg(
+        *[F.coalesce(F.sum(f"v{i}"), F.lit(0.0)).alias(f"s{i}") for i in width], *[F.count(f"v{i}").alias(f"n{i}") for i in width]))
+    total = sums.groupBy("entity_id").agg(*[F.sum(f"s{i}").alias(f"ts{i}") for i in width], *[F.sum(f"n{i}").alias(f"tn{i}") for i in width])
+    turns = total.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)).cast("array<bigint>")))
+    left = turns.join(sums.withColumn("fold", F.col("fold").cast("bigint")), ["entity_id", "fold"], "left").na.fill(0.0).na.fill(0)
+    means = [F.when(F.col(f"tn{i}") > F.col(f"n{i}"), (F.col(f"ts{i}") - F.col(f"s{i}")) / (F.col(f"tn{i}") - F.col(f"n{i}"))).otherwise(0.0).alias(f"g{i}") for i in width]
+    return left.select("entity_id", F.col("fold").alias("without"), *means)
+
+
 def edge_surprise(values: DataFrame, arcs: DataFrame, seed: int = 11, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
     """(accounts, scored): -log p of every arc from a model that did not see it, averaged per endpoint.
 
@@ -169,14 +188,13 @@ def edge_surprise(values: DataFrame, arcs: DataFrame, seed: int = 11, folds: int
     k = min(folds, total)
     names = list(graph.ACCOUNT_FEATURES)
     own = durable(_wide(values.where("node_type = 'account'"), names))
-    near_names = [f"transfers/account/{f}" for f in names]
-    edges = ordered.select(F.lit("transfers").alias("relation"), F.lit("account").alias("src_type"), "src",
-                           F.lit("account").alias("dst_type"), "dst", ((F.col("n") - 1) % max(k, 1)).alias("fold"))
+    edges = ordered.select("src", "dst", ((F.col("n") - 1) % max(k, 1)).alias("fold"))
     nodes = own.select(F.col("entity_id").alias("account"))
     width = len(names)
+    around_all = durable(fold_means(values.where("node_type = 'account'"), edges, names, max(k, 1)))
 
     def features(pairs: DataFrame, around: DataFrame) -> DataFrame:
-        both = own.join(around.toDF("entity_id", *[f"g{i}" for i in range(width)]), "entity_id", "left").na.fill(0.0)
+        both = own.join(around, "entity_id", "left").na.fill(0.0)
         columns = [f"f{i}" for i in range(width)] + [f"g{i}" for i in range(width)]
         left = both.select(F.col("entity_id").alias("src"), *[F.col(c).alias(f"s_{c}") for c in columns])
         right = both.select(F.col("entity_id").alias("dst"), *[F.col(c).alias(f"d_{c}") for c in columns])
@@ -188,7 +206,7 @@ def edge_surprise(values: DataFrame, arcs: DataFrame, seed: int = 11, folds: int
     for fold in range(k):
         held = edges.where(F.col("fold") == fold).select("src", "dst")
         seen = edges.where(F.col("fold") != fold)
-        around = durable(_wide(neighbour_means(values.where("node_type = 'account'"), seen.drop("fold")), near_names))
+        around = around_all.where(F.col("without") == fold).drop("without")
         positive = (seen if k > 1 else edges).select("src", "dst").withColumn("label", F.lit(1.0))
         negative = negative_edges(nodes, arcs, max(total - total // max(k, 1), 1), seed + fold).withColumn("label", F.lit(0.0))
         train = durable(features(positive.unionByName(negative), around))

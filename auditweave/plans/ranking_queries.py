@@ -42,9 +42,24 @@ def a1(given):
     return means.withColumn("value", F.round("value", 3))
 
 
-@query("a1_neighbour_means_two_hops")
+_ATTRIBUTES = ("transfer_count", "total_amount", "mean_amount", "max_abs_amount", "span_days")
+
+
+@query("a1_neighbour_means_two_hops", SCALED_SQL + _REL_SQL + f"""
+, arcs AS (
+  SELECT from_clabe AS src, to_clabe AS dst, count(*)::DOUBLE AS transfer_count, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount,
+    CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_amount, max(abs(amount)) AS max_abs_amount,
+    (max(CAST(date AS DATE)) - min(CAST(date AS DATE)))::DOUBLE AS span_days FROM bank_txns GROUP BY 1, 2),
+attr AS (SELECT dst, unnest([{', '.join(f"'{a}'" for a in _ATTRIBUTES)}]) AS feature, unnest([{', '.join(f'sign({a}) * ln(1 + abs({a}))' for a in _ATTRIBUTES)}]) AS v FROM arcs),
+h1 AS (
+  SELECT node_type, entity_id, feature, avg(v) AS v FROM (
+    SELECT r.dt AS node_type, r.d AS entity_id, r.relation || '/' || r.st || '/' || x.feature AS feature, x.scaled AS v FROM rel r JOIN scaled x ON x.node_type = r.st AND x.entity_id = r.s
+    UNION ALL SELECT 'account', dst, 'transfers/edge/' || feature, v FROM attr) GROUP BY 1, 2, 3),
+h2 AS (SELECT r.dt AS node_type, r.d AS entity_id, r.relation || '/' || r.st || '/' || h.feature AS feature, avg(h.v) AS v FROM rel r JOIN h1 h ON h.node_type = r.st AND h.entity_id = r.s GROUP BY 1, 2, 3)
+SELECT node_type, entity_id, feature, round(v, 3) AS value FROM h1 UNION ALL SELECT node_type, entity_id, feature, round(v, 3) FROM h2""")
 def a1b(given):
-    return ranking.neighbour_means(_values(given), durable(ranking.relations(given.estate)), hops=2, edge_values=ranking.transfer_attributes(given.estate))
+    means = ranking.neighbour_means(_values(given), durable(ranking.relations(given.estate)), hops=2, edge_values=ranking.transfer_attributes(given.estate))
+    return means.withColumn("value", F.round("value", 3))
 
 
 @query("a2_masked_feature_error")

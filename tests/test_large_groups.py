@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditweave.operators import detectors, ordering
+from auditweave.operators import detectors, graph, ordering, ranking
 from auditweave.plans.registry import Given
 
 
@@ -120,3 +120,55 @@ def test_groups_hold_the_pairs(spark):
     columns = ["txn_id", "rfc", "emp_id"]
     assert {tuple(r) for r in transfers.join(payers, "vendor_account").join(payees, "employee_account").select(columns).collect()} == {
         tuple(r) for r in detectors.vendor_to_employee_transfer(estate).select(columns).collect()}
+
+
+def test_means_without_a_fold_are_all_minus_that_fold(spark):
+    rng = random.Random(9)
+    names = ["x", "y", "z"]
+    values = [("account", f"a{i}", n, round(rng.random(), 3)) for i in range(12) for n in names if rng.random() < 0.8]
+    arcs = sorted({(f"a{rng.randrange(12)}", f"a{rng.randrange(14)}") for _ in range(60)})
+    edges = [(s, d, i % 4) for i, (s, d) in enumerate(arcs)]
+    frame = spark.createDataFrame(values, "node_type string, entity_id string, feature string, value double")
+    got = {(r["entity_id"], r["without"]): [r["g0"], r["g1"], r["g2"]] for r in
+           ranking.fold_means(frame, spark.createDataFrame(edges, "src string, dst string, fold bigint"), names, 4).collect()}
+    held = {(e, f): v for _, e, f, v in values}
+    for without in range(4):
+        for dst in {d for _, d, _ in edges}:
+            for i, f in enumerate(names):
+                mine = [held[s, f] for s, d, fold in edges if d == dst and fold != without and (s, f) in held]
+                if (dst, without) in got:
+                    assert got[dst, without][i] == pytest.approx(sum(mine) / len(mine) if mine else 0.0, abs=1e-9)
+                else:
+                    assert not any((s, g) in held for s, d, _ in edges if d == dst for g in names)
+
+
+def test_surprise_of_each_arc_is_from_folds_that_did_not_hold_it(spark):
+    rng = random.Random(3)
+    names = list(graph.ACCOUNT_FEATURES)
+    values = [("account", f"a{i}", n, rng.gauss(0, 1)) for i in range(20) for n in names]
+    arcs = sorted({(f"a{rng.randrange(10)}", f"a{rng.randrange(10)}") for _ in range(40)} | {("a0", "a19")})
+    frame = spark.createDataFrame(values, "node_type string, entity_id string, feature string, value double")
+    ends, scored = ranking.edge_surprise(frame, spark.createDataFrame(arcs, "src string, dst string"), folds=2)
+    rows = scored.collect()
+    assert sorted((r["src"], r["dst"]) for r in rows) == arcs and {r["fold"] for r in rows} == {0, 1} and all(r["surprise"] > 0 for r in rows)
+    by = {}
+    for r in rows:
+        for e in (r["src"], r["dst"]):
+            by.setdefault(e, []).append(r["surprise"])
+    assert {r["entity_id"]: r["edge_value"] for r in ends.collect()} == pytest.approx({e: sum(v) / len(v) for e, v in by.items()})
+
+
+def test_clusters_of_one_hot_pair_have_the_median_of_all_their_invoices(spark):
+    """Twenty thousand invoices of one pair in eight days, a few amounts each, against numpy."""
+    from dataclasses import replace
+
+    rng = random.Random(8)
+    rows = [(f"u{i:05d}", "V", "C", f"2024-01-{1 + i % 8:02d}", 100.0 + rng.randrange(200) / 100) for i in range(20_000)]
+    rows += [(f"w{i}", "V", "C", f"2024-03-{i + 1:02d}", 50.0 + i) for i in range(4)]
+    base = Given(spark, "/root/testdata/sf0.001").estate
+    estate = replace(base, invoices=spark.createDataFrame(rows, "uuid string, issuer_rfc string, receiver_rfc string, issue_date string, total double"))
+    clusters, members = detectors.similar_invoice_cluster(estate, max_spread=0.05)
+    got = {r["first_issue_date"]: (r["invoice_count"], r["median_total"], r["cluster_total"]) for r in clusters.collect()}
+    totals = np.array([r[4] for r in rows[:20_000]])
+    assert got["2024-01-01"] == (20_000, pytest.approx(float(np.median(totals))), pytest.approx(float(totals.sum())))
+    assert members.where("uuid like 'u%'").count() == 20_000 and len(got) == 1
