@@ -83,18 +83,22 @@ def _grams(words: Column, size: int) -> Column:
     return F.array_distinct(hashed)
 
 
+#: What stands between words.
+_APART = "[^\\p{L}\\p{Nd}]+"
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{Nd}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), _APART), lambda w: w != "")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, paragraph, line``: the lines with a letter of each text, numbered from 0 with the others."""
-    return docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("paragraph", "line")).where(
+    """``doc_id, mark, paragraph, line``: the lines with a letter of each text, numbered from 0 with the others; mark is a hash of the text."""
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("mark"), F.posexplode(F.split(text_or_empty(), "\n")).alias("paragraph", "line")).where(
         F.col("line").rlike("\\p{L}"))
 
 
 def blocks(docs: DataFrame, grams: list[int]) -> DataFrame:
-    """``doc_id, paragraph, line, lines``: runs of two or more lines that are not blank, joined by a space.
+    """``doc_id, mark, paragraph, line, lines``: runs of two or more lines that are not blank, joined by a space.
 
     paragraph is the number of the first line, lines how many there are. A line without letter or digit is
     blank, also as a comment. Texts and blocks with none of ``grams`` (of size 2 and 3) are left out.
@@ -111,12 +115,12 @@ def blocks(docs: DataFrame, grams: list[int]) -> DataFrame:
         places = F.transform("__lines", lambda x, i: F.when(~blank(i) & blank(i + step), i))
         return F.filter(places, lambda i: i.isNotNull())
 
-    rows = docs.select("doc_id", text_or_empty().alias("__text")).where(F.col("__text").contains("\n") & hit(F.translate("__text", "\n", " ")))
-    rows = rows.select("doc_id", F.split("__text", "\n").alias("__lines"))
-    rows = rows.select("doc_id", "__lines", F.explode(F.arrays_zip(edges(-1).alias("first"), edges(1).alias("last"))).alias("__at"))
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("mark"), text_or_empty().alias("__text")).where(F.col("__text").contains("\n") & hit(F.translate("__text", "\n", " ")))
+    rows = rows.select("doc_id", "mark", F.split("__text", "\n").alias("__lines"))
+    rows = rows.select("doc_id", "mark", "__lines", F.explode(F.arrays_zip(edges(-1).alias("first"), edges(1).alias("last"))).alias("__at"))
     first, lines = F.col("__at.first"), F.col("__at.last") - F.col("__at.first") + 1
     joined = rows.where(lines > 1).select(
-        "doc_id", first.alias("paragraph"), F.array_join(F.slice("__lines", first + 1, lines), " ").alias("line"), lines.alias("lines"))
+        "doc_id", "mark", first.alias("paragraph"), F.array_join(F.slice("__lines", first + 1, lines), " ").alias("line"), lines.alias("lines"))
     return joined.where(hit(F.col("line")))
 
 
@@ -146,10 +150,24 @@ def _examples(spark: SparkSession, docs: DataFrame, max_unknown: int, variants:
 
 
 class Model:
-    """Weights per n-gram (a row of one number per family), biases, and the calibration of being a notice."""
+    """Weights per n-gram (a row of one number per family), biases, and the calibration of being a notice.
+
+    ``words`` has the words of each n-gram that has a weight.
+    """
+
+    def __init__(self, families: list[str], weights: dict[int, list[float]], biases: list[float], slope: float, shift: float, words: dict[int, list[str]]):
+        self.families, self.weights, self.biases, self.slope, self.shift, self.words = families, weights, biases, slope, shift, words
+
+    def needed(self, sure: float) -> list[str] | None:
+        """Words of which a paragraph holds at least one if it is a notice with probability ``sure``; None where any may be.
 
-    def __init__(self, families: list[str], weights: dict[int, list[float]], biases: list[float], slope: float, shift: float):
-        self.families, self.weights, self.biases, self.slope, self.shift = families, weights, biases, slope, shift
+        Its best family can only gain on unknown by an n-gram that weighs more for that family; of each
+        such n-gram the longest word is taken.
+        """
+        start = (max(self.biases[:-1]) - self.biases[-1]) * self.slope + self.shift
+        if self.slope <= 0 or 1 / (1 + math.exp(-start)) >= sure:
+            return None
+        return sorted({max(self.words[g], key=lambda w: (len(w), w)) for g, row in self.weights.items() if max(row[:-1]) > row[-1]})
 
 
 def train(docs: DataFrame, max_unknown: int = 4_000) -> Model:
@@ -158,12 +176,17 @@ def train(docs: DataFrame, max_unknown: int = 4_000) -> Model:
     families = sorted({f for f, _ in TEMPLATES}) + [UNKNOWN]
     words = _words(F.col("line"))
     grams = F.transform(F.concat(_grams(words, 1), _grams(words, 2)), lambda h: h.cast("string"))
-    rows = durable(_examples(spark, docs, max_unknown).select("family", "part", grams.alias("grams")))
+    rows = durable(_examples(spark, docs, max_unknown).select("family", "part", "line", grams.alias("grams")))
     # N-grams of the templates; words that plain paragraphs are full of say nothing and would match everywhere.
     plain = rows.where(F.col("family") == UNKNOWN)
     common = plain.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > 0.01 * plain.count()).select("g")
     vocabulary = rows.where(F.col("family") != UNKNOWN).select(F.explode("grams").alias("g")).distinct().join(common, "g", "left_anti")
     vocabulary = sorted(r["g"] for r in vocabulary.collect())
+    pairs = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b")), lambda x: F.when(x["b"].isNotNull(), F.array(x["a"], x["b"])))
+    spoken = rows.where(F.col("family") != UNKNOWN).select(F.explode(F.concat(F.transform(words, lambda w: F.array(w)), F.array_compact(pairs))).alias("words"))
+    spoken = spoken.distinct().select("words", F.when(F.size("words") == 1, F.xxhash64(F.lit(1), F.get("words", F.lit(0)))).otherwise(
+        F.xxhash64(F.lit(2), F.get("words", F.lit(0)), F.get("words", F.lit(1)))).alias("g"))
+    by_gram = {str(r["g"]): r["words"] for r in spoken.collect()}
     counted = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features", binary=True).transform(rows)
     index = F.element_at(F.create_map(*(F.lit(x) for i, f in enumerate(families) for x in (f, float(i)))), F.col("family"))
     counted = durable(counted.select("features", index.alias("label"), "part"))
@@ -178,7 +201,7 @@ def train(docs: DataFrame, max_unknown: int = 4_000) -> Model:
     pairs = [(r["m"], r["label"]) for r in scored.select(margin.alias("m"), "label").collect()]
     slope, shift = _platt(pairs)
     weights = {int(g): [float(x) for x in matrix[:, i]] for i, g in enumerate(vocabulary) if any(matrix[:, i])}
-    return Model(families, weights, [float(b) for b in biases], slope, shift)
+    return Model(families, weights, [float(b) for b in biases], slope, shift, {g: by_gram[str(g)] for g in weights})
 
 
 def _platt(pairs: list[tuple[float, float]], rounds: int = 400) -> tuple[float, float]:
@@ -232,12 +255,16 @@ def scan(docs: DataFrame, max_unknown: int = 4_000, sure: float = 0.5, similarit
     schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType())),
                            T.StructField("templates", T.ArrayType(T.IntegerType()))])
     terms = spark.createDataFrame(rows, schema)
+    needed = model.needed(sure)
+    if needed is not None:
+        # Few texts hold such a word; the others give no row, as lines or as blocks, and go no further.
+        docs = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(F.lower(text_or_empty()), _APART), F.array(*(F.lit(w) for w in needed))))
     lines = paragraphs(docs).withColumn("lines", F.lit(1)).unionByName(blocks(docs, sorted(of_template)))
     lines = lines.withColumn("copy", F.xxhash64("line"))
     words = lines.withColumn("__words", _words(F.col("line"))).drop("line")
-    grams = words.select("doc_id", "paragraph", "lines", "copy", F.explode(
+    grams = words.select("doc_id", "mark", "paragraph", "lines", "copy", F.explode(
         F.array_distinct(F.concat(*(_grams(F.col("__words"), k) for k in (1, 2, 3))))).alias("gram"))
-    place = ["doc_id", "paragraph", "lines", "copy"]
+    place = ["doc_id", "mark", "paragraph", "lines", "copy"]
     # The table of terms has as many rows as the templates have n-grams.
     met = grams.join(F.broadcast(terms), "gram").groupBy(*place).agg(
         *(F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(len(families))),
@@ -250,14 +277,14 @@ def scan(docs: DataFrame, max_unknown: int = 4_000, sure: float = 0.5, similarit
                          for i, (f, _) in enumerate(TEMPLATES)))
     of_best = F.array_max(F.filter(compared, lambda x: x["family"] == F.col("best.family")))
     rows = judged.withColumn("near", of_best).select(
-        "doc_id", "paragraph", F.when(F.col("near.similarity") >= similarity, F.col("best.family")).otherwise(UNKNOWN).alias("family"),
+        "doc_id", "mark", "paragraph", F.when(F.col("near.similarity") >= similarity, F.col("best.family")).otherwise(UNKNOWN).alias("family"),
         F.round("probability", 6).alias("probability"), F.col("near.template").alias("template"),
         F.round("near.similarity", 6).alias("similarity"), "lines").distinct()
     rows = durable(rows)
     own = rows.where("lines = 1")
     confirmed = own.where(F.col("family") != UNKNOWN).select(
-        F.col("doc_id").alias("__doc"), F.col("family").alias("__family"), F.col("paragraph").alias("__line"))
+        F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("family").alias("__family"), F.col("paragraph").alias("__line"))
     inside = (F.col("__line") >= F.col("paragraph")) & (F.col("__line") < F.col("paragraph") + F.col("lines"))
     wrapped = rows.where((F.col("lines") > 1) & (F.col("family") != UNKNOWN)).join(
-        confirmed, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("family") == F.col("__family")) & inside, "left_anti")
-    return own.unionByName(wrapped)
+        confirmed, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")) & (F.col("family") == F.col("__family")) & inside, "left_anti")
+    return own.unionByName(wrapped).drop("mark")
