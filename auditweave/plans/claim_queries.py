@@ -45,6 +45,18 @@ def q5(given):
     return exhibits.select(H, "check_id", "check_status", (F.col("uses") - 1).alias("duplicates"))
 
 
+@query("q5_missing_exhibits", CASES_SQL + """
+SELECT hypothesis_id, 'EXISTS-' || source_table || '-' || record_id AS check_id, CASE WHEN found THEN 'verified' ELSE 'failed' END AS check_status FROM exh
+UNION ALL SELECT DISTINCT hypothesis_id, 'EXISTS-invoices-GONE-' || hypothesis_id, 'failed' FROM refs""")
+def q5m(given):
+    """Each hypothesis also cites an invoice that is in no book."""
+    cites = all_hypotheses(given.estate)[1]
+    lost = cites.select(H).distinct().select(H, F.lit("ev-gone").alias("evidence_id"), F.lit(9).alias("evidence_no"), F.lit("invoices").alias("source_table"),
+                                             F.concat(F.lit("GONE-"), H).alias("record_id"), F.lit("Not in the books.").alias("note"))
+    exhibits, _ = verify.resolve_exhibits(given.estate, cites.select(lost.columns).unionByName(lost))
+    return exhibits.select(H, "check_id", "check_status")
+
+
 @query("q6_efos_timing_assessment", CASES_SQL + """
 SELECT hypothesis_id, CASE WHEN reason IS NULL THEN 'verified' ELSE 'unresolved' END AS status, reason, matched, first_rfc, qualifying, earlier,
        first_published, first_qualifying, last_qualifying FROM timing WHERE starts_with(hypothesis_id, 'sweep-')""")
@@ -101,6 +113,27 @@ def q11(given):
     return verify.decide(found, reviews).select(H, "scheme_type", "rule_id", "outcome")
 
 
+@query("q11_gate_requirements", CASES_SQL + """
+, need AS (SELECT h.hypothesis_id, unnest(CASE WHEN h.status = 'rejected' THEN ['hypothesis is already rejected'] ELSE [
+    CASE WHEN h.scheme_type NOT IN ('phantom_vendor', 'kickback') THEN 'no valid rule requested' END,
+    CASE WHEN r.challenger IS NULL THEN 'challenger review is missing' END,
+    CASE r.challenger WHEN 'needs_more_evidence' THEN 'challenger needs more evidence' WHEN 'legitimate_alternative' THEN 'challenger found a legitimate alternative'
+      WHEN 'alternative_hypothesis' THEN 'challenger found another hypothesis' END,
+    CASE WHEN r.method_critic IS NULL THEN 'method review is missing' END,
+    CASE r.method_critic WHEN 'needs_more_work' THEN 'method review needs more work' WHEN 'cannot_support' THEN 'method review cannot support' END,
+    CASE WHEN p.exhibits < 3 THEN 'fewer than 3 exhibits (found ' || p.exhibits || ')' END,
+    CASE WHEN NOT coalesce((SELECT c.reconciles FROM recon c WHERE c.hypothesis_id = h.hypothesis_id), false) THEN 'amount does not reconcile' END,
+    CASE WHEN p.failures > 0 THEN 'critical checks failed: ' || p.failures END, CASE WHEN p.unresolved > 0 THEN 'critical checks unresolved: ' || p.unresolved END,
+    CASE WHEN NOT p.peso_verified THEN 'no verified amount check' END,
+    CASE WHEN h.scheme_type IN ('phantom_vendor', 'kickback') AND NOT p.scheme_verified THEN 'no verified scheme check' END,
+    CASE WHEN h.scheme_type NOT IN ('phantom_vendor', 'kickback') THEN 'no verifier for this scheme' END] END) AS requirement
+  FROM hyp h LEFT JOIN rev r USING (hypothesis_id) JOIN rep p USING (hypothesis_id))
+SELECT hypothesis_id, requirement FROM need WHERE requirement IS NOT NULL""")
+def q11r(given):
+    found, reviews = _reports(given)
+    return verify.decide(found, reviews).select(H, F.explode("failed_requirements").alias("requirement"))
+
+
 @query("q12_boundary_check", CASES_SQL + """
 , b AS (
   SELECT hypothesis_id, substr(hypothesis_id, -2, 1) <> '5' AS ready, substr(hypothesis_id, -2, 1) <> '6' AS same,
@@ -195,6 +228,21 @@ def f5(given):
     return findings.validate_findings(_built(given)).withColumn("errors", F.array_join("errors", ";"))
 
 
+@query("f5_broken_findings", _EXHIBITS_SQL + """
+SELECT hypothesis_id, CASE substr(hypothesis_id, -4, 1) WHEN '1' THEN 'blank note' WHEN '2' THEN 'amount is not positive' WHEN '3' THEN 'blank narrative' WHEN '4' THEN 'no entity'
+  WHEN '5' THEN 'exhibit id repeats' WHEN '6' THEN 'malformed entity' ELSE '' END AS errors FROM ok""")
+def f5b(given):
+    """Findings with one fault each, by a digit of their id."""
+    tables = dict(_built(given))
+    last = F.substring(H, -4, 1)
+    tables["findings"] = tables["findings"].withColumn("peso_amount", F.when(last == "2", 0.0).otherwise(F.col("peso_amount"))).withColumn(
+        "narrative", F.when(last == "3", " ").otherwise(F.col("narrative")))
+    tables["entities"] = tables["entities"].where(last != "4").withColumn("entity", F.when(last == "6", "nobody").otherwise(F.col("entity")))
+    exhibits = tables["exhibits"].withColumn("note", F.when(last == "1", " ").otherwise(F.col("note")))
+    tables["exhibits"] = exhibits.unionByName(exhibits.where(last == "5"))
+    return findings.validate_findings(tables).withColumn("errors", F.array_join("errors", ";"))
+
+
 @query("f6_audit_result", _EXHIBITS_SQL + """
 SELECT g.hypothesis_id, g.outcome = 'authorize_probable' AS authorised, g.outcome,
   CASE WHEN g.outcome = 'authorize_probable' THEN NULL WHEN g.scheme_type NOT IN ('phantom_vendor', 'kickback') THEN 'scheme is not supported'

@@ -208,11 +208,12 @@ def w5c(given):
 
 
 @query("w6_lookup_redundancy", """
-WITH l AS (SELECT conv_id, count(*) AS n, count(DISTINCT role) AS u FROM conversations GROUP BY 1)
-SELECT sum(n)::BIGINT AS tool_calls_total, sum(u)::BIGINT AS tool_calls_unique, 0::BIGINT AS leads_with_no_lookup, sum(n - u)::BIGINT AS redundant_actions, round(sum(n - u) / sum(n), 3) AS redundancy_rate FROM l""", estate=False)
+WITH l AS (SELECT conv_id, count(*) AS n, count(DISTINCT role) AS u FROM conversations WHERE conv_id % 7 <> 3 GROUP BY 1)
+SELECT sum(n)::BIGINT AS tool_calls_total, sum(u)::BIGINT AS tool_calls_unique, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 7 = 3) AS leads_with_no_lookup, sum(n - u)::BIGINT AS redundant_actions, round(sum(n - u) / sum(n), 3) AS redundancy_rate FROM l""", estate=False)
 def w6(given):
-    calls = given.base("conversations").select(F.col("conv_id").alias("lead_id"), F.concat(F.lit("get_"), "role").alias("action"))
-    return ev.lookup_redundancy(calls, calls)
+    """A conversation is a lead and its turns are calls; every seventh lead makes none."""
+    turns = given.base("conversations").select(F.col("conv_id").alias("lead_id"), F.concat(F.lit("get_"), "role").alias("action"))
+    return ev.lookup_redundancy(turns.select("lead_id"), turns.where("lead_id % 7 <> 3"))
 
 
 _RUNS_SQL = """
@@ -260,18 +261,20 @@ def w9(given):
 
 
 @query("s6_write_results_csv", """
-SELECT category AS seed, count(*) AS schemes_planted, count(*) FILTER (right(rfc, 1) <> '3') AS schemes_found FROM vendors GROUP BY 1""")
+WITH r AS (SELECT category, count(*) AS n, count(*) FILTER (right(rfc, 1) <> '3') AS f FROM vendors GROUP BY 1)
+SELECT category AS seed, n AS schemes_planted, f AS schemes_found, round(100.0 * f / n, 1)::DOUBLE AS recall_pct, 2 * n AS decoys_planted, n - f AS decoys_accused,
+  round(100.0 * (n - f) / (2 * n), 1)::DOUBLE AS false_accusation_rate_pct, f * 100.25::DOUBLE AS peso_claimed, n * 100.25::DOUBLE AS peso_actual, f = n AS peso_reconciles,
+  n + 1 AS llm_calls, n * 0.125::DOUBLE AS mxn_cost, n * 1.5::DOUBLE AS wall_clock_s FROM r""".replace("WITH r AS", ", r AS"))
 def s6(given):
     folder = shared_folder(given.spark)
-    runs = given.estate.vendors.groupBy(F.col("category").alias("seed")).agg(
-        F.count(F.lit(1)).alias("schemes_planted"), F.count(F.when(~F.col("rfc").endswith("3"), 1)).alias("schemes_found"))
-    for name in files.RESULT_COLUMNS:
-        if name not in runs.columns:
-            runs = runs.withColumn(name, F.lit(0))
+    n, f = F.col("n"), F.col("f")
+    runs = given.estate.vendors.groupBy(F.col("category").alias("seed")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("rfc").endswith("3"), 1)).alias("f"))
+    runs = runs.select(
+        "seed", n.alias("schemes_planted"), f.alias("schemes_found"), F.round(100.0 * f / n, 1).alias("recall_pct"), (2 * n).alias("decoys_planted"),
+        (n - f).alias("decoys_accused"), F.round(100.0 * (n - f) / (2 * n), 1).alias("false_accusation_rate_pct"), (f * 100.25).alias("peso_claimed"),
+        (n * 100.25).alias("peso_actual"), (f == n).alias("peso_reconciles"), (n + 1).alias("llm_calls"), (n * 0.125).alias("mxn_cost"), (n * 1.5).alias("wall_clock_s"))
     files.write_results_csv(runs, folder)
-    types = {"seed": "string", "schemes_planted": "bigint", "schemes_found": "bigint"}
-    schema = ", ".join(f"{c} {types.get(c, 'string')}" for c in files.RESULT_COLUMNS)
-    return given.spark.read.schema(schema).option("header", True).csv(folder).select(*types)
+    return given.spark.read.schema(runs.schema).option("header", True).csv(folder)
 
 
 @query("s5_write_submission")
