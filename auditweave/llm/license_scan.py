@@ -58,6 +58,44 @@ TEMPLATES = (
     ("proprietary", "All rights reserved."),
     ("proprietary", "Copyright (c) 2020 the authors. All rights reserved."),
     ("proprietary", "Reproduction in whole or in part without written permission is prohibited."),
+    ("apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("apache-2.0", "Distributed under the terms of the Apache License 2.0."),
+    ("mit", "The MIT License (MIT)"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("mit", "Distributed under the MIT licence."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "BSD 2-Clause License"),
+    ("bsd", "Distributed under the two-clause BSD license."),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "Licensed under the ISC License."),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("gpl", "Distributed under the terms of the GNU General Public License v2."),
+    ("gpl", "Distributed under the terms of the GNU GPL v3."),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("gpl", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."),
+    ("agpl", "Licensed under the GNU Affero General Public License, version 3."),
+    ("agpl", "Released under the GNU AGPL version 3 or later."),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("mpl-2.0", "This project is licensed under the MPL 2.0."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("epl-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("epl-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("zlib", "Licensed under the zlib License."),
+    ("zlib", "SPDX-License-Identifier: Zlib"),
+    ("cc-by", "This work is licensed under CC BY 3.0."),
+    ("cc-by-sa", "Content is available under the Creative Commons Attribution-ShareAlike License."),
+    ("cc-by-nc", "For non-commercial use only under Creative Commons Attribution-NonCommercial."),
+    ("public-domain", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("public-domain", "This work is released under CC0."),
+    ("public-domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software."),
+    ("proprietary", "This document is confidential and proprietary."),
 )
 
 #: Paragraphs that share words with notices and are none.
