@@ -14,7 +14,7 @@ HEADLINE = (
     "s1_load_estate", "l2_record_amounts", "l7_account_transactions", "d1_vendor_employee_shared_account",
     "d4_vendor_to_employee_transfer", "d5_similar_invoice_cluster", "d8_paid_without_po_or_contract",
     "n3_bank_cycles", "n5_transfer_edge_features", "n9_vendor_features", "t1_triple_reconciliation",
-    "t2_entropy_collapse", "t3_off_hours", "t8_naive_bayes_posterior", "q13_efos_authorisation_sweep",
+    "t2_entropy_collapse", "t3_off_hours", "t4_velocity_burst", "t8_naive_bayes_posterior", "q13_efos_authorisation_sweep",
 )
 
 
