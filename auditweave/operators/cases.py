@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from auditweave.functions.clean import clean_text, clip, entity_prefix
 from auditweave.operators.lookups import account_owners
-from auditweave.operators.observations import SIGNALS, Observations, signal_rank, with_guidance
+from auditweave.operators.observations import SIGNALS, Observations, signal_rank
 from auditweave.operators.ordering import positions
 from auditweave.sources.estate import Estate
 
@@ -268,7 +268,3 @@ def run_counters(obs: Observations, leads: DataFrame, outcomes: DataFrame) -> Da
     seen = obs.heads.agg(n.alias("value")).select(F.lit("observations").alias("counter"), "value")
     opened = leads.agg(n.alias("value")).select(F.lit("leads").alias("counter"), "value")
     return seen.unionByName(opened).unionByName(parts)
-
-
-def lead_guidance(obs: Observations) -> DataFrame:
-    return with_guidance(obs.heads)

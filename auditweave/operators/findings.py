@@ -83,9 +83,8 @@ def phantom_finding(assessment: DataFrame, claims: DataFrame) -> DataFrame:
 
 def kickback_finding(assessment: DataFrame, claims: DataFrame) -> DataFrame:
     df = assessment.where("status = 'verified'").join(claims.where("claimed_amount IS NOT NULL").select(H, "claimed_amount"), H)
-    text = F.format_string(
-        "MXN %.2f reached an employee from a vendor whose orders this employee approved; payer and payee hold different accounts, both on record. "
-        "Rated probable: the records show the payments, not their reason.", "claimed_amount")
+    linked = F.format_string("Cited transfers link %d vendor-employee pair(s); in %d of them the paid employee also approved an order of the vendor.", "pairs", "confirmed")
+    text = F.concat_ws(" ", linked, F.format_string("The transfers in scope add up to MXN %.2f. Graded probable.", "claimed_amount"))
     return df.select(H, text.alias("narrative"))
 
 

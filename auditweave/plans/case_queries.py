@@ -260,6 +260,27 @@ def c10(given):
     return declined_leads(given)[0].withColumn("calls", F.array_join("calls", ","))
 
 
+@query("c10_reviewed_evidence", _CASE_SQL + """
+, lab AS (SELECT DISTINCT case_id, source_table || '.' || record_id AS label FROM evr),
+nth AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY label) AS i, count(*) OVER (PARTITION BY case_id) AS records FROM lab)
+SELECT case_id, 'reviewed ' || string_agg(label, ', ' ORDER BY i) || CASE WHEN records > 6 THEN ' (+' || (records - 6) || ' more)' ELSE '' END AS summary, records
+FROM nth WHERE i <= 6 GROUP BY case_id, records""")
+def c10r(given):
+    return cases.reviewed_evidence(_cases(given)[2]["evidence_refs"])
+
+
+@query("c10_closed_by", OBS_SQL + """
+, o AS (SELECT lead_id AS case_id, CASE lead_no % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'blocked' ELSE 'error' END AS status, lead_no % 5 = 0 AS declined,
+  CASE lead_no % 4 WHEN 0 THEN 'investigator_stop' WHEN 1 THEN 'review_blocked' WHEN 2 THEN 'budget' END AS stop_reason FROM leads)
+SELECT case_id, CASE WHEN status = 'error' THEN NULL WHEN declined THEN 'validator' WHEN stop_reason = 'review_blocked' THEN 'challenger' ELSE 'investigator' END AS closed_by FROM o""")
+def c10b(given):
+    n = F.col("lead_no")
+    outcomes = _leads(given)[1]["leads"].select(
+        F.col("lead_id").alias("case_id"), F.when(n % 3 == 0, "ready").when(n % 3 == 1, "blocked").otherwise("error").alias("status"), (n % 5 == 0).alias("gate_declined"),
+        F.when(n % 4 == 0, "investigator_stop").when(n % 4 == 1, "review_blocked").when(n % 4 == 2, "budget").alias("stop_reason"))
+    return cases.closed_by(outcomes).select("case_id", "closed_by")
+
+
 @query("c11_run_counters", OBS_SQL + """
 , st AS (SELECT CASE lead_no % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'blocked' ELSE 'error' END AS s FROM leads)
 SELECT 'observations' AS counter, (SELECT count(*) FROM obs) AS value UNION ALL SELECT 'leads', count(*) FROM leads UNION ALL SELECT 'processed', count(*) FROM st
