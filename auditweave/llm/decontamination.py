@@ -21,6 +21,7 @@ or semicolon and white space, a unit is a word of the list below after a number.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -84,7 +85,7 @@ def _tokens(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 #: Lengths of anchors, and the bits of the bitmap that marks them.
-ANCHORS, _BITS = (4, 3, 2, 1), 1 << 20
+ANCHORS, _BITS = (4, 3, 2, 1), 1 << 18
 
 
 def _anchor(words: Column, at: Column, length: int) -> Column:
@@ -124,6 +125,11 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -140,7 +146,7 @@ def _bit(bitmap: Column, slot: Column) -> Column:
 
 def _slots_of(anchor: Column) -> list[Column]:
     """Three places of the bitmap: three parts of the hash."""
-    return [F.shiftrightunsigned(anchor, 20 * i).bitwiseAND(F.lit(_BITS - 1)) for i in range(3)]
+    return [F.shiftrightunsigned(anchor, 18 * i).bitwiseAND(F.lit(_BITS - 1)) for i in range(3)]
 
 
 class Anchors:
@@ -154,38 +160,43 @@ class Anchors:
             F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"), F.collect_set("length").alias("lengths"))
         maps = [bytearray(_BITS // 8), bytearray(_BITS // 8)]
         self.lengths = []
-        # At most twice 32 rows of 4 KB, however large the benchmark is.
+        # At most twice 8 rows of 4 KB, however large the benchmark is.
         for r in blocks.collect():
             self.lengths = sorted({*self.lengths, *r["lengths"]})
             maps[r["map"]][r["block"] * 4096:r["block"] * 4096 + len(r["bits"])] = r["bits"]
         self.numeric = not anchors.where("length = 0").isEmpty()
         self._firsts, self._wholes = map(_constant, maps)
 
-    def begin(self, words: Column) -> Column:
+    def _begin(self, words: Column, firsts: Column, wholes: Column) -> Column:
         """For each place of an array of words whether an anchor may begin there; most places end at their two words."""
         def met(at: Column, first: int, lengths: list[int]) -> Column:
-            whole = _any([_all([_bit(self._wholes, s) for s in _slots_of(_anchor(words, at, k))]) for k in lengths])
-            return F.when(_bit(self._firsts, _slots_of(_anchor(words, at, first))[0]), whole).otherwise(F.lit(False))
+            whole = _any([_all([_bit(wholes, s) for s in _slots_of(_anchor(words, at, k))]) for k in lengths])
+            return F.when(_bit(firsts, _slots_of(_anchor(words, at, first))[0]), whole).otherwise(F.lit(False))
 
         longer = [k for k in self.lengths if k > 1]
         return F.transform(words, lambda word, at: _any([met(at, 2, longer)] * bool(longer) + [met(at, 1, [1])] * (1 in self.lengths)))
 
+    def _with_words(self, words: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of the places of ``words``; words and bitmaps stand in the plan once, and words are made once a row."""
+        return _let(self._firsts, lambda firsts: _let(self._wholes, lambda wholes: _let(words, lambda t: use(self._begin(t, firsts, wholes)))))
+
     def may_match(self, text: Column, width: int) -> Column:
-        """Whether a text can match a window; it is split into runs of letters only, once."""
-        words = F.split(F.lower(text), "[^\\p{L}\\p{M}]+")
-        # One pass over an array of one array, so that the words are made once and not for each use.
-        met = F.get(F.transform(F.array(words), lambda t: F.exists(self.begin(t), lambda hit: hit)), F.lit(0))
+        """Whether a text can match a window; it is split into runs of letters only."""
+        met = self._with_words(F.split(F.lower(text), "[^\\p{L}\\p{M}]+"), lambda begin: F.exists(begin, lambda hit: hit))
         out = met | text.contains(_NAME_MARK) | text.contains(_CAPITAL_MARK)
         return out | text.rlike(f"(?:\\p{{Nd}}[^\\p{{L}}\\p{{Nd}}]*+){{{width}}}") if self.numeric else out
 
     def starts(self, width: int) -> Column:
         """Places of windows of ``width`` tokens that hold an anchor, of an array ``__plain``."""
         last = F.size("__plain") - width
-        held = [F.filter(F.transform(self.begin(F.col("__plain")), lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())]
+
+        def places(hits: Column) -> Column:
+            return F.filter(F.transform(hits, lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())
+
+        held = self._with_words(F.col("__plain"), places)
         if self.numeric:
-            numbers = F.transform("__plain", lambda t, i: F.when(F.forall(F.slice("__plain", i + 1, width), lambda x: x.rlike("^\\p{Nd}")), i))
-            held.append(F.filter(numbers, lambda i: i.isNotNull()))
-        held = F.concat(*held, F.array().cast("array<int>"))
+            numbers = F.transform("__plain", lambda t, i: F.forall(F.slice("__plain", i + 1, width), lambda x: x.rlike("^\\p{Nd}")))
+            held = F.concat(held, places(numbers))
         near = F.flatten(F.transform(held, lambda i: F.sequence(F.greatest(i - width + 1, F.lit(0)), F.least(i, last))))
         return F.when(last >= 0, F.array_distinct(near)).otherwise(F.array().cast("array<int>"))
 
