@@ -164,7 +164,7 @@ def test_clusters_of_one_hot_pair_have_the_median_of_all_their_invoices(spark):
 
     rng = random.Random(8)
     rows = [(f"u{i:05d}", "V", "C", f"2024-01-{1 + i % 8:02d}", 100.0 + rng.randrange(200) / 100) for i in range(20_000)]
-    rows += [(f"w{i}", "V", "C", f"2024-03-{i + 1:02d}", 50.0 + i) for i in range(4)]
+    rows += [(f"w{i}", "V", "C", f"2024-03-{i + 1:02d}", 50.0 + 9 * i) for i in range(4)]
     base = Given(spark, "/root/testdata/sf0.001").estate
     estate = replace(base, invoices=spark.createDataFrame(rows, "uuid string, issuer_rfc string, receiver_rfc string, issue_date string, total double"))
     clusters, members = detectors.similar_invoice_cluster(estate, max_spread=0.05)
