@@ -168,8 +168,13 @@ def test_rows_without_an_id_are_told_apart_by_their_whole_texts(spark):
 
     passage = " ".join(f"w{i}" for i in range(40))
     plain = " ".join(f"v{i}" for i in range(40))
-    of = {zlib.crc32(f"{passage} a{i}".encode()): f"{passage} a{i}" for i in range(200_000)}
-    twin = next(t for t in (f"{plain} b{i}" for i in range(10**7)) if zlib.crc32(t.encode()) in of)
+    rng = random.Random(1)
+
+    def word():
+        return "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6))
+
+    of = {zlib.crc32(t.encode()): t for t in (f"{passage} {word()}" for _ in range(150_000))}
+    twin = next(t for t in (f"{plain} {word()}" for _ in range(10**6)) if zlib.crc32(t.encode()) in of)
     rows = [(None, of[zlib.crc32(twin.encode())]), (None, twin), (1, f"x {passage} y")]
     got = substring_dedup.removal_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(r["n_removed"] for r in got) == [0, 40, 40]
