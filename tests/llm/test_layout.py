@@ -9,7 +9,7 @@ import corpus_pipeline
 from helpers import awkward, empty
 from pyspark.sql import functions as F
 
-from auditweave.llm import chat_format, mixing, sharding, url_filter
+from auditweave.llm import chat_format, mixing, registered, sharding, url_filter
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
@@ -57,6 +57,37 @@ def test_every_assistant_turn_is_an_example_after_its_prefix(spark):
         assert whole[e["conv_id"]].startswith(e["context"] + e["target"]) and e["context"].endswith("assistant\n")
 
 
+def test_conversations_are_read_back_from_whole_examples(spark):
+    rows, df = conversations(spark)
+    segments = chat_format.format_conversations(df)
+    want = {r[0]: tuple(r)[1:5] for r in chat_format.read_back(segments).collect()}
+    said = {(r["conv_id"], r["example"]): r["context"] + r["target"] + "<|im_end|>\n" for r in chat_format.materialise(segments).collect()}
+    for piece_chars in (1 << 20, 700):
+        expanded = chat_format.expand(segments, piece_chars=piece_chars)
+        whole, loss = defaultdict(str), {}
+        for r in expanded.orderBy("conv_id", "example", "piece").collect():
+            key = r["conv_id"], r["example"]
+            assert key not in loss
+            whole[key] += r["text"]
+            if r["loss_start"] is not None:
+                loss[key] = r["text"][r["loss_start"]:r["loss_end"]]
+        assert {k: whole[k] for k in loss} == said and all(whole[k].endswith(v + "<|im_end|>\n") for k, v in loss.items())
+        back = {r[0]: r for r in chat_format.read_examples(expanded).collect()}
+        assert {k: tuple(r)[1:5] for k, r in back.items()} == want
+        assert all(back[c]["formatted_chars"] == sum(len(t) for k, t in whole.items() if k[0] == c) for c in want)
+        assert sum(r["n_examples"] for r in back.values()) == len(loss) == sum(r[2] == "assistant" for r in rows)
+    assert chat_format.read_examples(chat_format.expand(segments.where("false"))).count() == 0
+
+
+def test_the_query_of_op7_writes_every_prefix(spark, tmp_path):
+    _, df = conversations(spark)
+    df.select("conv_id", "turn", "role", "text").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r["formatted_chars"] for r in registered.QUERIES["op7_chat_formatting"](spark, str(tmp_path)).collect()}
+    segments = chat_format.format_conversations(df)
+    once = {r["conv_id"]: r["formatted_chars"] for r in chat_format.read_back(segments).collect()}
+    assert got[7] > 25 * once[7] and got[2] == once[2]
+
+
 def test_shards_follow_the_law_and_the_mixture(spark):
     rows = [(i, f"text {i}" * (i % 7), "en", "hot" if i % 3 == 0 else f"s{i % 11}", 1) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
