@@ -34,8 +34,6 @@ from auditweave.session import durable, send_with_tasks, work_folder
 
 MAX_INTEGER = 2**31 - 1
 SCALE = 1_000_000_000
-#: Different terms are counted on this share of the hash space.
-_SAMPLED = 64
 #: Each byte as the term's byte, in lower case, or a space where no term goes on.
 _TERM = np.full(256, 0x20, np.uint8)
 _TERM[0x80:] = np.arange(0x80, 256)
@@ -59,15 +57,18 @@ def _rows_of_words(texts: Texts) -> np.ndarray:
     return np.repeat(np.arange(len(texts)), np.diff(texts.word_bounds))
 
 
-def _sampled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, term``: hashes of different terms in a fixed part of the hash space."""
+def _different_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, term``: hashes of the different terms of each batch."""
     for batch in batches:
+        seen: dict[str, list[np.ndarray]] = {}
         for rows, texts in _pieces(batch):
-            few = texts.hashes < np.uint64((1 << 64) // _SAMPLED)
             codes = rows.column("lang").dictionary_encode()
-            lang = codes.indices.to_numpy()[_rows_of_words(texts)[few]].astype(np.uint64)
-            found = np.unique(np.stack([lang, texts.hashes[few]]), axis=1)
-            yield pa.record_batch({"lang": codes.dictionary.take(pa.array(found[0].astype(np.int64))), "term": pa.array(found[1].view(np.int64))})
+            lang = codes.indices.to_numpy()[_rows_of_words(texts)]
+            for code, name in enumerate(codes.dictionary.to_pylist()):
+                seen.setdefault(name, []).append(np.unique(texts.hashes[lang == code]))
+        for name, parts in seen.items():
+            terms = np.unique(np.concatenate(parts)).view(np.int64)
+            yield pa.record_batch({"lang": pa.array([name] * len(terms), pa.string()), "term": pa.array(terms)})
 
 
 def _joined(texts: Texts, words: np.ndarray, group: np.ndarray, groups: int) -> pa.Array:
@@ -119,10 +120,36 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _slices(named: DataFrame, slice_terms: int) -> dict[str, int]:
-    """Slices per language: languages are few, one number each comes to the driver."""
-    seen = named.select("lang", "text").mapInArrow(_sampled_terms, "lang string, term bigint")
-    counted = seen.groupBy("lang").agg(F.approx_count_distinct("term").alias("n")).collect()
-    return {r["lang"]: 1 + int(r["n"]) * _SAMPLED // slice_terms for r in counted}
+    """Slices per language, by how many different terms all its texts have: languages are few, one number each comes to the driver."""
+    seen = named.select("lang", "text").mapInArrow(_different_terms, "lang string, term bigint").distinct()
+    counted = seen.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    return {r["lang"]: 1 + int(r["n"]) // slice_terms for r in counted}
+
+
+def _summed_entries(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """``group, term_no, n``: the entries of the sparse vectors, a group's summed batch by batch."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def summed() -> pa.RecordBatch:
+        group, term, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        groups, code = np.unique(group, return_inverse=True)
+        key = (code.astype(np.int64) << 32) | term
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+        n = np.add.reduceat(n[order], new) if len(key) else n
+        return pa.record_batch({"group": pa.array(groups[key[new] >> 32]), "term_no": pa.array((key[new] & 0xFFFFFFFF).astype(np.int32)), "n": pa.array(n)})
+
+    for batch in batches:
+        indices, values = batch.column("indices"), batch.column("values")
+        sizes = indices.value_lengths().to_numpy()
+        held.append((np.repeat(batch.column("group").to_numpy(), sizes), indices.flatten().to_numpy().astype(np.int64),
+                     values.flatten().to_numpy().astype(np.int64)))
+        if sum(len(h[0]) for h in held) >= size:
+            yield summed()
+    if held:
+        yield summed()
 
 
 def group_counts(docs: DataFrame, groups: DataFrame, min_df: int, slice_terms: int, broadcast_groups: int) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +168,9 @@ def group_counts(docs: DataFrame, groups: DataFrame, min_df: int, slice_terms: i
     # Some four keys fall to each partition, so a fit of any size is spread, and each file holds a part of one fit.
     salts = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(len(fits), 1))
     fit = (F.array_position(names, F.concat_ws(" ", "slice", "lang")) - 1).cast("int").alias("fit")
-    dealt = cut.select("source", "terms", "again", fit).repartition("fit", F.pmod(F.xxhash64("source", "terms"), F.lit(salts)))
+    # A source keeps to an eighth of them, so that few groups meet in a task and its sums are few.
+    salt = F.pmod(F.xxhash64("source") + F.pmod(F.xxhash64("terms"), F.lit(max(1, salts // 8))), F.lit(salts))
+    dealt = cut.select("source", "terms", "again", fit).repartition("fit", salt)
     dealt.write.partitionBy("fit").parquet(f"{folder}/terms")
 
     sums, terms = [], []
@@ -164,9 +193,8 @@ def group_counts(docs: DataFrame, groups: DataFrame, min_df: int, slice_terms: i
         vector = F.unwrap_udt("vector")
         counted = model.transform(rows.select("source", _split(F.concat("terms", "again")))).select("source", vector.alias("vector"))
         named = _with_group(counted, groups.where(F.col("lang") == lang).select("source", "group"), "source", F.xxhash64("vector.indices"), broadcast_groups)
-        entries = named.select("group", "vector", F.posexplode("vector.indices").alias("at", "term_no")).select(
-            "group", "term_no", F.get("vector.values", F.col("at")).alias("n"))
-        summed = entries.groupBy("group", "term_no").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
+        entries = small_batches(named).select("group", "vector.indices", "vector.values").mapInArrow(_summed_entries, "group bigint, term_no int, n bigint")
+        summed = entries.groupBy("group", "term_no").agg(F.sum("n").alias("n"))
         sums.append(_written(summed.select(here[0], "group", "term_no", "n"), f"{folder}/sums-{number}"))
     return (_read(spark, "fit int, group bigint, term_no int, n bigint", sums),
             _read(spark, "fit int, lang string, term_no int, term string", terms))

@@ -191,3 +191,10 @@ def test_divergence_equals_brute_force(spark, slice_terms, top, limit):
     got = [tuple(r) for r in dv.divergence(df, slice_terms=slice_terms, top=top, broadcast_groups=limit).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_divergence(rows, top=top)
     assert dv.divergence(empty(spark)).count() == 0
+
+
+def test_slices_are_chosen_by_all_terms(spark):
+    rows = [("en", " ".join(f"{chr(97 + i)}{chr(97 + j)}" for j in range(26))) for i in range(25)] + [("en", "aa ab AA"), ("de", "ein Haus"), ("", "")]
+    named = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    dv.send_with_tasks("auditweave.llm.divergence")
+    assert dv._slices(named, 100) == {"en": 7, "de": 1} and dv._slices(named, 1) == {"en": 651, "de": 3}
