@@ -196,16 +196,38 @@ class Model:
     def __init__(self, families: list[str], weights: dict[int, list[float]], biases: list[float], slope: float, shift: float, words: dict[int, list[str]]):
         self.families, self.weights, self.biases, self.slope, self.shift, self.words = families, weights, biases, slope, shift, words
 
-    def needed(self, sure: float) -> list[str] | None:
-        """Words of which a paragraph holds at least one if it is a notice with probability ``sure``; None where any may be.
+    def gains(self, sure: float) -> tuple[dict[str, list[float]], list[float]] | None:
+        """What an n-gram adds to each family over unknown, where it adds any, and what each family lacks to reach ``sure``.
 
-        Its best family can only gain on unknown by an n-gram that weighs more for that family; of each
-        such n-gram the longest word is taken.
+        N-grams are words with a space between. None where a paragraph with none of them may be a notice.
         """
-        start = (max(self.biases[:-1]) - self.biases[-1]) * self.slope + self.shift
-        if self.slope <= 0 or 1 / (1 + math.exp(-start)) >= sure:
+        if self.slope <= 0 or not 0 < sure < 1:
             return None
-        return sorted({max(self.words[g], key=lambda w: (len(w), w)) for g, row in self.weights.items() if max(row[:-1]) > row[-1]})
+        edge = (math.log(sure / (1 - sure)) - self.shift) / self.slope
+        lacking = [(edge - bias + self.biases[-1]) * (1 - 1e-6) for bias in self.biases[:-1]]
+        if min(lacking) <= 0:
+            return None
+        added = {" ".join(self.words[gram]): [max(0.0, x - row[-1]) for x in row[:-1]] for gram, row in self.weights.items()}
+        return {gram: g for gram, g in added.items() if any(g)}, lacking
+
+
+def may_be_notice(text: Column, gains: tuple[dict[str, list[float]], list[float]] | None) -> Column:
+    """False only where no part of ``text`` has n-grams that raise a family far enough; see :meth:`Model.gains`."""
+    if gains is None:
+        return F.lit(True)
+    added, lacking = gains
+    grams = sorted(added)
+    words = sorted({w for gram in grams for w in gram.split(" ")})
+    by_gram = F.create_map(*(x for gram in grams for x in (F.lit(gram), F.array(*(F.lit(g) for g in added[gram])))))
+    known, start = F.array(*(F.lit(gram) for gram in grams)), F.array(*(F.lit(-x) for x in lacking))
+
+    def reached(weighing: Column) -> Column:
+        pairs = F.zip_with(weighing, F.slice(weighing, 2, F.greatest(F.size(weighing), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        met = F.array_intersect(F.array_compact(F.concat(weighing, pairs)), known)
+        return F.exists(F.aggregate(met, start, lambda sums, gram: F.zip_with(sums, F.element_at(by_gram, gram), lambda x, y: x + y)), lambda x: x >= 0)
+
+    # An array of one, so that the words, which are named four times, are made once.
+    return F.exists(F.array(F.transform(F.split(F.lower(text), _APART), lambda w: F.when(w.isin(words), w))), reached)
 
 
 def train(docs: DataFrame, max_unknown: int = 4_000) -> Model:
@@ -272,7 +294,7 @@ def scan(docs: DataFrame, max_unknown: int = 4_000, sure: float = 0.5, similarit
     with the paragraph, else ``unknown``; template and similarity are those of the nearest template of
     that family. A notice wrapped over lines is found in its block: consecutive lines that are not blank, joined.
     Blocks have the number of their first line, ``lines`` > 1, and a row only if a template confirms them and
-    no line of theirs is confirmed as the same family.
+    no line of theirs is confirmed as the same family with as much of a template.
 
     ``docs``: doc_id, text; more columns are ignored. NULL or empty text: no row. NULL ids and repeated
     rows: rows with equal doc_id and text answer once. Empty table: no row.
@@ -293,11 +315,11 @@ def scan(docs: DataFrame, max_unknown: int = 4_000, sure: float = 0.5, similarit
     schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("weights", T.ArrayType(T.DoubleType())),
                            T.StructField("templates", T.ArrayType(T.IntegerType()))])
     terms = spark.createDataFrame(rows, schema)
-    needed = model.needed(sure)
-    if needed is not None:
-        # Few texts hold such a word; the others give no row, as lines or as blocks, and go no further.
-        docs = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(F.lower(text_or_empty()), _APART), F.array(*(F.lit(w) for w in needed))))
+    gains = model.gains(sure)
+    # Few texts, and few of their lines, hold such n-grams; the others give no row, as lines or as blocks, and go no further.
+    docs = durable(docs.select("doc_id", "text").where(may_be_notice(text_or_empty(), gains)))
     lines = paragraphs(docs).withColumn("lines", F.lit(1)).unionByName(blocks(docs, sorted(of_template)))
+    lines = lines.where(may_be_notice(F.col("line"), gains))
     lines = lines.withColumn("copy", F.xxhash64("line"))
     words = lines.withColumn("__words", _words(F.col("line"))).drop("line")
     grams = words.select("doc_id", "mark", "paragraph", "lines", "copy", F.explode(
@@ -321,8 +343,8 @@ def scan(docs: DataFrame, max_unknown: int = 4_000, sure: float = 0.5, similarit
     rows = durable(rows)
     own = rows.where("lines = 1")
     confirmed = own.where(F.col("family") != UNKNOWN).select(
-        F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("family").alias("__family"), F.col("paragraph").alias("__line"))
-    inside = (F.col("__line") >= F.col("paragraph")) & (F.col("__line") < F.col("paragraph") + F.col("lines"))
+        F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), F.col("family").alias("__family"), F.col("paragraph").alias("__line"), F.col("similarity").alias("__similar"))
+    inside = (F.col("__line") >= F.col("paragraph")) & (F.col("__line") < F.col("paragraph") + F.col("lines")) & (F.col("__similar") >= F.col("similarity"))
     wrapped = rows.where((F.col("lines") > 1) & (F.col("family") != UNKNOWN)).join(
         confirmed, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")) & (F.col("family") == F.col("__family")) & inside, "left_anti")
     return own.unionByName(wrapped).drop("mark")

@@ -71,3 +71,14 @@ def test_recall_and_precision_per_family(spark):
     assert all(right[f] >= 0.9 * n for f, n in asked.items()), {f: (right[f], n) for f, n in asked.items()}
     assert all(right[f] >= 0.9 * n for f, n in told.items()), {f: (right[f], n) for f, n in told.items()}
     assert "gpl" not in found[[f for f, _ in KEPT_OUT].index("agpl")]
+
+
+def test_only_texts_that_can_reach_a_family_go_on(spark):
+    words = {1: ["mit"], 2: ["the", "mit"], 3: ["mit", "license"], 4: ["weather"]}
+    model = license_scan.Model(["mit", "unknown"], {1: [1.0, 0.0], 2: [2.0, 0.0], 3: [3.0, -1.0], 4: [0.0, 5.0]}, [-5.0, 0.0], 1.0, 0.0, words)
+    texts = ["the MIT, license", "The mit; a license", "mit license", "mit\nLicense weather", "license the mit", "", "nothing", "(mit) the license mit"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    gains = model.gains(0.5)
+    got = [r[0] for r in df.select(license_scan.may_be_notice(df.text, gains)).collect()]
+    assert got == [True, False, True, True, False, False, False, False] and gains[0].keys() == {"mit", "the mit", "mit license"}
+    assert license_scan.Model(["mit", "unknown"], {}, [1.0, 0.0], 1.0, 0.0, {}).gains(0.5) is None
