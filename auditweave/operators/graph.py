@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -231,8 +232,22 @@ def _zero(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
     return [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]
 
 
-def account_features(estate: Estate) -> DataFrame:
-    bank = _account_bank(transfer_edges(estate.bank_txns))
+@dataclass(frozen=True)
+class Shared:
+    """What the features of several node types read: all nodes, totals per account and peers per account."""
+
+    nodes: DataFrame
+    bank: DataFrame
+    peers: DataFrame
+
+
+def shared_parts(estate: Estate) -> Shared:
+    edges = transfer_edges(estate.bank_txns)
+    return Shared(graph_nodes(estate), _account_bank(edges), _counterparties(edges, estate))
+
+
+def account_features(estate: Estate, shared: Shared | None = None) -> DataFrame:
+    bank = (shared or shared_parts(estate)).bank
     owners = ownership_edges(estate).where("relation = 'owns'").groupBy(F.col("dst").alias("account")).agg(
         F.count(F.when(F.col("src_type") == "vendor", 1)).alias("vendor_owner_count"),
         F.count(F.when(F.col("src_type") == "employee", 1)).alias("employee_owner_count"),
@@ -243,20 +258,20 @@ def account_features(estate: Estate) -> DataFrame:
     return rows.select(F.col("account").alias("entity_id"), *_zero(rows, ACCOUNT_FEATURES))
 
 
-def _owner_bank(estate: Estate, frame: DataFrame, key: str) -> DataFrame:
+def _owner_bank(shared: Shared, frame: DataFrame, key: str) -> DataFrame:
     """Bank totals and counterparties of each owner's account."""
-    edges = transfer_edges(estate.bank_txns)
     owners = frame.select(clean_text(key).alias("entity_id"), clean_text("bank_clabe").alias("account")).dropna()
     owners = owners.groupBy("entity_id").agg(F.min("account").alias("account"))
-    bank = _account_bank(edges).select(
+    bank = shared.bank.select(
         "account", F.col("total_in").alias("bank_total_in"), F.col("total_out").alias("bank_total_out"),
         F.col("count_in").alias("bank_txn_count_in"), F.col("count_out").alias("bank_txn_count_out"),
     )
-    return owners.join(bank, "account", "left").join(_counterparties(edges, estate), "account", "left").drop("account")
+    return owners.join(bank, "account", "left").join(shared.peers, "account", "left").drop("account")
 
 
-def vendor_features(estate: Estate) -> DataFrame:
-    nodes = graph_nodes(estate).where("node_type = 'vendor'").select("entity_id")
+def vendor_features(estate: Estate, shared: Shared | None = None) -> DataFrame:
+    shared = shared or shared_parts(estate)
+    nodes = shared.nodes.where("node_type = 'vendor'").select("entity_id")
     total, day = to_number("total"), to_date("issue_date")
     inv = estate.invoices.groupBy(clean_text("issuer_rfc").alias("entity_id")).agg(
         F.count(total).alias("invoice_count"), sum_money(total).alias("invoice_total"),
@@ -283,22 +298,26 @@ def vendor_features(estate: Estate) -> DataFrame:
     registered = estate.vendors.select(clean_text("rfc").alias("entity_id")).distinct().withColumn("registered_vendor", F.lit(1))
     listed = estate.efos_list.select(clean_text("rfc").alias("entity_id")).distinct().withColumn("efos_match", F.lit(1))
     rows = nodes
-    for part in (registered, inv, po, con, led, listed, _owner_bank(estate, estate.vendors, "rfc")):
+    for part in (registered, inv, po, con, led, listed, _owner_bank(shared, estate.vendors, "rfc")):
         rows = rows.join(part, "entity_id", "left")
     return rows.select("entity_id", *_zero(rows, VENDOR_FEATURES))
 
 
-def employee_features(estate: Estate) -> DataFrame:
-    nodes = graph_nodes(estate).where("node_type = 'employee'").select("entity_id")
-    rows = nodes.join(_owner_bank(estate, estate.employees, "emp_id"), "entity_id", "left")
+def employee_features(estate: Estate, shared: Shared | None = None) -> DataFrame:
+    shared = shared or shared_parts(estate)
+    nodes = shared.nodes.where("node_type = 'employee'").select("entity_id")
+    rows = nodes.join(_owner_bank(shared, estate.employees, "emp_id"), "entity_id", "left")
     return rows.select("entity_id", *_zero(rows, EMPLOYEE_FEATURES))
 
 
 def node_features(estate: Estate) -> dict[str, DataFrame]:
+    """The features of all three node types; what they share is worked out once and written."""
+    made = shared_parts(estate)
+    shared = Shared(durable(made.nodes), durable(made.bank), durable(made.peers))
     return {
-        "vendor": vendor_features(estate),
-        "employee": employee_features(estate),
-        "account": account_features(estate),
+        "vendor": vendor_features(estate, shared),
+        "employee": employee_features(estate, shared),
+        "account": account_features(estate, shared),
     }
 
 
@@ -317,7 +336,8 @@ def robust_peer_scale(values: DataFrame) -> DataFrame:
     ``values`` is the long form. Flags stay 0 or 1 and a constant column maps to 0.
     """
     raw = F.coalesce(to_number("raw_value"), F.lit(0.0))
-    logged = values.withColumn("raw_value", raw).withColumn("logged", F.round(F.signum(raw) * F.log1p(F.abs(raw)), 9))
+    # Read for the quantiles and for the rows, so the features are worked out once and written.
+    logged = durable(values.withColumn("raw_value", raw).withColumn("logged", F.round(F.signum(raw) * F.log1p(F.abs(raw)), 9)))
     peers = exact_quantiles(
         logged.where(~F.col("feature").isin(*BINARY_FEATURES)), ["node_type", "feature"], "logged", [0.25, 0.5, 0.75]
     )

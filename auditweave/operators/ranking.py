@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
@@ -16,11 +19,12 @@ from auditweave.functions.clean import clean_text, observation_id
 from auditweave.operators import graph
 from auditweave.operators.observations import Observations, make_heads
 from auditweave.operators.ordering import positions, running_total, top_rows
-from auditweave.session import durable
+from auditweave.session import durable, forget
 from auditweave.sources.estate import Estate
 
 # Fixed values.
 MIN_PEERS, MIN_MEDIAN, MAX_IQR, TOP_PER_TYPE, EVIDENCE_LIMIT, TOP_FEATURES, FOLDS = 5, 0.85, 0.25, 3, 12, 5, 5
+AT_ONCE = 4
 RIDGE = 1e-3
 NODE = ["node_type", "entity_id"]
 EDGE_ATTRIBUTES = ("transfer_count", "total_amount", "mean_amount", "max_abs_amount", "span_days")
@@ -133,48 +137,60 @@ def edge_holdout(arcs: DataFrame, rate: float, seed: int) -> DataFrame:
 
 def negative_edges(nodes: DataFrame, arcs: DataFrame, count: int, seed: int) -> DataFrame:
     """``count`` seeded pairs (src, dst) that are no arcs, or all such pairs where there are fewer."""
+    return negative_edge_sets(nodes, arcs, count, [seed]).select("src", "dst")
+
+
+def negative_edge_sets(nodes: DataFrame, arcs: DataFrame, count: int, seeds: Sequence[int]) -> DataFrame:
+    """(draw_seed, src, dst): the ``negative_edges`` of each of the different ``seeds``, drawn in one pass."""
     indexed = durable(positions(nodes.select("account"), [], ["account"], "n"))
     size = indexed.count()
     if size < 2 or count < 1:
-        return arcs.select("src", "dst").limit(0)
+        return arcs.select(F.lit(0).cast("bigint").alias("draw_seed"), "src", "dst").limit(0)
     known = durable(arcs.select("src", "dst").where("src <> dst").distinct())
     count = min(count, size * (size - 1) - known.count())
-    rounds = 3
-    while True:
-        fresh = durable(_free_pairs(indexed, known, size, count * rounds, seed))
-        if fresh.count() >= count:
-            return positions(fresh, [], ["draw"], "n").where(F.col("n") <= count).select("src", "dst")
+    rounds, short, parts = 3, list(seeds), []
+    while short:
+        fresh = durable(_free_pairs(indexed, known, size, count * rounds, short))
+        found = {r.draw_seed: r.pairs for r in fresh.groupBy("draw_seed").agg(F.count(F.lit(1)).alias("pairs")).collect()}
+        full = [s for s in short if found.get(s, 0) >= count]
+        if full:
+            numbered = positions(fresh.where(F.col("draw_seed").isin(full)), ["draw_seed"], ["draw"], "n")
+            parts.append(numbered.where(F.col("n") <= count).select("draw_seed", "src", "dst"))
+        short = [s for s in short if s not in full]
         rounds *= 2
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _free_pairs(indexed: DataFrame, known: DataFrame, size: int, draws: int, seeds: Sequence[int]) -> DataFrame:
+    """Per seed the different pairs among its first ``draws`` draws that are no arcs, with the draw that named them."""
 
+    def end(seed: int, side: str) -> Column:
+        return (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(side)), F.lit(size)) + 1).alias(side)
 
-def _free_pairs(indexed: DataFrame, known: DataFrame, size: int, draws: int, seed: int) -> DataFrame:
-    """Different pairs among the first ``draws`` seeded draws that are no arcs, with the draw that named them."""
-    draws = known.sparkSession.range(draws).select(
-        F.col("id").alias("draw"),
-        (F.pmod(F.xxhash64("id", F.lit(seed), F.lit("a")), F.lit(size)) + 1).alias("a"),
-        (F.pmod(F.xxhash64("id", F.lit(seed), F.lit("b")), F.lit(size)) + 1).alias("b")).where("a <> b")
+    drawn = [F.struct(F.lit(s).cast("bigint").alias("draw_seed"), end(s, "a"), end(s, "b")) for s in seeds]
+    draws = known.sparkSession.range(draws).select(F.col("id").alias("draw"), F.inline(F.array(*drawn))).where("a <> b")
     pairs = draws.join(indexed.select(F.col("n").alias("a"), F.col("account").alias("src")), "a").join(
         indexed.select(F.col("n").alias("b"), F.col("account").alias("dst")), "b")
-    return pairs.groupBy("src", "dst").agg(F.min("draw").alias("draw")).join(known, ["src", "dst"], "left_anti")
+    return pairs.groupBy("draw_seed", "src", "dst").agg(F.min("draw").alias("draw")).join(known, ["src", "dst"], "left_anti")
 
 
-def fold_means(values: DataFrame, edges: DataFrame, names: list[str], folds: int) -> DataFrame:
+def fold_means(values: DataFrame, edges: DataFrame, names: list[str], folds: int, by: Sequence[str] = ()) -> DataFrame:
     """(entity_id, without, g0, g1, ...): means over the sources of an account's arcs, each fold left out in turn.
 
     ``values`` are features of accounts in long form, ``edges`` (src, dst, fold). Sums and counts per
     (account, fold) are made in one pass; the mean without a fold is all minus that fold. A feature that no
-    source has is 0, as in a wide table of means.
+    source has is 0, as in a wide table of means. ``by`` names columns of ``edges`` that keep sets of arcs apart.
     """
     sent = values.where(F.col("feature").isin(names)).select(F.col("entity_id").alias("src"), "feature", "value")
     sent = sent.groupBy("src").agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"v{i}") for i, f in enumerate(names)])
     width = range(len(names))
-    sums = durable(edges.join(sent, "src").groupBy(F.col("dst").alias("entity_id"), "fold").agg(
+    sums = durable(edges.join(sent, "src").groupBy(*by, F.col("dst").alias("entity_id"), "fold").agg(
         *[F.coalesce(F.sum(f"v{i}"), F.lit(0.0)).alias(f"s{i}") for i in width], *[F.count(f"v{i}").alias(f"n{i}") for i in width]))
-    total = sums.groupBy("entity_id").agg(*[F.sum(f"s{i}").alias(f"ts{i}") for i in width], *[F.sum(f"n{i}").alias(f"tn{i}") for i in width])
+    total = sums.groupBy(*by, "entity_id").agg(*[F.sum(f"s{i}").alias(f"ts{i}") for i in width], *[F.sum(f"n{i}").alias(f"tn{i}") for i in width])
     turns = total.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)).cast("array<bigint>")))
-    left = turns.join(sums.withColumn("fold", F.col("fold").cast("bigint")), ["entity_id", "fold"], "left").na.fill(0.0).na.fill(0)
+    left = turns.join(sums.withColumn("fold", F.col("fold").cast("bigint")), [*by, "entity_id", "fold"], "left").na.fill(0.0).na.fill(0)
     means = [F.when(F.col(f"tn{i}") > F.col(f"n{i}"), (F.col(f"ts{i}") - F.col(f"s{i}")) / (F.col(f"tn{i}") - F.col(f"n{i}"))).otherwise(0.0).alias(f"g{i}") for i in width]
-    return left.select("entity_id", F.col("fold").alias("without"), *means)
+    return left.select(*by, "entity_id", F.col("fold").alias("without"), *means)
 
 
 def edge_surprise(values: DataFrame, arcs: DataFrame, seed: int = 11, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
@@ -182,43 +198,68 @@ def edge_surprise(values: DataFrame, arcs: DataFrame, seed: int = 11, folds: int
 
     ``values`` holds scaled account features. Accounts without an arc have no row.
     """
-    arcs = arcs.select("src", "dst").distinct()
-    ordered = durable(positions(arcs.withColumn("h", _fraction("src", "dst", F.lit(str(seed)))), [], ["h", "src", "dst"], "n"))
-    total = ordered.count()
+    accounts, scored = edge_surprises(values, arcs, (seed,), folds)
+    return accounts.drop("seed"), scored.drop("seed")
+
+
+def edge_surprises(values: DataFrame, arcs: DataFrame, seeds: Sequence[int], folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
+    """``edge_surprise`` for every seed, with the seed as a column.
+
+    Folds, means, drawn pairs and vectors of all seeds and folds are made together, so the number of jobs
+    does not grow with them; only the models are fitted one by one, several at a time.
+    """
+    arcs = durable(arcs.select("src", "dst").distinct())
+    total = arcs.count()
     k = min(folds, total)
+    if not k:
+        no_seed = F.lit(seeds[0]).alias("seed")
+        empty = arcs.select(no_seed, F.col("src").alias("entity_id"), F.lit(0.0).alias("edge_value")).limit(0)
+        return empty, arcs.select("src", "dst", F.lit(0.0).alias("surprise"), F.lit(0).alias("fold"), no_seed).limit(0)
+    drawn = F.array(*[F.struct(F.lit(s).alias("seed"), _fraction("src", "dst", F.lit(str(s))).alias("h")) for s in seeds])
+    ordered = durable(positions(arcs.select("src", "dst", F.inline(drawn)), ["seed"], ["h", "src", "dst"], "n"))
     names = list(graph.ACCOUNT_FEATURES)
-    own = durable(_wide(values.where("node_type = 'account'"), names))
-    edges = ordered.select("src", "dst", ((F.col("n") - 1) % max(k, 1)).alias("fold"))
-    nodes = own.select(F.col("entity_id").alias("account"))
+    mine = values.where("node_type = 'account'")
+    own = durable(_wide(mine, names))
+    edges = ordered.select("seed", "src", "dst", ((F.col("n") - 1) % k).cast("int").alias("fold"))
     width = len(names)
-    around_all = durable(fold_means(values.where("node_type = 'account'"), edges, names, max(k, 1)))
-
-    def features(pairs: DataFrame, around: DataFrame) -> DataFrame:
-        both = own.join(around, "entity_id", "left").na.fill(0.0)
-        columns = [f"f{i}" for i in range(width)] + [f"g{i}" for i in range(width)]
-        left = both.select(F.col("entity_id").alias("src"), *[F.col(c).alias(f"s_{c}") for c in columns])
-        right = both.select(F.col("entity_id").alias("dst"), *[F.col(c).alias(f"d_{c}") for c in columns])
-        joined = pairs.join(left, "src").join(right, "dst")
-        made = joined.select(*pairs.columns, *[(F.col(f"s_{c}") * F.col(f"d_{c}")).alias(f"p_{c}") for c in columns])
-        return VectorAssembler(inputCols=[f"p_{c}" for c in columns], outputCol="v").transform(made).select(*pairs.columns, "v")
-
-    scored = []
-    for fold in range(k):
-        held = edges.where(F.col("fold") == fold).select("src", "dst")
-        seen = edges.where(F.col("fold") != fold)
-        around = around_all.where(F.col("without") == fold).drop("without")
-        positive = (seen if k > 1 else edges).select("src", "dst").withColumn("label", F.lit(1.0))
-        negative = negative_edges(nodes, arcs, max(total - total // max(k, 1), 1), seed + fold).withColumn("label", F.lit(0.0))
-        train = durable(features(positive.unionByName(negative), around))
-        model = LogisticRegression(featuresCol="v", labelCol="label", maxIter=10, regParam=0.1).fit(train)
-        told = model.transform(features(held, around)).select("src", "dst", vector_to_array("probability")[1].alias("p"))
-        scored.append(durable(told.select("src", "dst", (-F.log(F.greatest("p", F.lit(1e-9)))).alias("surprise"), F.lit(fold).alias("fold"))))
-    if not scored:
-        empty = arcs.select(F.col("src").alias("entity_id"), F.lit(0.0).alias("edge_value")).limit(0)
-        return empty, arcs.withColumn("surprise", F.lit(0.0)).withColumn("fold", F.lit(0)).limit(0)
-    all_scored = reduce(DataFrame.unionByName, scored)
-    ends = all_scored.select(F.explode(F.array("src", "dst")).alias("entity_id"), "surprise")
-    return ends.groupBy("entity_id").agg(F.avg("surprise").alias("edge_value")), all_scored
+    model = ["seed", "without"]
+    around = fold_means(mine, edges, names, k, ["seed"]).withColumn("without", F.col("without").cast("int"))
+    turns = [(s, fold) for s in seeds for fold in range(k)]
+    # One row per model: some seeds times a few folds.
+    models = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(fold).alias("without"), F.lit(s + fold).cast("bigint").alias("draw_seed")) for s, fold in turns])
+    both = durable(own.select("*", F.inline(models)).drop("draw_seed").join(around, ["entity_id", *model], "left").na.fill(0.0))
+    negative = negative_edge_sets(own.select(F.col("entity_id").alias("account")), arcs, max(total - total // k, 1),
+                                  sorted({s + fold for s, fold in turns}))
+    negative = negative.join(F.broadcast(arcs.sparkSession.range(1).select(F.inline(models))), "draw_seed").select(
+        *model, "src", "dst", F.lit("train").alias("part"), F.lit(0.0).alias("label"))
+    # An arc is held by the model of its fold and trains the others; a lone arc does both.
+    roles = F.when(F.col("fold") != F.col("without"), F.array(F.lit("train"))).when(
+        F.lit(k > 1), F.array(F.lit("held"))).otherwise(F.array(F.lit("train"), F.lit("held")))
+    positive = edges.withColumn("without", F.explode(F.array(*[F.lit(f) for f in range(k)]))).select(
+        *model, "src", "dst", F.explode(roles).alias("part"), F.lit(1.0).alias("label"))
+    columns = [f"f{i}" for i in range(width)] + [f"g{i}" for i in range(width)]
+    left = both.select(*model, F.col("entity_id").alias("src"), *[F.col(c).alias(f"s_{c}") for c in columns])
+    right = both.select(*model, F.col("entity_id").alias("dst"), *[F.col(c).alias(f"d_{c}") for c in columns])
+    pairs = positive.unionByName(negative).join(left, [*model, "src"]).join(right, [*model, "dst"])
+    pairs = pairs.select(*model, "part", "src", "dst", "label", *[(F.col(f"s_{c}") * F.col(f"d_{c}")).alias(f"p_{c}") for c in columns])
+    vectors = VectorAssembler(inputCols=[f"p_{c}" for c in columns], outputCol="v").transform(pairs)
+    vectors = durable(vectors.select("src", "dst", "label", "v", *model, "part"), by=(*model, "part"))
+
+    def of(turn: tuple[int, int], part: str) -> DataFrame:
+        return vectors.where((F.col("seed") == turn[0]) & (F.col("without") == turn[1]) & (F.col("part") == part))
+
+    def fit(turn: tuple[int, int]) -> LogisticRegressionModel:
+        return LogisticRegression(featuresCol="v", labelCol="label", maxIter=10, regParam=0.1).fit(of(turn, "train").select("label", "v"))
+
+    with ThreadPool(min(AT_ONCE, len(turns))) as pool:
+        fitted = pool.map(inheritable_thread_target(arcs.sparkSession)(fit), turns, chunksize=1)
+    told = [m.transform(of(turn, "held")).select("src", "dst", vector_to_array("probability")[1].alias("p"), F.col("without").alias("fold"), "seed")
+            for turn, m in zip(turns, fitted, strict=True)]
+    scored = durable(reduce(DataFrame.unionByName, told).select(
+        "src", "dst", (-F.log(F.greatest("p", F.lit(1e-9)))).alias("surprise"), "fold", "seed"))
+    forget(vectors)
+    ends = scored.select("seed", F.explode(F.array("src", "dst")).alias("entity_id"), "surprise")
+    return ends.groupBy("seed", "entity_id").agg(F.avg("surprise").alias("edge_value")), scored
 
 
 def peer_percentile(values: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
@@ -234,16 +275,17 @@ def peer_percentile(values: DataFrame, group: list[str], value: str, name: str)
     return values.join(told, [*group, value])
 
 
-def node_score(scores: DataFrame) -> DataFrame:
+def node_score(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean of the feature percentile and, where an edge was scored, the edge percentile.
 
     ``scores`` has (node_type, entity_id, feature_value, edge_value); accounts
-    without a scored edge are no peers for the edge percentile.
+    without a scored edge are no peers for the edge percentile. ``by`` names
+    columns that keep whole sets of scores apart, such as the seed.
     """
-    ranked = peer_percentile(scores.select(*NODE, "feature_value"), ["node_type"], "feature_value", "feature_percentile")
-    active = scores.where("node_type = 'account' AND edge_value IS NOT NULL").select(*NODE, "edge_value")
-    edges = peer_percentile(active, ["node_type"], "edge_value", "edge_percentile")
-    df = ranked.join(edges, NODE, "left")
+    ranked = peer_percentile(scores.select(*by, *NODE, "feature_value"), [*by, "node_type"], "feature_value", "feature_percentile")
+    active = scores.where("node_type = 'account' AND edge_value IS NOT NULL").select(*by, *NODE, "edge_value")
+    edges = peer_percentile(active, [*by, "node_type"], "edge_value", "edge_percentile")
+    df = ranked.join(edges, [*by, *NODE], "left")
     both = (F.col("feature_percentile") + F.col("edge_percentile")) / 2
     return df.withColumn("score", F.coalesce(both, F.col("feature_percentile")))
 
@@ -336,13 +378,10 @@ def score_nodes(estate: Estate, seeds: tuple[int, ...] = (11, 17, 23)) -> tuple[
     around = durable(neighbour_means(values, edges, edge_values=transfer_attributes(estate)))
     errors = durable(masked_feature_error(values, around))
     arcs = edges.where("relation = 'transfers'").select("src", "dst")
-    runs = []
-    for seed in seeds:
-        surprise, _ = edge_surprise(values, arcs, seed)
-        scores = errors.withColumnRenamed("error", "feature_value").join(
-            surprise.withColumn("node_type", F.lit("account")), NODE, "left")
-        runs.append(durable(node_score(scores)).withColumn("seed", F.lit(seed)))
-    return reduce(DataFrame.unionByName, runs), scaled
+    surprise, _ = edge_surprises(values, arcs, seeds)
+    every = errors.withColumnRenamed("error", "feature_value").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    scores = durable(every.join(surprise.withColumn("node_type", F.lit("account")), ["seed", *NODE], "left"))
+    return durable(node_score(scores, ["seed"])), scaled
 
 
 def ranking_observations(estate: Estate, stable: DataFrame, scaled: DataFrame) -> Observations:

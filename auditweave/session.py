@@ -47,16 +47,17 @@ def work_folder(spark: SparkSession) -> str:
     return own
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the work folder and read it back.
 
     Used where a result must not be computed twice (range partition ids) or where
     an iteration would grow its plan without end. The files survive lost executors,
-    are compressed, and later steps read only the columns they use.
+    are compressed, and later steps read only the columns they use. ``by`` names
+    columns of few values that later steps ask for: each value has a folder of its own.
     """
     spark = df.sparkSession
     target = f"{work_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(target)
+    (df.hint("rebalance", *by) if by else df).write.partitionBy(*by).parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
