@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 NULL_WORDS = ("null", "none", "nil", "n/a", "na", "")
+WHITE = " \t\n\x0b\f\r"  # what \s stands for
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 ColumnLike = Column | str
@@ -19,8 +20,13 @@ def _col(value: ColumnLike) -> Column:
 
 
 def strip(value: ColumnLike) -> Column:
-    """Remove every kind of surrounding white space, not only blanks."""
-    return F.regexp_replace(F.regexp_replace(_col(value).cast("string"), r"^\s+", ""), r"\s+$", "")
+    """Remove every kind of surrounding white space, not only blanks.
+
+    The pattern also takes white space before one last line separator of Unicode; text that ends
+    in ASCII has none and is trimmed without a pattern.
+    """
+    text = _col(value).cast("string")
+    return F.when(F.substring(text, -1, 1) > F.lit("~"), F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(F.btrim(text, F.lit(WHITE)))
 
 
 def clean_text(value: ColumnLike) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,7 +148,9 @@ def vendor_to_employee_transfer(estate: Estate) -> DataFrame:
     ).dropna(subset=["txn_id", "vendor_account", "employee_account", "amount"])
     vendors = _accounts(estate.vendors, "rfc").withColumnRenamed("account", "vendor_account")
     employees = _accounts(estate.employees, "emp_id").withColumnRenamed("account", "employee_account")
-    hits = moved.join(vendors, "vendor_account").join(employees, "employee_account")
+    # Payees first: the company's own account pays most transfers, so all of them would meet at its key.
+    hits = moved.join(employees, "employee_account").join(vendors, "vendor_account").select(
+        "employee_account", "vendor_account", "txn_id", "amount", "date", "rfc", "emp_id")
     return hits.withColumn("observation_id", observation_id("DET", "VENDOR-TO-EMPLOYEE", ["rfc", "emp_id", "txn_id"]))
 
 
@@ -207,7 +210,7 @@ def similar_invoice_cluster(
     """(clusters, members): maximal runs of like invoices inside ``window_days``.
 
     All invoices of one day share their window, so windows are built from daily
-    totals; a day enters at most window_days + 1 of them. Windows that can still pass
+    totals, each from the rows of its days; a day enters at most window_days + 1 of them. Windows that can still pass
     get their median from the days' histograms: amounts and how often they occur are
     added up over the window, and the middle one is found by running totals, so
     neither the invoices nor the amounts of a window meet in one task.
@@ -219,20 +222,23 @@ def similar_invoice_cluster(
         clean_text("uuid").alias("uuid"), *[clean_text(c).alias(c) for c in pair],
         to_date("issue_date").alias("day"), to_number("total").alias("total"),
     ).dropna().where("total > 0")
-    rows = rows.groupBy("uuid").agg(F.min(F.struct(*pair, "day", "total")).alias("r")).select("uuid", "r.*")
+    # Read for the days, the histograms and the members, so written once.
+    rows = durable(rows.groupBy("uuid").agg(F.min(F.struct(*pair, "day", "total")).alias("r")).select("uuid", "r.*"))
     daily = rows.groupBy(*pair, "day").agg(
         F.count(F.lit(1)).alias("n"), F.min("total").alias("low"), F.max("total").alias("high"),
         F.sum(money("total")).alias("money"), member_digest("uuid").cast("decimal(38,0)").alias("digest")
     )
-    starts = F.sequence(F.date_sub("day", window_days), F.col("day"))
-    windows = daily.withColumn("start", F.explode(starts)).groupBy(*pair, "start").agg(
-        F.sum("n").alias("invoice_count"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.max("day").alias("last_day"), F.max(F.col("day") == F.col("start")).alias("opens"),
-        F.sum("money").cast("double").alias("cluster_total"), F.sum("digest").cast("decimal(38,0)").cast("string").alias("digest"),
+    # A window opens on a day with an invoice. A pair has one row per day, so its rows are days of a calendar.
+    ahead = Window.partitionBy(*pair).orderBy(F.unix_date("day")).rangeBetween(Window.currentRow, window_days)
+    windows = daily.select(
+        *pair, F.col("day").alias("start"), F.sum("n").over(ahead).alias("invoice_count"), F.min("low").over(ahead).alias("low"),
+        F.max("high").over(ahead).alias("high"), F.max("day").over(ahead).alias("last_day"),
+        F.sum("money").over(ahead).cast("double").alias("cluster_total"),
+        F.sum("digest").over(ahead).cast("decimal(38,0)").cast("string").alias("digest"),
     )
     # The median is at most the largest amount, so this loses no window.
-    hopeful = durable(windows.where(F.col("opens") & (F.col("invoice_count") >= min_count)
-                                    & (F.col("high") - F.col("low") <= max_spread * F.col("high"))).drop("opens"))
+    hopeful = durable(windows.where((F.col("invoice_count") >= min_count)
+                                    & (F.col("high") - F.col("low") <= max_spread * F.col("high"))))
     days = hopeful.select(*pair, "start", F.explode(F.sequence(F.col("start"), F.col("last_day"))).alias("day"))
     histograms = rows.join(days.select(*pair, "day").distinct(), [*pair, "day"], "left_semi").groupBy(*pair, "day", "total").agg(F.count(F.lit(1)).alias("n"))
     medians = exact_quantiles(histograms.join(days, [*pair, "day"]), [*pair, "start"], "total", [0.5], weight="n").withColumnRenamed("q50", "median_total")
@@ -366,12 +372,13 @@ def first_fit(totals: np.ndarray, amounts: np.ndarray) -> list[tuple[int, int]]:
     return hits
 
 
-def _fit_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """First fit inside one cell: invoices by uuid, orders by id, each order once."""
-    left, right = left.sort_values("uuid"), right.sort_values("po_id")
-    hits = first_fit(left["total"].to_numpy(dtype=float), right["amount"].to_numpy(dtype=float)) if len(left) and len(right) else []
-    mine, theirs = left.iloc[[i for i, _ in hits]], right.iloc[[j for _, j in hits]]
-    return pd.DataFrame({"rfc": mine["rfc"].to_numpy(), "uuid": mine["uuid"].to_numpy(), "po_id": theirs["po_id"].to_numpy()})
+def _fit_cell(left: pa.Table, right: pa.Table) -> pa.Table:
+    """First fit inside one cell: invoices by uuid, orders by id, each order once. Cells are many and small, so no frames are built."""
+    left, right = left.take(pc.sort_indices(left["uuid"])), right.take(pc.sort_indices(right["po_id"]))
+    hits = first_fit(left["total"].to_numpy(), right["amount"].to_numpy()) if len(left) and len(right) else []
+    mine = left.take(pa.array([i for i, _ in hits], pa.int64()))
+    theirs = right.take(pa.array([j for _, j in hits], pa.int64()))
+    return pa.table({"rfc": mine["rfc"], "uuid": mine["uuid"], "po_id": theirs["po_id"]})
 
 
 _CELL = ["rfc", "island"]
@@ -442,7 +449,7 @@ def match_orders(invoices: DataFrame, orders: DataFrame, block: int = 200_000) -
             left = left.join(taken, ["rfc", "uuid"], "left_anti")
             right = right.join(taken, ["rfc", "po_id"], "left_anti")
         cells = left.groupBy(*_CELL, "a").cogroup(right.groupBy(*_CELL, "a"))
-        done.append(durable(cells.applyInPandas(_fit_cell, schema)))
+        done.append(durable(cells.applyInArrow(_fit_cell, schema)))
     if not done:
         return invoices.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, done)

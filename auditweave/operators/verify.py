@@ -48,6 +48,16 @@ def _cited(refs: DataFrame, table: str) -> DataFrame:
     return refs.where(F.col("source_table") == table).select(H, "record_id")
 
 
+def looked_up(cited: DataFrame, estate: Estate, table: str, key: str, *columns: Column | str,
+              how: str = "inner", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(hypothesis_id, record_id, columns) of cited records: joined as given and cleaned afterwards, so only cited ones are.
+
+    ``keep`` names columns of ``cited`` that stay.
+    """
+    given = estate.table(table).withColumn("record_id", F.col(key).cast("string")).drop(H, *keep)
+    return cited.join(given, "record_id", how).select(H, "record_id", *keep, *columns)
+
+
 def _records(estate: Estate, table: str, key: str, *columns: Column) -> DataFrame:
     return estate.table(table).select(F.col(key).cast("string").alias("record_id"), *columns)
 
@@ -57,9 +67,9 @@ def phantom_vendor_claim(estate: Estate, hypotheses: DataFrame, refs: DataFrame)
     listed = _cited(refs, "efos_list").join(
         _records(estate, "efos_list", "rfc", clean_text("rfc").alias("issuer")), "record_id"
     ).select(H, "issuer").dropna().distinct().withColumn("listed", F.lit(True))
-    rows = _cited(refs, "invoices").join(
-        _records(estate, "invoices", "uuid", strip("issuer_rfc").alias("issuer"), F.col("total").try_cast("double").alias("amount")),
-        "record_id", "left",
+    rows = looked_up(
+        _cited(refs, "invoices"), estate, "invoices", "uuid", strip("issuer_rfc").alias("issuer"),
+        F.col("total").try_cast("double").alias("amount"), how="left",
     ).join(listed, [H, "issuer"], "left").withColumn("in_scope", F.coalesce("listed", F.lit(False))).drop("listed")
     inside = F.col("in_scope")
     sums = rows.groupBy(H).agg(
@@ -100,20 +110,18 @@ def _cited_accounts(estate: Estate, refs: DataFrame) -> tuple[DataFrame, DataFra
         _records(estate, "employees", "emp_id", clean_text("bank_clabe").alias("dst"), clean_text("emp_id").alias("emp_id"),
                  clean_text("name").alias("name")), "record_id"
     ).select(H, "dst", "emp_id", "name").dropna(subset=["dst", "emp_id"]).distinct()
-    return vendors, employees
+    return durable(vendors), durable(employees)
 
 
-def cited_transfers(estate: Estate, refs: DataFrame) -> DataFrame:
+def cited_transfers(estate: Estate, refs: DataFrame, accounts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Cited transfers between two different cited accounts, vendor to employee.
 
     One row per transfer and pair of parties; an account with several owners
-    names all of them.
+    names all of them. ``accounts`` are those of the cited parties, where they are known.
     """
-    vendors, employees = _cited_accounts(estate, refs)
-    moved = _cited(refs, "bank_txns").join(
-        _records(estate, "bank_txns", "txn_id", strip("from_clabe").alias("src"), strip("to_clabe").alias("dst"),
-                 F.col("amount").try_cast("double").alias("amount"), clean_text("date").alias("date")), "record_id"
-    ).where("src <> dst")
+    vendors, employees = accounts or _cited_accounts(estate, refs)
+    moved = looked_up(_cited(refs, "bank_txns"), estate, "bank_txns", "txn_id", strip("from_clabe").alias("src"), strip("to_clabe").alias("dst"),
+                       F.col("amount").try_cast("double").alias("amount"), clean_text("date").alias("date")).where("src <> dst")
     return moved.join(vendors, [H, "src"]).join(employees, [H, "dst"])
 
 
@@ -123,7 +131,7 @@ def kickback_claim(estate: Estate, hypotheses: DataFrame, refs: DataFrame) -> tu
     parties = vendors.select(H, F.lit("v").alias("k"), F.col("rfc").alias("id")).unionByName(
         employees.select(H, F.lit("e").alias("k"), F.col("emp_id").alias("id"))
     ).groupBy(H).agg(F.count(F.when(F.col("k") == "v", 1)).alias("vendors"), F.count(F.when(F.col("k") == "e", 1)).alias("people"))
-    rows = cited_transfers(estate, refs)
+    rows = durable(cited_transfers(estate, refs, (vendors, employees)))
     once = rows.groupBy(H, "record_id").agg(F.max("amount").alias("amount"))
     sums = once.groupBy(H).agg(
         F.count(F.lit(1)).alias("in_scope_count"), F.count(F.when(F.col("amount").isNull(), 1)).alias("unusable_count"),
@@ -184,9 +192,8 @@ def efos_timing_assessment(estate: Estate, hypotheses: DataFrame, exhibits: Data
     listing = _cited(found, "efos_list").join(
         _records(estate, "efos_list", "rfc", clean_text("rfc").alias("rfc"), status.alias("status"), published.alias("published")),
         "record_id", "left")
-    bills = _cited(found, "invoices").join(
-        _records(estate, "invoices", "uuid", clean_text("issuer_rfc").alias("rfc"), iso_date("issue_date").alias("issued")),
-        "record_id", "left")
+    bills = durable(looked_up(_cited(found, "invoices"), estate, "invoices", "uuid", clean_text("issuer_rfc").alias("rfc"),
+                               iso_date("issue_date").alias("issued"), how="left"))
     sides = listing.select(H, "rfc", F.lit(1).alias("l")).unionByName(bills.select(H, "rfc", F.lit(0).alias("l"))).groupBy(H).agg(
         F.count(F.when(F.col("l") == 1, 1)).alias("listed_refs"), F.count(F.when(F.col("l") == 0, 1)).alias("invoice_refs"),
         F.count(F.when(F.col("rfc").isNull(), 1)).alias("without_rfc"))
@@ -197,13 +204,13 @@ def efos_timing_assessment(estate: Estate, hypotheses: DataFrame, exhibits: Data
     days = bills.dropna(subset=["rfc"]).groupBy(H, "rfc", "issued").agg(F.count(F.lit(1)).alias("n"))
     joined = days.join(per_listing, [H, "rfc"])
     reached = F.col("issued") >= F.col("published")
-    parties = joined.groupBy(H, "rfc", "definitive", "dated", "published").agg(
+    parties = durable(joined.groupBy(H, "rfc", "definitive", "dated", "published").agg(
         F.sum(F.when(reached, F.col("n")).otherwise(0)).alias("qualifying"),
         F.sum(F.when(~reached, F.col("n")).otherwise(0)).alias("earlier"),
         F.sum(F.when(F.col("issued").isNull(), F.col("n")).otherwise(0)).alias("undated"),
         F.min(F.when(reached, F.col("issued"))).alias("first_qualifying"), F.max(F.when(reached, F.col("issued"))).alias("last_qualifying"),
         F.max(F.when(~reached, F.col("issued"))).alias("last_earlier"),
-    )
+    ))
     per_case = parties.groupBy(H).agg(
         F.count(F.lit(1)).alias("matched"), F.min("rfc").alias("first_rfc"), F.bool_and("definitive").alias("all_definitive"),
         F.bool_and("dated").alias("all_dated"), F.bool_and(F.col("qualifying") > 0).alias("all_reached"),
@@ -233,14 +240,13 @@ def kickback_assessment(estate: Estate, hypotheses: DataFrame, exhibits: DataFra
     """(assessments, parties): a cited transfer, and a cited order of that vendor approved by that employee."""
     found = exhibits.where("found")
     vendors, employees = _cited_accounts(estate, found)
-    moved = cited_transfers(estate, found)
-    pairs = moved.groupBy(H, "rfc", "emp_id", "name").agg(F.count(F.lit(1)).alias("transfers"))
-    orders = _cited(found, "purchase_orders").join(
-        _records(estate, "purchase_orders", "po_id", clean_text("vendor_rfc").alias("rfc"), clean_text("approver").alias("approver")),
-        "record_id").select(H, "rfc", "approver").dropna().distinct()
+    moved = cited_transfers(estate, found, (vendors, employees))
+    pairs = durable(moved.groupBy(H, "rfc", "emp_id", "name").agg(F.count(F.lit(1)).alias("transfers")))
+    orders = looked_up(_cited(found, "purchase_orders"), estate, "purchase_orders", "po_id", clean_text("vendor_rfc").alias("rfc"),
+                        clean_text("approver").alias("approver")).select(H, "rfc", "approver").dropna().distinct()
     names = pairs.select(H, "rfc", "emp_id", F.explode(F.array("emp_id", "name")).alias("approver"))
     confirmed = names.join(orders, [H, "rfc", "approver"]).select(H, "rfc", "emp_id").distinct().withColumn("approved", F.lit(True))
-    parties = pairs.join(confirmed, [H, "rfc", "emp_id"], "left").withColumn("approved", F.coalesce("approved", F.lit(False)))
+    parties = durable(pairs.join(confirmed, [H, "rfc", "emp_id"], "left").withColumn("approved", F.coalesce("approved", F.lit(False))))
     shared = vendors.join(employees.select(H, F.col("dst").alias("src")), [H, "src"], "left_semi").select(H).distinct()
     out = (
         hypotheses.select(H)
@@ -296,7 +302,7 @@ class Assessment:
 def verification_report(estate: Estate, hypotheses: DataFrame, citations: DataFrame) -> Assessment:
     """Every check in a long table, and one summary row per hypothesis.
 
-    Exhibits and claims are read by several checks, so they are written once.
+    Exhibits, claims and the reconciliation are read by several checks, so they are written once.
     """
     exhibits, _ = resolve_exhibits(estate, citations.join(hypotheses.select(H), H, "left_semi"))
     exhibits = durable(exhibits)
@@ -305,7 +311,7 @@ def verification_report(estate: Estate, hypotheses: DataFrame, citations: DataFr
     phantom, issuers = efos_timing_assessment(estate, hypotheses.where(scheme == PHANTOM), exhibits)
     kickback, parties = kickback_assessment(estate, hypotheses.where(scheme == KICKBACK), exhibits)
     phantom, kickback = durable(phantom), durable(kickback)
-    recon = peso_reconciliation(claims, exhibits)
+    recon = durable(peso_reconciliation(claims, exhibits))
     peso = F.when(F.col("claimed_amount").isNull(), "unresolved").when(F.col("reconciles"), "verified").otherwise("failed")
 
     def check(df: DataFrame, check_id: Column, status: Column, calculation: Column) -> DataFrame:
