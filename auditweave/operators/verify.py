@@ -453,9 +453,11 @@ def sweep_hypotheses(estate: Estate) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def decide(found: Assessment, reviews: DataFrame) -> DataFrame:
     """The gate's outcome with the report and the claim it rests on."""
-    gate = evidence_gate(rule_lookup(found.hypotheses), reviews, found.reports)
+    # The gate reads the reports too, and they go over every exhibit.
+    reports = durable(found.reports)
+    gate = evidence_gate(rule_lookup(found.hypotheses), reviews, reports)
     claims = found.claims.select(H, "formula", F.col("error").alias("claim_error"))
-    return gate.join(found.reports.drop("scheme_type"), H, "left").join(claims, H, "left")
+    return gate.join(reports.drop("scheme_type"), H, "left").join(claims, H, "left")
 
 
 def efos_authorisation_sweep(estate: Estate) -> DataFrame:
